@@ -14,7 +14,7 @@ from granary.llm.common import new_path, table
 
 #: Smaller payloads are always written whole.
 LEAST_REVISIT_BYTES = 1000
-#: Payload bytes for an archive file, before compression.
+#: Payload bytes of an archive file before compression, on average at most; Spark's own partitions may be smaller.
 FILE_BYTES = 48 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,7 +42,7 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """A WARC/1.1 record for every row of resolve_revisits(), in gzip files under path.
+    """A WARC/1.1 record for every row of pages (page_id, url, html), resolved by resolve_revisits(), in gzip files under path.
 
     Spark's text writer and commit protocol write them, so a task that is run again leaves no half file. A record ends
     with an empty line of CR LF; the writer's line separator is the last LF of it. Revisit records have the HTTP header
@@ -61,9 +61,10 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
         F.when(F.col("record_type") == "revisit", F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.concat(F.lit(f"<{PAGE_URN}"), F.col("refers_to").cast("string"), F.lit(">"))))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block, F.lit("\r\n\r"),
     )
-    total = pages.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
-    pages.select(record.alias("value")).repartition(files).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    size = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    records = max(1, size["n"] * file_bytes // max(1, size["bytes"] or 0))
+    writer = resolve_revisits(pages).select(record.alias("value")).write.option("maxRecordsPerFile", records)
+    writer.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -112,7 +113,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    write_archives(resolve_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
