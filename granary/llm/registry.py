@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import mixing, quality, sharding, warc
+from granary.llm import language, mixing, packing, quality, sharding, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_parquet_tokens": token_output.op3_parquet_tokens,
+    "op5_sum_of_squares": packing.op5_sum_of_squares,
     "op6_js_quality": quality.op6_js_quality,
+    "op7_rank_order": language.op7_rank_order,
     "op8_bounded_ring": sharding.op8_bounded_ring,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_poisson_mix": mixing.op10_poisson_mix,
