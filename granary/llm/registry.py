@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import language, mixing, packing, quality, sharding, token_output, warc
+from granary.llm import language, minhash, mixing, packing, quality, sharding, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_parquet_tokens": token_output.op3_parquet_tokens,
+    "op4_minhash_bayes": minhash.op4_minhash_bayes,
     "op5_sum_of_squares": packing.op5_sum_of_squares,
     "op6_js_quality": quality.op6_js_quality,
     "op7_rank_order": language.op7_rank_order,
