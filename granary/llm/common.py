@@ -61,6 +61,8 @@ def small_or_plain(small: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
 
 
-def slices(n: int, size: int) -> Iterator[tuple[int, int]]:
-    for lo in range(0, n, size):
-        yield lo, min(n, lo + size)
+def parts(batches: Iterator, rows: int) -> Iterator:
+    """Arrow batches of at most so many rows, so that a worker holds few of them as Python objects at once."""
+    for batch in batches:
+        for lo in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(lo, rows)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import materialize, table
+from granary.llm.common import materialize, parts, table
 
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL_RE = re.compile(r"[#*$%&|<>]")
@@ -46,11 +46,12 @@ def char_classes(text: str) -> np.ndarray:
 
 
 def _references_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: how often each language has each short word (kind w) and each character class (kind c)."""
-    for batch in batches:
+    """Per part of a batch: how often each language has each short word (kind w) and each character class (kind c)."""
+    for batch in parts(batches, 2000):
         words: dict[str, Counter] = {}
         chars: dict[str, np.ndarray] = {}
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, lang in zip(batch.column(0), batch.column(1), strict=True):
+            text, lang = text.as_py(), lang.as_py()
             found = WORD_RE.findall(text.lower())
             own = words.setdefault(lang, Counter())
             own.update(w for w in found if len(w) <= COMMON_LENGTH)
@@ -139,9 +140,9 @@ def _judge(references: dict[str, dict]):
         return nearest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1000):
             rows = []
-            for text in batch.column(0).to_pylist():
+            for text in map(pa.StringScalar.as_py, batch.column(0)):
                 words, word_chars, n_symbols, n_dup, n_repeat = base_counts(text)
                 failed = len(words) < LEAST_WORDS or 100 * n_repeat > 50 * len(words)
                 c, w = distances(text, words)
