@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import materialize, table
+from granary.llm.common import materialize, parts, table
 
 #: Entries of a profile; also what an n-gram costs that a profile doesn't have.
 PROFILE = 400
@@ -62,12 +62,19 @@ def top_codes(text: str, size: int = PROFILE) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-gram counts of each language, combined per batch."""
     for batch in batches:
-        own: dict[str, list[str]] = {}
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own.setdefault(lang, []).append(text)
-        for lang, texts in own.items():
-            codes, counts = np.unique(ngrams("\n".join(texts)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], ["lang", "code", "n"])
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for part in parts(iter([batch]), 200):
+            own: dict[str, list[str]] = {}
+            for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                own.setdefault(lang, []).append(text)
+            for lang, texts in own.items():
+                codes, counts = np.unique(ngrams("\n".join(texts)), return_counts=True)
+                if lang in sums:
+                    codes, at = np.unique(np.concatenate([sums[lang][0], codes]), return_inverse=True)
+                    counts = np.bincount(at, np.concatenate([sums[lang][1], counts])).astype(np.int64)
+                sums[lang] = codes, counts
+        for lang, (codes, counts) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["lang", "code", "n"])
 
 
 def learn_profiles(docs: DataFrame, allowed: Column, size: int = PROFILE, max_docs: int = MAX_TRAINING_DOCS) -> dict[str, np.ndarray]:

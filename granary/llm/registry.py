@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import language, minhash, mixing, packing, quality, sharding, token_output, warc
+from granary.llm import embedding, html_text, language, minhash, mixing, packing, quality, sharding, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index": embedding.op1_multi_index,
+    "op2_best_region": html_text.op2_best_region,
     "op3_parquet_tokens": token_output.op3_parquet_tokens,
     "op4_minhash_bayes": minhash.op4_minhash_bayes,
     "op5_sum_of_squares": packing.op5_sum_of_squares,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_multi_index": embedding.OP1_SQL,
     "op9_warc_revisits": warc.OP9_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
 }
