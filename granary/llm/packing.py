@@ -99,7 +99,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
     """
     groups = max(1, -(-pieces.count() // group_pieces))
 
-    def pack(key: tuple, rows):
+    def pack(key, rows):
         rows = rows.sort_values(["length", "ids_crc32", "start"], ascending=False, kind="stable")
         bins, offsets = sum_of_squares_bins(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(int(key[0]) << 40) + bins, offset=offsets).drop(columns="_group")

@@ -26,7 +26,7 @@ LEAST_LANGUAGE_WORDS = 1000
 #: Guards: a document with less than this is not judged by its divergence.
 LEAST_WORDS, LEAST_CHARS = 50, 200
 #: The largest distances (0 to 1) from the nearest reference that a document may have.
-MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.27, 0.52
+MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.27, 0.49
 
 
 def _class_table() -> np.ndarray:
