@@ -1,12 +1,6 @@
-"""The queries over the tables of a data folder, by name, and the SQL that must give the same rows."""
+"""All queries over the tables of a data folder, by name, and the SQL that must give the same rows."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from granary.plans import cleaning, evaluation, graphs, texts  # noqa: F401  (they register their queries)
+from granary.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "best_quality_dedupe"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
