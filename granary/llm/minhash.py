@@ -24,7 +24,7 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 25, 1e-6
 #: Up to this many documents of a band's bucket are compared pair by pair; larger buckets are joined to clusters and compared in blocks.
 SMALL_BUCKET, BLOCK = 12, 512
-WORD_CACHE = 500_000
+WORD_CACHE = 60_000
 
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
