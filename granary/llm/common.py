@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Once for each session, give executors that don't have it installed this package, from the driver's own file server."""
+    sc = spark.sparkContext
+    if getattr(sc, "_granary_shipped", False):
+        return
+    sc._granary_shipped = True
+    root = Path(__file__).resolve().parent.parent
+    packed = Path(tempfile.mkdtemp(prefix="granary-")) / "granary.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(packed))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
