@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 BLOCKED = re.compile(r"^(all_records|paper_summaries|accepted|rejected|duplicate|integration|audit)", re.I)
 
 
-def sniff_encoding(spark: SparkSession, path: str, fallback: str = "windows-1252") -> str:
+def sniff_encoding(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> str:
     """By the byte order mark of the first file, else UTF-8 if its first bytes are that, else the fallback; read by Spark, so from any store."""
     head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, 65536).alias("h")).first()
     start = bytes(head["h"]) if head and head["h"] else b""
