@@ -238,3 +238,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = rf"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+    select doc_id, case when len(w) >= {WORDS} then list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w
+), n as (select doc_id, len(s)::bigint as n from s), f as (select doc_id, unnest(s) as g from s),
+links as (
+    select x.a, x.b from (select a.doc_id as a, b.doc_id as b, count(*) as shared from f a join f b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2) x
+    join n p on p.doc_id = x.a join n q on q.doc_id = x.b where 100 * shared >= {PERCENT} * (p.n + q.n - shared)
+), reach(a, b) as (
+    select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b
+), best as (select a, least(a, min(b)) as c from reach group by a)
+select n.doc_id, n.n as n_shingles, coalesce(best.c, n.doc_id) as component_id, coalesce(best.c, n.doc_id) = n.doc_id as kept from n left join best on best.a = n.doc_id
+"""

@@ -180,3 +180,44 @@ def quality_verdicts(docs: DataFrame, carry: list[str] | None = None, references
 def op6_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(table(spark, sf_dir, "documents"), ["doc_id"])
     return verdicts.withColumn("char_distance", F.round("char_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
+
+
+def _op6_sql() -> str:
+    marks = SENTENCE_MARKS.replace("'", "''").replace("-", r"\-")
+    word = r"[^\x20\x09-\x0D]+"
+    classes = [r"[\x20\x09-\x0D]", "[a-z]", "[A-Z]", "[0-9]", f"[{marks}]", None, r"[^\x00-\x7F]"]
+    counted = ", ".join("0" if c is None else f"(length(text) - length(regexp_replace(text, '{c}', '', 'g')))" for c in classes)
+    jsd = "sqrt(greatest(0, (sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2))"
+    return rf"""
+with t as (select doc_id, lang, text is not null as known, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{word}') as w from documents),
+k as (select *, [{counted}] as c from t),
+k2 as (select * exclude (c), c[1:5] || [length(text) - list_sum(c)] || c[7:7] as c from k),
+pos as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from t where len(w) > 2),
+win as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from pos),
+rep as (select doc_id, count(distinct i + j) as n from (select doc_id, i, unnest([0, 1, 2]) as j from win where n > 1) group by doc_id),
+base as (
+    select k2.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+        (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')))))::bigint as n_dup_lines,
+        coalesce(rep.n, 0)::bigint as n_repeat_words, length(text) as n_chars, c from k2 left join rep using (doc_id)
+), low as (select doc_id, lang, regexp_extract_all(lower(text), '{word}') as w from t where known and lang is not null),
+total as (select lang, sum(len(w)) as n from low group by lang having sum(len(w)) >= {LEAST_LANGUAGE_WORDS}),
+common as (
+    select * from (select lang, item, count(*) as n, row_number() over (partition by lang order by count(*) desc, item) as r from (select lang, unnest(w) as item from low) where length(item) <= {COMMON_LENGTH} group by lang, item)
+    where r <= {COMMON_WORDS} and lang in (select lang from total)
+), refc as (select lang, k, sum(c[k]) as n from k2, range(1, {CLASSES + 1}) x(k) where known and lang in (select lang from total) group by lang, k),
+qc as (select lang, k, n / sum(n) over (partition by lang) as q from refc),
+judged as (select doc_id, n_words, n_chars, c from base where n_words >= {LEAST_WORDS} and n_chars >= {LEAST_CHARS}),
+dc as (select doc_id, lang, {jsd} as d from (select doc_id, lang, c[k] / n_chars::double as p, q from judged, qc) group by doc_id, lang),
+own as (select doc_id, item, count(*) as n from (select doc_id, unnest(list_transform(w, lambda x: lower(x))) as item from t) group by doc_id, item),
+hit as (select j.doc_id, m.lang, coalesce(o.n, 0) as n, m.n as m, j.n_words, total.n as total from judged j cross join common m join total using (lang) left join own o on o.doc_id = j.doc_id and o.item = m.item),
+hist as (
+    select doc_id, lang, n / n_words::double as p, m / total::double as q from hit
+    union all select doc_id, lang, (any_value(n_words) - sum(n)) / any_value(n_words)::double, (any_value(total) - sum(m)) / any_value(total)::double from hit group by doc_id, lang
+), dw as (select doc_id, lang, {jsd} as d from hist group by doc_id, lang),
+near as (select doc_id, c, w from (select dc.doc_id, dc.d as c, dw.d as w, row_number() over (partition by dc.doc_id order by dc.d + dw.d, dc.lang) as r from dc join dw using (doc_id, lang)) where r = 1),
+v as (select base.*, near.c as cd, near.w as wd, n_words < 50 or 100 * n_repeat_words > 50 * n_words as failed from base left join near using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed, not failed and coalesce(cd <= {MOST_CHAR_DISTANCE} and wd <= {MOST_WORD_DISTANCE}, true) as kept, round(cd, 6) as char_distance, round(wd, 6) as word_distance from v
+"""
+
+
+OP6_SQL = _op6_sql()

@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_multi_index": embedding.OP1_SQL,
+    "op4_minhash_bayes": minhash.OP4_SQL,
+    "op6_js_quality": quality.OP6_SQL,
     "op9_warc_revisits": warc.OP9_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
 }
