@@ -128,19 +128,18 @@ def agreement_gate(df: DataFrame, a: str, b: str, least_spearman: float = 0.9, m
 
 
 def json_paths(df: DataFrame, key: str, text: str, depth: int = 8) -> DataFrame:
-    """(key, path, value): the scalars of a JSON text by dotted path, list places from 0; level by level, as deep as asked, and an error below that."""
+    """(key, path, value): the scalars of a JSON text by dotted path, list places from 0; what is nested deeper than asked stays JSON text. Broken texts have no rows."""
     level = df.select(key, F.lit("").alias("path"), F.try_parse_json(text).alias("v")).where("v is not null")
     out = None
     for k in range(depth + 1):
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaf = level.where(~nested).select(key, F.substring("path", 2, 1 << 20).alias("path"), F.try_variant_get("v", "$", "string").alias("value"))
+        done = level if k == depth else level.where(~nested)
+        leaf = done.select(key, F.substring("path", 2, 1 << 20).alias("path"), F.when(nested, F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string")).alias("value"))
         out = leaf if out is None else out.union(leaf)
-        if k == depth:
-            deeper = level.where(nested).select(F.assert_true(F.col("v").isNull(), F.lit("nested deeper than asked")).alias("x"))
-            return out.union(deeper.select(F.lit(None).cast(df.schema[key].dataType).alias(key), F.lit("").alias("path"), F.col("x").cast("string").alias("value")))
-        level = _exploded(level.where(nested), key)
-    raise AssertionError
+        if k < depth:
+            level = _exploded(level.where(nested), key)
+    return out
 
 
 def _exploded(level: DataFrame, key: str) -> DataFrame:
