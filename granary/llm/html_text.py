@@ -28,12 +28,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 NEUTRAL_TAGS = INLINE - {"a"} | frozenset("div section span br img figure figcaption main article body html".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS = frozenset("td th br wbr img".split())
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements, roles and parts of class names or ids whose content is no article text.
 OUTER = frozenset("head nav footer aside form button select dialog object applet map audio video canvas".split())
 OUTER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-OUTER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer menu menubar modal nav navbar navigation newsletter notice notices notification popup promo promotion promoted related reply replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+OUTER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus footer login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar trending widget widgets".split())
+#: Of these, only outside of an article.
+OUTER_UNLESS_INSIDE = frozenset("header".split())
 
 
 def _outer(name: str, attributes: str, inside: int) -> bool:
@@ -43,8 +46,10 @@ def _outer(name: str, attributes: str, inside: int) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in OUTER_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id") and name not in ("html", "body", "main", "article") and not OUTER_NAMES.isdisjoint(NAME.findall(value)):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", "main", "article"):
+            names = NAME.findall(value)
+            if not OUTER_NAMES.isdisjoint(names) or not inside and name not in HEADINGS and not OUTER_UNLESS_INSIDE.isdisjoint(names):
+                return True
     return False
 
 
