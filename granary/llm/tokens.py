@@ -82,10 +82,8 @@ class Encoder:
             kept[word] = got
         return got
 
-    def line(self, line: str, out: list[bytes]) -> None:
-        """Adds the ids of words between single spaces."""
-        head, *tail = line.split(" ")
-        out.append(self.word(head, False))
+    def words_after(self, tail: list[str], out: list[bytes]) -> None:
+        """Adds the ids of words with a space before each."""
         kept = self.spaced[0]
         found = list(map(kept.get, tail))
         if None in found:
@@ -110,8 +108,7 @@ class Encoder:
         if self.words:
             if ODD_SPACE.search(text) or not text.isascii() and ("Σ" in text or not is_normalized("NFC", text)):
                 return self.whole(text)
-            if words := text.lower().split():
-                self.line(" ".join(words), out)
+            self.words_after(text.lower().split(), out)
         else:
             if text[0].isspace() or text[-1].isspace() or any(x in text for x in SPACE_RUNS) or ODD_SPACE.search(text):
                 return self.whole(text)
@@ -119,7 +116,9 @@ class Encoder:
                 if k:
                     out.append(self.marks["\n"])
                 if line:
-                    self.line(line, out)
+                    head, *tail = line.split(" ")
+                    out.append(self.word(head, False))
+                    self.words_after(tail, out)
         return b"".join(out)
 
 
