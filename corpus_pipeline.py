@@ -1,11 +1,14 @@
-"""From raw documents to packed sequences, in five stages; each is written as Parquet and read again by the next."""
+"""From raw documents to packed sequences, in five stages; each is written as Parquet and read again by the next.
+
+Columns that documents has beside doc_id, text, lang and source pass through the first four stages, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, table
+from granary.llm.common import materialize, quoted, set_aside, table
 from granary.llm.language import UNKNOWN, learn_profiles, predict_languages
 from granary.llm.minhash import near_duplicates
 from granary.llm.mixing import mix_sources
@@ -18,25 +21,28 @@ LEAST_SCORE = 0.15
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_verdicts(docs).where("kept").select(*docs.columns)
+    docs, back = set_aside(docs, "doc_id", "text", "lang")
+    return quality_verdicts(docs).where("kept").select(*back)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; lang becomes the predicted one. Profiles are learned from the stage's own input."""
+    docs, back = set_aside(docs, "doc_id", "text", "lang")
     found = predict_languages(docs, learn_profiles(docs, F.lit(True)))
     recognised = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return recognised.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return recognised.withColumn("lang", F.col("lang_pred")).select(*back)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; documents without one stay."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target weight says, in a global shuffled order."""
-    return mix_sources(docs).select(*docs.columns)
+    docs, back = set_aside(docs, "doc_id", "text", "source")
+    return mix_sources(docs).select(*back)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ import atexit
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The words of every contract here: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,6 +79,43 @@ def small_or_plain(small: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, with underscores after it until none of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def carried(columns: Iterable[str], own: Iterable[str]) -> list[str]:
+    """The columns that an operator carries along: all but those that have the name of one of its own, which take their place."""
+    names = {c.lower() for c in own}
+    return [c for c in columns if c.lower() not in names]
+
+
+def map_carrying(docs: DataFrame, read: Column, carry: list[str], run: Callable, own: str) -> DataFrame:
+    """The carried columns and an operator's own (in Spark's DDL), from batches of what it reads and, after it, the carried columns.
+
+    run gives the carried columns of each batch, under the names they have there, and its own after them.
+    """
+    names = [f"_carry{k}" for k in range(len(carry))]
+    picked = docs.select(read.alias("_read"), *(quoted(c).alias(x) for c, x in zip(carry, names, strict=True)))
+    fields = StructType.fromDDL(own).fields
+    found = picked.mapInArrow(run, StructType([*picked.schema.fields[1:], *fields]))
+    return found.select(*(F.col(x).alias(c) for c, x in zip(carry, names, strict=True)), *(f.name for f in fields))
+
+
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all but the used columns under names that no operator has, and what to select to have the old names and order back."""
+    names = {c: c if c in used else f"_aside{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*(quoted(c).alias(x) for c, x in names.items())), [quoted(x).alias(c) for c, x in names.items()]
+
+
 def parts(batches: Iterator, rows: int) -> Iterator:
     """Arrow batches of at most so many rows, so that a worker holds few of them as Python objects at once."""
     for batch in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import parts, table
+from granary.llm.common import carried, map_carrying, parts, table
 
 #: At most about so many pages, spread by a hash, are read to learn weights.
 MAX_LABELLED = 4000
@@ -109,6 +109,8 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 yield name, "", False, inside > 0
             continue
         if name in RAW:
+            if name in ("svg", "math") and m[2].endswith("/"):  # elements of other languages may close themselves
+                continue
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
@@ -213,20 +215,17 @@ def extract_text(pages: DataFrame, carry: list[str] | None = None, weights: dict
     Null and empty pages, and pages without article text, have an empty text. Weights come from the pages that label
     themselves unless they are given; without any, every word weighs the same and every tag costs the same. Each row is
     read alone: ties and repeated rows change nothing; an empty table gives an empty result.
+    Columns of pages named text or n_chars give way to those of the result.
     """
-    carry = pages.columns if carry is None else carry
-    if clash := set(carry) & {"text", "n_chars"}:
-        raise ValueError(f"pages already has {sorted(clash)}")
+    carry = carried(pages.columns if carry is None else carry, ("text", "n_chars"))
     weights = learn_weights(pages) if weights is None else weights
-    picked = pages.select(F.col("html").cast("string").alias("_html"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 500):
             found = [main_text(page.as_py(), weights) for page in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], [*batch.schema.names[1:], "text", "n_chars"])
 
-    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[1:])
-    return picked.mapInArrow(run, f"{own}text string, n_chars long")
+    return map_carrying(pages, F.col("html").cast("string"), carry, run, "text string, n_chars long")
 
 
 def op2_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import materialize, parts, table
+from granary.llm.common import carried, map_carrying, materialize, parts, table
 
 #: Entries of a profile; also what an n-gram costs that a profile doesn't have.
 PROFILE = 400
@@ -127,11 +127,9 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], carry: l
     """The carried columns (all by default), lang_pred and score of every whole text; `und`, 0 for null texts and texts without a letter.
 
     A prediction sees the text alone. Where no language was learned (no lang values, empty table), all are `und`.
+    Each row is read alone: ties and repeated rows change nothing. Columns of docs with these two names give way.
     """
-    carry = docs.columns if carry is None else carry
-    if clash := set(carry) & {"lang_pred", "score"}:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    picked = docs.select(F.col("text").cast("string").alias("_text"), *carry)
+    carry = carried(docs.columns if carry is None else carry, ("lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = RankOrder(profiles, size)
@@ -139,8 +137,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], carry: l
             found = [model.predict(text.as_py()) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
-    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[1:])
-    return picked.mapInArrow(run, f"{own}lang_pred string, score double")
+    return map_carrying(docs, F.col("text").cast("string"), carry, run, "lang_pred string, score double")
 
 
 def held_out() -> Column:

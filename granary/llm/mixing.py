@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import materialize, small_or_plain, table
+from granary.llm.common import carried, materialize, quoted, set_aside, small_or_plain, table
 
 SEED = 17
 #: Without given weights a source's target weight is its share of the bytes to this power, so large sources lose and small ones gain.
@@ -63,14 +63,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, see
 
     The law is inverted at a number in [0, 1) that a hash of seed and doc_id gives (rows without an id: of their text),
     so a rerun, or a lost executor, gives the same rows. Adds rate, n_copies, copy (from 0) and position, gapless from 0
-    in the shuffled order; all columns of docs stay. Rows are dealt by ranges of a hash of seed, id and copy, so neither
+    in the shuffled order; all other columns of docs stay, those with these four names give way. Rows are dealt by ranges of a hash of seed, id and copy, so neither
     a hot source nor a group of copies meets in one task; only one count for each range reaches the driver. Null sources
     are a source; null texts count as empty; rows that are equal throughout are repeated independently of their place.
     An empty table gives an empty result.
     """
-    taken = {"rate", "n_copies", "copy", "position"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"docs already has {sorted(taken)}")
+    docs = docs.select(*map(quoted, carried(docs.columns, ("rate", "n_copies", "copy", "position"))))
+    docs, back = set_aside(docs, "doc_id", "text", "source")
     rates = small_or_plain(materialize(source_rates(docs, weights, None, temperature, max_rate).select(F.col("source").alias("_source"), "rate", poisson_steps(F.col("rate")).alias("_steps")), "rates"), BROADCAST_SOURCES)
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.coalesce("text", F.lit("")))))
     drawn = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -89,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, see
     start = F.broadcast(docs.sparkSession.createDataFrame(starts, "_range int, _start long"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy("_key", "doc_id", "copy")) - 1
     placed = copies.withColumn("_rank", rank).join(start, "_range").withColumn("position", (F.col("_start") + F.col("_rank")).cast("long"))
-    return placed.select(*docs.columns, "rate", "n_copies", "copy", "position")
+    return placed.select(*back, "rate", "n_copies", "copy", "position")
 
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from granary.llm.common import materialize, table
+from granary.llm.common import carried, map_carrying, materialize, set_aside, table
 from granary.llm.tokens import BYTE_LEVEL, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -81,13 +82,11 @@ def cut_documents(docs: DataFrame, carry: list[str] | None = None, vocabulary: s
 
     Only documents of more than `capacity` ids, the end id counted, are cut, and only their first piece is shorter.
     Null and empty texts have the end id alone. Each row is cut alone: ties and repeated rows change nothing.
+    Columns of docs with a name that pieces or packed pieces have give way to theirs.
     """
-    carry = [c for c in docs.columns if c != "text"] if carry is None else carry
-    if clash := set(carry) & {"piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"}:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    picked = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), *carry)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
-    return picked.mapInArrow(_cut(vocabulary, capacity, end_id, with_ids), f"{own}, piece int, start long, length long, ids_crc32 long{', ids array<int>' * with_ids}")
+    carry = carried([c for c in docs.columns if c != "text"] if carry is None else carry, ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"))
+    own = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return map_carrying(docs, F.coalesce(F.col("text"), F.lit("")), carry, _cut(vocabulary, capacity, end_id, with_ids), own)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -98,15 +97,16 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
     token ids among the columns take smaller groups: a group is held in memory. An empty table gives an empty result.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
+    pieces, back = set_aside(pieces, "length", "ids_crc32", "start")
 
     def pack(key, rows):
         rows = rows.sort_values(["length", "ids_crc32", "start"], ascending=False, kind="stable")
         bins, offsets = sum_of_squares_bins(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(int(key[0]) << 40) + bins, offset=offsets).drop(columns="_group")
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
     dealt = pieces.withColumn("_group", F.floor(F.rand(17) * groups).cast("int"))
-    return dealt.groupBy("_group").applyInPandas(pack, schema)
+    return dealt.groupBy("_group").applyInPandas(pack, schema).select(*back, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, carry: list[str] | None = None, with_ids: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import materialize, parts, table
+from granary.llm.common import carried, map_carrying, materialize, parts, table
 
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL_RE = re.compile(r"[#*$%&|<>]")
@@ -166,15 +166,12 @@ def quality_verdicts(docs: DataFrame, carry: list[str] | None = None, references
     or more; else if its character classes or its common words are further than the limits from the nearest language
     reference (Jensen-Shannon distance). Documents too short for the guards are judged by the base rules alone, so is
     everything where no language has a reference (no lang values, empty table). A null text has no words and fails.
-    References come from all of docs unless they are given. Each row is judged alone: ties and repeated rows change nothing.
+    References come from all of docs unless they are given. Each row is judged alone: ties and repeated rows change
+    nothing. Columns of docs with a name of RESULT give way to those of the result.
     """
-    carry = docs.columns if carry is None else carry
-    if clash := set(carry) & {n for n, _ in RESULT}:
-        raise ValueError(f"docs already has {sorted(clash)}")
+    carry = carried(docs.columns if carry is None else carry, (n for n, _ in RESULT))
     references = language_references(docs) if references is None else references
-    picked = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"), *carry)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]), *(f"{n} {t}" for n, t in RESULT)])
-    return picked.mapInArrow(_judge(references), schema)
+    return map_carrying(docs, F.coalesce(F.col("text"), F.lit("")), carry, _judge(references), ", ".join(f"{n} {t}" for n, t in RESULT))
 
 
 def op6_js_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

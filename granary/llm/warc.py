@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import new_path, table
+from granary.llm.common import new_path, table, unused
 
 #: Smaller payloads are always written whole.
 LEAST_REVISIT_BYTES = 1000
@@ -28,17 +28,18 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -
     common payload is a row for each task; digests that occur once go no further. The join back is an equi-join with a
     table of the repeated digests alone, which Spark broadcasts when it measures it as small and whose hot digests it
     splits otherwise. Of equal payloads of at least least_bytes the row with the largest page_id is the response (rows
-    that share that id all are); null ids come last.
+    that share that id all are); null ids come last. Columns of pages with a name of the five give way.
     """
+    digest, response, n = (unused(x, pages.columns) for x in ("_digest", "_response", "_n"))
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     headed = pages.withColumn("payload", html).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1(F.encode("payload", "UTF-8")))
     repeated = (
-        headed.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("_digest"))
-        .agg(F.max("page_id").alias("_response"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        headed.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias(digest))
+        .agg(F.max("page_id").alias(response), F.count("*").alias(n)).where(F.col(n) > 1).drop(n)
     )
-    joined = headed.join(repeated, (headed.payload_digest == F.col("_digest")) & (F.col("payload_bytes") >= least_bytes), "left")
-    revisit = F.col("_response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_response"))
-    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_response"))).drop("_digest", "_response")
+    joined = headed.join(repeated, (headed.payload_digest == F.col(digest)) & (F.col("payload_bytes") >= least_bytes), "left")
+    revisit = F.col(response).isNotNull() & ~F.col("page_id").eqNullSafe(F.col(response))
+    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col(response))).drop(digest, response)
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
@@ -63,7 +64,7 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
     )
     size = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()
     records = max(1, size["n"] * file_bytes // max(1, size["bytes"] or 0))
-    writer = resolve_revisits(pages).select(record.alias("value")).write.option("maxRecordsPerFile", records)
+    writer = resolve_revisits(pages.select("page_id", "url", "html")).select(record.alias("value")).write.option("maxRecordsPerFile", records)
     writer.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 

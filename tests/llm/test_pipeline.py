@@ -90,7 +90,7 @@ def test_pipeline_like_plain_python(spark, tmp_path):
         words[rng.randrange(len(words))] = "changed"
         docs.append({"doc_id": 10_000 + k, "text": " ".join(words), "lang": None, "source": "src0", "n_chars": 1})
     docs += [{"doc_id": 20_000, "text": None, "lang": None, "source": None, "n_chars": None}, {"doc_id": 20_001, "text": "1 2 3 " * 40, "lang": "en", "source": None, "n_chars": None}]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as kept", "'x' as Lang_Pred", "'x' as copy", "'x' as _text", "'x' as `a.b`").write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == rounds(docs)
     fill = {}
