@@ -18,7 +18,7 @@ MAX_RATE = 16.0
 #: Beyond this many copies the chance is under 2^-53 for any rate up to MAX_RATE.
 MOST_COPIES = 64
 #: The shuffled order is cut into this many equal ranges of its key.
-RANGES = 4096
+RANGES = 1 << 16
 #: A table of rates is broadcast up to this many sources; beyond it Spark joins by shuffle and splits a hot source.
 BROADCAST_SOURCES = 50_000
 
