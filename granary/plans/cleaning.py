@@ -249,6 +249,15 @@ def conflict_split(t):
     return I.split_conflicts(rows, "id", "v", ["o_orderkey"]).select("o_orderkey", "id")
 
 
+@query("conflict_split_all", """
+with b as (select o_orderkey, o_custkey::varchar as id, (o_orderkey % 5)::double + 0.25 as v from orders), c as (select id, count(distinct v) as n from b group by id)
+select o_orderkey, case when n > 1 then id || '_' || replace(printf('%.2f', v), '.', 'p') else id end as id from b join c using (id)""")
+def conflict_split_all(t):
+    """As conflict_split, over all orders."""
+    rows = t("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("id"), ((F.col("o_orderkey") % 5).cast("double") + 0.25).alias("v"))
+    return I.split_conflicts(rows, "id", "v", ["o_orderkey"]).select("o_orderkey", "id")
+
+
 @query("coalesce_partial_rows", """
 with p as (select o_custkey, o_orderkey, case when o_orderkey % 2 = 0 then o_orderstatus end as status, case when o_orderkey % 2 = 1 then o_orderpriority end as priority from orders)
 select o_custkey, arg_min(status, o_orderkey) filter (where status is not null) as status, arg_min(priority, o_orderkey) filter (where priority is not null) as priority from p group by o_custkey""")
