@@ -214,6 +214,14 @@ def full_outer_indicator(t):
     return I.outer_indicator(t("documents").where("n_chars > 500").select("doc_id"), t("labels").select("doc_id"), "doc_id").select("doc_id", "_merge")
 
 
+@query("full_outer_indicator_all", """
+select coalesce(d.doc_id, l.doc_id) as doc_id, case when d.doc_id is null then 'right_only' when l.doc_id is null then 'left_only' else 'both' end as _merge
+from documents d full join labels l on d.doc_id = l.doc_id""")
+def full_outer_indicator_all(t):
+    """As full_outer_indicator, of two whole tables."""
+    return I.outer_indicator(t("documents").select("doc_id"), t("labels").select("doc_id"), "doc_id").select("doc_id", "_merge")
+
+
 @query("one_to_one_join", "select doc_id, n_chars, quality from documents join labels using (doc_id)")
 def one_to_one_join(t):
     return I.one_to_one_join(t("documents").select("doc_id", "n_chars"), t("labels").select("doc_id", "quality"), "doc_id")
@@ -232,6 +240,20 @@ def lookup_by_fallback_keys(t):
     return I.lookup_by_keys(d.withColumn("row", F.col("doc_id")), "row", [["doc_id"], ["source", "lang"]], own.unionByName(group), "quality", ["o"]).withColumnRenamed("row", "doc_id")
 
 
+@query("lookup_by_fallback_keys_all", """
+with d as (select doc_id, source, lang from documents), e as (select doc_id, source, lang, quality from documents join labels using (doc_id) where quality is not null),
+g as (select source, lang, min(doc_id) as o, arg_min(quality, doc_id) as quality from e group by 1, 2),
+c as (select d.doc_id, e.quality, 0 as key_rank, e.doc_id as o from d join e using (doc_id) union all select d.doc_id, g.quality, 1, g.o from d join g on d.source = g.source and d.lang = g.lang)
+select doc_id, quality, key_rank from (select *, row_number() over (partition by doc_id order by key_rank, o) as r from c) where r = 1""")
+def lookup_by_fallback_keys_all(t):
+    """As lookup_by_fallback_keys, with all labels as evidence."""
+    d = t("documents").select("doc_id", "source", "lang")
+    best = d.join(t("labels").select("doc_id", "quality"), "doc_id").where("quality is not null")
+    group = best.groupBy("source", "lang").agg(F.min_by(F.struct("doc_id", "quality"), "doc_id").alias("g")).select(F.lit(None).cast("long").alias("doc_id"), "source", "lang", F.col("g.quality").alias("quality"), F.col("g.doc_id").alias("o"))
+    own = best.select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), "quality", F.col("doc_id").alias("o"))
+    return I.lookup_by_keys(d.withColumn("row", F.col("doc_id")), "row", [["doc_id"], ["source", "lang"]], own.unionByName(group), "quality", ["o"]).withColumnRenamed("row", "doc_id")
+
+
 @query("registry_incremental_new_keys", """
 with r as (select doc_id, source from documents where doc_id < 500), i as (select doc_id, source from documents where doc_id >= 300)
 select doc_id, source from r union all select doc_id, source from i where doc_id not in (select doc_id from r)""")
@@ -240,6 +262,14 @@ def registry_incremental_new_keys(t):
     return I.upsert_keep_existing(d.where("doc_id < 500"), d.where("doc_id >= 300"), "doc_id", ["source"])
 
 
+@query("registry_incremental_new_keys_all", """
+select doc_id, source from documents where doc_id % 2 = 0 union all select doc_id, 'new ' || source from documents where doc_id % 2 <> 0""")
+def registry_incremental_new_keys_all(t):
+    """All documents come in; every other one is known already, so both sides grow with the table."""
+    d = t("documents").select("doc_id", "source")
+    return I.upsert_keep_existing(d.where("doc_id % 2 = 0"), d.withColumn("source", F.concat(F.lit("new "), "source")), "doc_id", ["source"])
+
+
 @query("conflict_split", """
 with g as (select o_custkey, o_orderstatus, o_orderkey, count(distinct o_orderpriority) over (partition by o_custkey) as n from (select *, (o_orderkey % 5)::double + 0.25 as v from orders where o_orderkey < 2000)),
 b as (select o_orderkey, o_custkey::varchar as id, (o_orderkey % 5)::double + 0.25 as v from orders where o_orderkey < 2000), c as (select id, count(distinct v) as n from b group by id)

@@ -63,6 +63,17 @@ def graph_dangling(t):
     return G.dangling(nodes, edges).groupBy("end").agg(F.count("*").alias("edges"))
 
 
+@query("graph_dangling_all", f"""
+with n as (select {ID.format('customer', 'c_custkey')} as id from customer union select {ID.format('order', 'o_orderkey')} from orders union select {ID.format('customer', 'o_custkey')} from orders),
+e as (select {ID.format('customer', 'o_custkey')} as src, {ID.format('order', 'o_orderkey')} as dst from orders union all select {ID.format('order', 'l_orderkey')}, {ID.format('part', 'l_partkey')} from lineitem)
+select 'src' as "end", count(*) as edges from e where src not in (select id from n) having count(*) > 0
+union all select 'dst', count(*) from e where dst not in (select id from n) having count(*) > 0""")
+def graph_dangling_all(t):
+    """All edges against all nodes; parts are no nodes, so every CONTAINS edge dangles."""
+    edges = _edges(t).select(F.concat_ws("|", "type", "src", "dst", "seq").alias("rel_id"), "src", "dst")
+    return G.dangling(_candidates(t).select("id"), edges).groupBy("end").agg(F.count("*").alias("edges"))
+
+
 @query("graph_missing_properties", f"""
 select {ID.format('customer', 'c_custkey')} as id, case when c_acctbal < 0 then 'phone,rating' else 'phone' end as missing from customer""")
 def graph_missing_properties(t):
