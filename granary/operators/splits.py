@@ -7,6 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Groups are dealt to folds by so many buckets of a hash, those of more than APART of the rows one by one.
+BUCKETS, APART = 1 << 14, 1e-4
 
 
 def group_key(group: str, row: str, policy: str = "pool") -> Column:
@@ -20,22 +24,28 @@ def hash_group_fold(group: Column, folds: int, seed: int = 42) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), group)), 1, 8), 16, 10).cast("long"), F.lit(folds))
 
 
-def balanced_group_folds(df: DataFrame, group: str, folds: int, most_groups: int = 100_000) -> DataFrame:
-    """df with fold: groups from the largest to the smallest go to the lightest fold so far.
+def balanced_group_folds(df: DataFrame, group: str, folds: int, buckets: int = BUCKETS, share: float = APART) -> DataFrame:
+    """df with fold: groups go to the lightest fold so far, from the largest to the smallest.
 
-    The greedy walk runs on the driver over one row a group; with more groups than most_groups, folds come from hashes.
+    Groups of more than that share of the rows, of which there can't be more than 1 / share, go one by one; all others go
+    by buckets of a hash of the group. The rule is the same for every number of groups, and the driver never holds more
+    than `buckets` + 1 / share rows.
     """
-    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"))
-    if sizes.limit(most_groups + 1).count() > most_groups:
-        return df.withColumn("fold", hash_group_fold(F.col(group), folds))
+    bucket = F.pmod(F.xxhash64(F.col(group)), F.lit(buckets))
+    sizes = df.groupBy(F.col(group).alias("_g"), bucket.alias("_bucket")).agg(F.count("*").alias("n"))
+    apart = F.col("n") > df.count() * share
+    parts = sizes.groupBy(F.when(~apart, F.col("_bucket")).alias("_bucket"), F.when(apart, F.col("_g")).alias("_g")).agg(F.sum("n").alias("n"))
     heap = [(0, k) for k in range(folds)]
-    placed = []
-    for r in sizes.orderBy(F.desc("n"), "_g").collect():
+    dealt: tuple[list, list] = [], []  # buckets, groups apart
+    for r in parts.orderBy(F.desc("n"), "_bucket", "_g").collect():
         load, k = heapq.heappop(heap)
-        placed.append((r["_g"], k))
+        dealt[r["_bucket"] is None].append((r["_g"] if r["_bucket"] is None else r["_bucket"], k))
         heapq.heappush(heap, (load + r["n"], k))
-    table = df.sparkSession.createDataFrame(placed, f"_g {df.schema[group].dataType.simpleString()}, fold long")
-    return df.join(F.broadcast(table), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    make = df.sparkSession.createDataFrame
+    by_bucket = make(dealt[0], "_bucket long, _fold long")
+    by_group = make(dealt[1], T.StructType([T.StructField("_g", df.schema[group].dataType), T.StructField("_own", T.LongType())]))
+    placed = df.withColumn("_bucket", bucket).join(F.broadcast(by_bucket), "_bucket", "left").join(F.broadcast(by_group), F.col(group).eqNullSafe(F.col("_g")), "left")
+    return placed.withColumn("fold", F.coalesce("_own", "_fold")).drop("_bucket", "_fold", "_g", "_own")
 
 
 def group_holdout(df: DataFrame, group: str, share: float = 0.2, seed: int = 42) -> DataFrame:

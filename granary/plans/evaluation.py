@@ -146,6 +146,13 @@ def group_kfold_leakage_check(t):
     return folded.agg(F.count("*").alias("rows"), F.count_distinct("fold").alias("folds")).crossJoin(F.broadcast(bad)).select("groups_in_two_folds", "rows", "folds")
 
 
+@query("group_kfold_balance")
+def group_kfold_balance(t):
+    """Rows and groups of each fold."""
+    folded = S.balanced_group_folds(t("orders").select("o_orderkey", "o_custkey"), "o_custkey", 5)
+    return folded.groupBy("fold").agg(F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("groups"))
+
+
 @query("hash_group_folds", """
 select o_orderkey, ('0x' || substr(md5('42:' || o_custkey), 1, 8))::bigint % 5 as fold from orders""")
 def hash_group_folds(t):

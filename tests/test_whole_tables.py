@@ -41,3 +41,23 @@ def test_registry_grows_with_the_table(spark):
 def test_outer_join_of_whole_tables(spark):
     got = run(spark, "full_outer_indicator_all")
     assert got.where("_merge <> 'right_only'").count() == count(spark, "documents")
+
+
+def test_folds_by_one_rule_at_every_size(spark):
+    from pyspark.sql import functions as F
+
+    from granary.operators import splits
+
+    for n in (3_000, 300_000):  # a third of the rows in one group, the rest in groups of one row
+        df = spark.range(n).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("g"))
+        folded = splits.balanced_group_folds(df, "g", 5)
+        assert folded.columns == ["id", "g", "fold"] and folded.groupBy("g").agg(F.count_distinct("fold").alias("k")).where("k > 1").count() == 0
+        rows = sorted(r["count"] for r in folded.groupBy("fold").count().collect())
+        assert sum(rows) == n and rows[-1] == n // 3 and rows[3] - rows[0] <= n / 1000, rows
+    assert splits.balanced_group_folds(df.where("false"), "g", 5).count() == 0
+
+
+def test_balance_is_returned(spark):
+    got = registry.QUERIES["group_kfold_balance"](spark, FOLDER).collect()
+    rows = [r["rows"] for r in got]
+    assert len(got) == 5 and sum(rows) == count(spark, "orders") and max(rows) - min(rows) <= 40, rows
