@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import materialize, quoted, set_aside, table
+from granary.llm.components import connected_components
 from granary.llm.language import UNKNOWN, learn_profiles, predict_languages
-from granary.llm.minhash import near_duplicates
+from granary.llm.minhash import PERCENT, WORDS, near_duplicates
 from granary.llm.mixing import mix_sources
 from granary.llm.packing import pack_documents
 from granary.llm.quality import quality_verdicts
 
 #: Documents whose language is recognised with less than this, or not at all, go.
 LEAST_SCORE = 0.15
+#: Near-duplicates share at least so many hundredths of their shingles of so many words, by either rule: the first finds
+#: appended text, the second scattered edits.
+RULES = ((5, 80), (WORDS, PERCENT))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +39,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; documents without one stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    found = [near_duplicates(docs, width=w, percent=p).where("doc_id <> component_id") for w, p in RULES]
+    links = found[0].unionByName(found[1]).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    gone = connected_components(links).where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 

@@ -26,9 +26,6 @@ BATCH, MISS = 25, 1e-6
 SMALL_BUCKET, BLOCK = 12, 512
 WORD_CACHE = 60_000
 
-_RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, HASHES, np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _SHIFT = np.uint64(31)
 
@@ -59,17 +56,31 @@ def shingles(words: list[bytes], width: int = WORDS) -> np.ndarray:
     return np.unique(mixed * _MIX[4])
 
 
-def minima(own: np.ndarray) -> np.ndarray:
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint64)
+def bands_for(percent: int) -> int:
+    """As many bands as miss a pair of that similarity with no greater chance than BANDS miss one of PERCENT."""
+    never = lambda p: math.log1p(-((p / 100) ** ROWS))
+    return BANDS if percent == PERCENT else math.ceil(BANDS * never(PERCENT) / never(percent))
+
+
+@functools.cache
+def _hashing(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240229)
+    a = rng.integers(1, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
+    return a, rng.integers(0, 1 << 63, hashes, np.uint64)
+
+
+def minima(own: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    least = np.full(hashes, 0xFFFFFFFF, np.uint64)
+    a, b = _hashing(hashes)
     for lo in range(0, len(own), 2048):
-        h = (_A[:, None] * own[None, lo : lo + 2048] + _B[:, None]) >> np.uint64(32)
+        h = (a[:, None] * own[None, lo : lo + 2048] + b[:, None]) >> np.uint64(32)
         least = np.minimum(least, h.min(1))
     return least
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0]
+    rows = least.reshape(-1, ROWS)
+    key = np.arange(1, len(rows) + 1, dtype=np.uint64) * _MIX[0]
     for k in range(ROWS):
         key = (key ^ rows[:, k]) * _MIX[1]
         key ^= key >> _SHIFT
@@ -99,35 +110,35 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, hashes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, content, signature, bands = [], [], [], []
         for text in batch.column(1):
             words = words_of(text.as_py())
-            own = shingles(words)
+            own = shingles(words, width)
             n.append(len(own))
-            least = minima(own) if len(own) else None
+            least = minima(own, hashes) if len(own) else None
             content.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
             signature.append(None if least is None else (least & np.uint64(255)).astype(np.uint8).tobytes())
             bands.append(None if least is None else band_keys(least))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "content", "signature", "bands"])
 
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prune(batches: Iterator[pa.RecordBatch], percent: int, hashes: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures don't rule out that they are similar enough."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, hashes) for k in (2, 3))
         left, agree = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-        for lo in range(0, HASHES, BATCH):
+        for lo in range(0, hashes, BATCH):
             agree = agree + (a[left, lo : lo + BATCH] == b[left, lo : lo + BATCH]).sum(1)
-            on = agree >= least_matches(lo + BATCH)
+            on = agree >= least_matches(min(lo + BATCH, hashes), percent)
             left, agree = left[on], agree[on]
         yield batch.select(["a", "b"]).take(pa.array(left))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The sets of rows whose text has the wanted content."""
     for batch in batches:
         ids, sets = [], []
@@ -135,17 +146,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = words_of(text)
             if words and xxhash.xxh3_128_digest(b" ".join(words)) == content:
                 ids.append(doc_id)
-                sets.append(shingles(words).tobytes())
+                sets.append(shingles(words, width).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["rep", "own"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        found = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
-def _block_links(key, rows):
+def _block_links(key, rows, percent: int, hashes: int):
     """Links that join what is similar enough in one pair of blocks: a forest, so never more than there are rows."""
     import pandas as pd
 
@@ -153,15 +164,15 @@ def _block_links(key, rows):
     same = key[1] == key[2]
     left = rows[rows["block"] == key[1]]
     right = left if same else rows[rows["block"] == key[2]]
-    side = [(x["rep"].to_numpy(), np.frombuffer(b"".join(x["signature"]), np.uint8).reshape(-1, HASHES), [np.frombuffer(s, np.uint64) for s in x["own"]]) for x in (left, right)]
+    side = [(x["rep"].to_numpy(), np.frombuffer(b"".join(x["signature"]), np.uint8).reshape(-1, hashes), [np.frombuffer(s, np.uint64) for s in x["own"]]) for x in (left, right)]
     (ids, sig, sets), (ids2, sig2, sets2) = side
     pairs: list[np.ndarray] = []
     for i in range(len(ids)):
         on = np.arange(i + 1, len(ids2)) if same else np.arange(len(ids2))
         agree = np.zeros(len(on), np.int64)
-        for lo in range(0, HASHES, BATCH):
+        for lo in range(0, hashes, BATCH):
             agree = agree + (sig2[on, lo : lo + BATCH] == sig[i, lo : lo + BATCH]).sum(1)
-            passed = agree >= least_matches(lo + BATCH)
+            passed = agree >= least_matches(min(lo + BATCH, hashes), percent)
             on, agree = on[passed], agree[passed]
         pairs.append(np.stack([np.full(len(on), i), on, agree]))
     found = np.concatenate(pairs, 1) if pairs else np.zeros((3, 0), np.int64)
@@ -175,14 +186,14 @@ def _block_links(key, rows):
     links = []
     for i, j, _ in found[:, np.argsort(-found[2], kind="stable")].T.tolist():
         a, b = int(ids[i]), int(ids2[j])
-        if top(a) != top(b) and similar(sets[i], sets2[j]):
+        if top(a) != top(b) and similar(sets[i], sets2[j], percent):
             root[top(b)] = top(a)
             links.append((a, b))
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs; linked by shingles of `width` words, from `percent` hundredths on.
 
     Documents with the same words are one representative first, by a grouping that Spark combines before the shuffle,
     so copies never meet as pairs. Representatives in small buckets of a band are compared in pairs; larger buckets
@@ -194,8 +205,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     doc_id, whose component_id is null and which are kept. Rows that repeat a doc_id get equal results. Other columns
     are ignored; an empty table gives an empty result.
     """
+    hashes = bands_for(percent) * ROWS
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketch = materialize(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, content binary, signature binary, bands array<long>"), "sketch")
+    sketch = materialize(docs.mapInArrow(lambda batches: _sketch(batches, width, hashes), "doc_id long, n_shingles long, content binary, signature binary, bands array<long>"), "sketch")
     known = sketch.where("content is not null and doc_id is not null")
     first = known.groupBy("content").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("first"), F.count("*").alias("n"))
     reps = materialize(first.select("content", "n", F.col("first.doc_id").alias("rep"), "first.signature", "first.bands"), "reps")
@@ -209,24 +221,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     signed = reps.select("rep", "signature")
     with_a = pairs.join(signed.select(F.col("rep").alias("a"), F.col("signature").alias("x")), "a")
     with_b = with_a.join(signed.select(F.col("rep").alias("b"), F.col("signature").alias("y")), "b").select("a", "b", "x", "y")
-    pairs = materialize(with_b.mapInArrow(_prune, "a long, b long"), "pairs")
+    pairs = materialize(with_b.mapInArrow(lambda batches: _prune(batches, percent, hashes), "a long, b long"), "pairs")
 
     clusters = connected_components(members.where(F.col("size") > SMALL_BUCKET).select(F.col("rep").alias("a"), F.col("least").alias("b")))
     clustered = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
     candidates = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(clustered.select("rep")).distinct()
     wanted = candidates.join(reps.select("rep", "content"), "rep")
-    sets = materialize(docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "text", "content").mapInArrow(_sets, "rep long, own binary"), "sets")
+    sets = materialize(docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "text", "content").mapInArrow(lambda batches: _sets(batches, width), "rep long, own binary"), "sets")
 
     with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    links = with_b.mapInArrow(_confirm, "a long, b long")
+    links = with_b.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
 
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     blocks = clustered.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
     laid = dealt.join(sets, "rep").join(signed, "rep")
-    links = links.union(laid.groupBy("cluster", "i", "j").applyInPandas(_block_links, "a long, b long"))
+    links = links.union(laid.groupBy("cluster", "i", "j").applyInPandas(lambda key, rows: _block_links(key, rows, percent, hashes), "a long, b long"))
 
     components = connected_components(links)
     copies = reps.where("n > 1").select("content", F.col("rep").alias("_rep"))
