@@ -13,9 +13,9 @@ from granary.llm.common import carried, materialize, quoted, set_aside, small_or
 SEED = 17
 #: Without given weights a source's target weight is its share of the bytes to this power, so large sources lose and small ones gain.
 TEMPERATURE = 0.7
-#: No source is repeated more often than this on average.
+#: Copies are drawn at once up to this rate; a higher rate is the sum of several draws. OP10_SQL has no rates above it.
 MAX_RATE = 16.0
-#: Beyond this many copies the chance is under 2^-53 for any rate up to MAX_RATE.
+#: Beyond this many copies the chance is under 2^-53 for one draw.
 MOST_COPIES = 64
 #: The shuffled order is cut into this many equal ranges of its key.
 RANGES = 1 << 16
@@ -23,7 +23,7 @@ RANGES = 1 << 16
 BROADCAST_SOURCES = 50_000
 
 
-def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, size: Column | None = None, temperature: float = TEMPERATURE, max_rate: float = MAX_RATE) -> DataFrame:
+def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, size: Column | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """(source, rate): how often a document of a source is to occur on average so that the mixture has the target weights and the size of the input.
 
     size: what is weighed, by default the UTF-8 bytes of the text and one more. weights: by source, not all zero; a
@@ -43,7 +43,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, si
     if not total["weight"]:
         raise ValueError("no source that occurs has a weight")
     rate = F.col("_weight") / F.lit(float(total["weight"])) * F.lit(float(total["size"])) / F.col("_size")
-    return weighed.select("source", F.least(rate, F.lit(float(max_rate))).alias("rate"))
+    return weighed.select("source", rate.alias("rate"))
 
 
 def poisson_steps(rate: Column, most: int = MOST_COPIES) -> Column:
@@ -58,7 +58,7 @@ def poisson_steps(rate: Column, most: int = MOST_COPIES) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, add, lambda acc: acc["steps"])
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = SEED, temperature: float = TEMPERATURE, max_rate: float = MAX_RATE, ranges: int = RANGES) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = SEED, temperature: float = TEMPERATURE, ranges: int = RANGES) -> DataFrame:
     """Every document as often as a Poisson law with its source's rate says, in one global shuffled order.
 
     The law is inverted at a number in [0, 1) that a hash of seed and doc_id gives (rows without an id: of their text),
@@ -70,12 +70,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, see
     """
     docs = docs.select(*map(quoted, carried(docs.columns, ("rate", "n_copies", "copy", "position"))))
     docs, back = set_aside(docs, "doc_id", "text", "source")
-    rates = small_or_plain(materialize(source_rates(docs, weights, None, temperature, max_rate).select(F.col("source").alias("_source"), "rate", poisson_steps(F.col("rate")).alias("_steps")), "rates"), BROADCAST_SOURCES)
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int"))
+    rates = source_rates(docs, weights, None, temperature).select(F.col("source").alias("_source"), "rate", draws.alias("_draws"), poisson_steps(F.col("rate") / draws).alias("_steps"))
+    rates = small_or_plain(materialize(rates, "rates"), BROADCAST_SOURCES)
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.coalesce("text", F.lit("")))))
-    drawn = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    counted = docs.join(rates, docs.source.eqNullSafe(F.col("_source"))).withColumn("n_copies", F.size(F.filter("_steps", lambda s: s <= drawn)))
+    copies_at = lambda x: F.size(F.filter("_steps", lambda s: s <= F.conv(F.substring(F.md5(x), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))))
+    # a sum of independent Poisson draws is a Poisson draw of the sum of their rates
+    more = F.aggregate(F.sequence(F.lit(2), F.col("_draws")), F.lit(0), lambda n, k: n + copies_at(F.concat(key, F.lit(":draw"), k.cast("string"))))
+    counted = docs.join(rates, docs.source.eqNullSafe(F.col("_source"))).withColumn("n_copies", copies_at(key) + F.when(F.col("_draws") > 1, more).otherwise(0))
     copies = (
-        counted.drop("_source", "_steps").where("n_copies > 0")
+        counted.drop("_source", "_draws", "_steps").where("n_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
         .withColumn("_key", F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long"))
         .withColumn("_range", F.floor(F.col("_key") / F.lit(float(1 << 60)) * ranges).cast("int"))

@@ -25,3 +25,22 @@ def test_stage_finds_appended_tails(spark):
 def test_bands_follow_from_the_similarity():
     assert minhash.bands_for(minhash.PERCENT) == minhash.BANDS
     assert (1 - 0.8**minhash.ROWS) ** minhash.bands_for(80) <= (1 - 0.85**minhash.ROWS) ** minhash.BANDS < 1e-6
+
+
+def test_high_rates_keep_weights_and_size(spark):
+    from granary.llm import mixing
+
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'ten chars' as text", "case when id % 100 = 0 then 'rare' when id = 1 then 'one' else 'rest' end as source")
+    got = {r.source: r for r in mixing.mix_sources(docs, {"rare": 0.5, "one": 0.2, "rest": 0.3}).selectExpr("*", "count(*) over (partition by doc_id) as n").groupBy("source").agg({"*": "count", "rate": "max"}).collect()}
+    assert {s: round(r["max(rate)"], 6) for s, r in got.items()} == {"rare": 50.0, "one": 4000.0, "rest": round(6000 / 19_799, 6)}
+    for s, want in (("rare", 10_000), ("one", 4000), ("rest", 6000)):
+        assert abs(got[s]["count(1)"] - want) < 5 * want**0.5, (s, got[s])
+
+
+def test_spread_of_high_rates(spark):
+    from granary.llm import mixing
+
+    docs = spark.range(200_000).selectExpr("id as doc_id", "'ten chars' as text", "case when id % 100 = 0 then 'rare' else 'rest' end as source")
+    n = [r.n_copies for r in mixing.mix_sources(docs, {"rare": 0.5, "rest": 0.5}).where("source = 'rare' and copy = 0").collect()]
+    mean = sum(n) / len(n)
+    assert len(n) == 2000 and abs(mean - 50) < 1 and 43 < sum((x - mean) ** 2 for x in n) / len(n) < 58
