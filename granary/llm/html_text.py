@@ -21,8 +21,9 @@ WORD_WEIGHTS, TAG_COSTS, NEUTRAL = (0.2, 1.0), (0.1, 1.5), 0.4
 ASIDE_COST = 2.0
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?=[a-zA-Z/])[^>]*(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-NAME = re.compile(r"[a-z]+")
+#: Whole names with their own values, so nothing inside a value is read as a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NAME = re.compile(r"[a-z]{2,}")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
@@ -37,20 +38,28 @@ OUTER_ROLES = frozenset("navigation banner contentinfo complementary search form
 OUTER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus footer login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar trending widget widgets".split())
 #: Of these, only outside of an article.
 OUTER_UNLESS_INSIDE = frozenset("header".split())
+#: Words of a class or id that make it say what its element has or lacks, not what it is.
+STATES = frozenset("has have no not with without show shows hide hides enable disable".split())
 
 
-def _outer(name: str, attributes: str, inside: int) -> bool:
+def _outer(name: str, attributes: str, inside: int) -> int:
+    """0: may be article text; 1: is none by its tag, its role or because it isn't shown; 2: is none by its class or id.
+
+    A class or id tells by its last word: comment-menu is a menu; has-sidebar and no-comments say what the page has.
+    """
     if name in OUTER or name in RAW or name == "header" and not inside:
-        return True
+        return 1
+    by_name = 0
     for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in OUTER_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return 1
         if key in ("class", "id") and name not in ("html", "body", "main", "article"):
-            names = NAME.findall(value)
-            if not OUTER_NAMES.isdisjoint(names) or not inside and name not in HEADINGS and not OUTER_UNLESS_INSIDE.isdisjoint(names):
-                return True
-    return False
+            for word in value.split():
+                names = NAME.findall(word)
+                if names and STATES.isdisjoint(names) and (names[-1] in OUTER_NAMES or not inside and name not in HEADINGS and names[-1] in OUTER_UNLESS_INSIDE):
+                    by_name = 2
+    return by_name
 
 
 def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
@@ -59,15 +68,29 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     Tag events have the tag's name, a slash before it for end tags and '!' before it where a part begins or ends that is
     no article text. Text events have '' first and the text with its character references decoded; then the event's
     second value is the text and the third says whether it is left out. Ends of elements that were never closed are
-    inferred from the end of an element around them, and of paragraphs from the next block.
+    inferred from the end of an element around them, and of paragraphs from the next block. An element that holds most
+    words of the page isn't left out because of its class or id.
     """
+    held: dict[int, int] = {}
+    found = list(_events(page, frozenset(), held))
+    most = frozenset(at for at, words in held.items() if at >= 0 and 2 * words > held[-1])
+    return _events(page, most, {}) if most else iter(found)
+
+
+def _events(page: str, spared: frozenset[int], held: dict[int, int]) -> Iterator[tuple[str, str, bool, bool]]:
+    """Fills held with the words of elements that are left out by class or id, by where their tags end, and at -1 of the page; those that are spared stay."""
     stack: list[tuple[str, bool]] = []
+    named: list[tuple[int, int, int]] = []  # depth, where and after how many words an element began that is left out by name
+    words = 0
     outer = inside = 0
     at = 0
 
     def pop() -> Iterator[tuple[str, str, bool, bool]]:
         nonlocal outer, inside
         name, was_outer = stack.pop()
+        if named and named[-1][0] == len(stack):
+            _, where, before = named.pop()
+            held[where] = words - before
         inside -= name in ("article", "main")
         if was_outer:
             outer -= 1
@@ -80,6 +103,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         stop = m.start() if m else end
         if stop > at:
             text = page[at:stop]
+            words += len(text.split())
             yield "", entities.unescape(text) if "&" in text else text, outer > 0, inside > 0
         if not m:
             break
@@ -114,7 +138,10 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        left_out = _outer(name, m[2], inside)
+        why = _outer(name, m[2], inside)
+        left_out = why == 1 or why == 2 and at not in spared
+        if why == 2:
+            named.append((len(stack), at, words))
         if left_out:
             outer += 1
             if outer == 1:
@@ -123,6 +150,8 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         inside += name in ("article", "main")
         if not outer:
             yield name, "", False, inside > 0
+    held.update((where, words - before) for _, where, before in named)
+    held[-1] = words
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from granary.llm import minhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,3 +45,21 @@ def test_spread_of_high_rates(spark):
     n = [r.n_copies for r in mixing.mix_sources(docs, {"rare": 0.5, "rest": 0.5}).where("source = 'rare' and copy = 0").collect()]
     mean = sum(n) / len(n)
     assert len(n) == 2000 and abs(mean - 50) < 1 and 43 < sum((x - mean) ** 2 for x in n) / len(n) < 58
+
+
+WORDS = " ".join(f"word{k}" for k in range(40))
+
+
+@pytest.mark.parametrize("tag", ["a href='/hidden-gems'", "span title='hidden costs'", "p data-state=\"hidden\"", "div data-testid='comments'", "div class='content has-sidebar'", "div id='right-sidebar-layout'", "div class='no-comments'", "div class=share-enabled", "div class='sidebar'"])
+def test_text_that_no_name_leaves_out(tag):
+    from granary.llm.html_text import main_text
+
+    name = tag.split()[0]
+    assert main_text(f"<body><{tag}>{WORDS}</{name}></body>", {}) == WORDS
+
+
+@pytest.mark.parametrize("tag", ["div hidden", "div HIDDEN=''", "div class='ad'", "div class='box site-ads'", "div id=\"comments\"", "section class=page-sidebar", "div style='display: none'", "div title='x' role='search'", "div title='a > b' hidden"])
+def test_text_that_is_left_out(tag):
+    from granary.llm.html_text import main_text
+
+    assert main_text(f"<body><p>{WORDS}</p><{tag}>not this</{tag.split()[0]}></body>", {}) == WORDS
