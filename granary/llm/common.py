@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,6 +17,9 @@ from pyspark.sql.types import StructType
 #: The words of every contract here: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Texts reach Python workers in Arrow batches of about so many bytes, unless the session sets another limit than Spark's own.
+BATCH_BYTES, SPARK_BATCH_BYTES = "4m", "67108864b"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -25,6 +29,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_granary_shipped", False):
         return
     sc._granary_shipped = True
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", SPARK_BATCH_BYTES) in (SPARK_BATCH_BYTES, "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = Path(__file__).resolve().parent.parent
     packed = Path(tempfile.mkdtemp(prefix="granary-")) / "granary.zip"
     with zipfile.ZipFile(packed, "w") as z:
@@ -39,39 +45,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; only where none is set (tests), a new local one."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; only in local mode, where none may be set, a new local one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
-    """A path of its own in the shared folder, deleted when the driver's Python ends."""
+    """A path of its own in the shared folder, deleted when the driver's Python ends, if not before."""
     path = f"{shared_dir(spark)}/granary-{kind}-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(_delete)
+        atexit.register(_delete, 0)
     _written.append((spark, path))
     return path
 
 
-def _delete() -> None:
-    for spark, path in _written:
+def _delete(first: int, kept: str | None = None, stop: int | None = None) -> None:
+    """The folders that were written from that one on, but for one that is kept."""
+    for spark, path in _written[first:stop]:
+        if path == kept:
+            continue
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session may be gone; the folder then goes with the cluster's shared folder
-            return
+            continue
+        _written.remove((spark, path))
 
 
 def materialize(df: DataFrame, kind: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor takes nothing along."""
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._granary_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what materialize() or finished() wrote; nothing that was planned on it may run any more."""
+    for k in [k for k, (_, path) in enumerate(_written) if path == getattr(df, "_granary_path", "")]:
+        _delete(k, stop=k + 1)
+
+
+def finished(make: Callable[[], DataFrame], kind: str) -> DataFrame:
+    """The table that make() plans, written; what it wrote on its way there is deleted."""
+    first = len(_written)
+    out = materialize(make(), kind)
+    _delete(first, _written[-1][1])
+    return out
 
 
 def small_or_plain(small: DataFrame, max_rows: int) -> DataFrame:
@@ -121,3 +149,4 @@ def parts(batches: Iterator, rows: int) -> Iterator:
     for batch in batches:
         for lo in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize
+from granary.llm.common import finished, materialize
 
 
 def connected_components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -15,6 +15,10 @@ def connected_components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     shorten by half or better; the labels of a round are a written table in the shared folder. Sums and minima are
     combined before every shuffle, so a node with very many links is no hot key; rows with a null end are ignored.
     """
+    return finished(lambda: _settled(links, max_rounds), "components")
+
+
+def _settled(links: DataFrame, max_rounds: int) -> DataFrame:
     links = links.where("a is not null and b is not null and a <> b").select("a", "b")
     both = materialize(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
