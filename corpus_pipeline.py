@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, quoted, set_aside, table
+from granary.llm.common import finished, forget, materialize, quoted, set_aside, table, unused
 from granary.llm.components import connected_components
 from granary.llm.language import UNKNOWN, learn_profiles, predict_languages
 from granary.llm.minhash import PERCENT, WORDS, near_duplicates
@@ -38,11 +38,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id; documents without one stay."""
-    found = [near_duplicates(docs, width=w, percent=p).where("doc_id <> component_id") for w, p in RULES]
+    """One row of each group of near-duplicates: that with the smallest doc_id, or any one if several share it or none has one.
+
+    Rows are told apart by a number of their own, so copies that repeat a doc_id or have none are copies like others.
+    Rows without text or words are no copies of each other.
+    """
+    row = unused("_row", docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = [near_duplicates(rows, key=row, width=w, percent=p).where("doc_id <> component_id") for w, p in RULES]
     links = found[0].unionByName(found[1]).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    gone = connected_components(links).where("node <> component").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    groups = connected_components(links)
+    ids = groups.join(rows.select(F.col(row).alias("node"), "doc_id"), "node")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first")).select("first.node")
+    gone = groups.join(first, "node", "left_anti").select(F.col("node").alias(row))
+    return rows.join(gone, row, "left_anti").select(*map(quoted, docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage{k}")
+        forget(before)
     return docs
