@@ -16,8 +16,8 @@ from granary.llm.common import carried, map_carrying, materialize, parts, table
 PROFILE = 400
 #: At most about so many documents, spread by a hash over all that have a language, are read to learn profiles.
 MAX_TRAINING_DOCS = 60_000
-#: Languages are told apart by a profile each; more than this many values of lang are an error.
-MAX_LANGUAGES = 1000
+#: A value of lang with fewer n-grams than this in all that is read has no profile; so there are never more profiles than text bears.
+LEAST_NGRAMS = 400
 UNKNOWN = "und"
 
 
@@ -61,12 +61,12 @@ def top_codes(text: str, size: int = PROFILE) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-gram counts of each language, combined per batch."""
-    for batch in batches:
+    for batch in batches:  # of bounded bytes
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for part in parts(iter([batch]), 200):
             own: dict[str, list[str]] = {}
-            for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                own.setdefault(lang, []).append(text)
+            for text, lang in zip(part.column(0), part.column(1), strict=True):
+                own.setdefault(lang.as_py(), []).append(text.as_py())
             for lang, texts in own.items():
                 codes, counts = np.unique(ngrams("\n".join(texts)), return_counts=True)
                 if lang in sums:
@@ -80,7 +80,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_profiles(docs: DataFrame, allowed: Column, size: int = PROFILE, max_docs: int = MAX_TRAINING_DOCS) -> dict[str, np.ndarray]:
     """For each lang value of the allowed rows with text, its `size` most frequent n-grams, most frequent first.
 
-    Reads at most about max_docs rows, chosen by a hash of doc_id; what reaches the driver is `size` rows a language.
+    Reads at most about max_docs rows, chosen by a hash of doc_id; what reaches the driver is `size` rows for each
+    language that has LEAST_NGRAMS in them, as Arrow columns.
     """
     known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = docs.where(allowed & F.col("lang").isNotNull()).count()
@@ -88,39 +89,39 @@ def learn_profiles(docs: DataFrame, allowed: Column, size: int = PROFILE, max_do
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))
     counts = known.where(spread | F.lit(part == 1.0)).select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_count, "lang string, code long, n long")
     counts = materialize(counts.groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngrams")
-    if counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} values of lang")
+    enough = counts.groupBy("lang").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_NGRAMS).select("lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    found: dict[str, list[int]] = {}
-    for r in counts.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect():
-        found.setdefault(r["lang"], []).append(r["code"])
-    return {lang: np.array(codes, np.int64) for lang, codes in found.items()}
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= size).join(enough, "lang", "left_semi").select("lang", "rank", "code").toArrow()
+    top = top.sort_by([("lang", "ascending"), ("rank", "ascending")])
+    langs, codes = top["lang"].to_pylist(), top["code"].to_numpy()
+    starts = [k for k in range(len(langs)) if not k or langs[k] != langs[k - 1]]
+    return {langs[lo]: codes[lo:hi] for lo, hi in zip(starts, [*starts[1:], len(langs)], strict=True)} if langs else {}
 
 
 class RankOrder:
-    """Out-of-place distances from all profiles at once."""
+    """Out-of-place distances from all profiles at once; what a document's n-grams have in common with profiles is looked up, however many there are."""
 
     def __init__(self, profiles: dict[str, np.ndarray], size: int = PROFILE):
         self.langs, self.size = sorted(profiles), size
-        self.codes = np.unique(np.concatenate([*profiles.values(), np.array([-1])]))
-        self.ranks = np.full((len(self.codes) + 1, len(self.langs)), size, np.int64)  # the last row: in no profile
-        self.known = np.zeros((len(self.codes) + 1, len(self.langs)), bool)
-        for k, lang in enumerate(self.langs):
-            at = np.searchsorted(self.codes, profiles[lang])
-            self.ranks[at, k] = np.arange(len(at))
-            self.known[at, k] = True
+        own = [profiles[x] for x in self.langs] or [np.zeros(0, np.int64)]
+        codes = np.concatenate(own)
+        order = np.argsort(codes, kind="stable")
+        self.codes = codes[order]
+        self.lang = np.repeat(np.arange(len(own)), [len(x) for x in own])[order]
+        self.rank = np.concatenate([np.arange(len(x)) for x in own])[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language (ties: the first by name) and 1 less its distance as a share of the largest possible."""
         own = top_codes(text, self.size) if text else ()
         if not len(own) or not self.langs:
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.codes, own)
-        at[at < len(self.codes)] = np.where(self.codes[at[at < len(self.codes)]] == own[at < len(self.codes)], at[at < len(self.codes)], len(self.codes))
-        places = np.arange(len(own))[:, None]
-        off = np.where(self.known[at], np.abs(self.ranks[at] - places), self.size).sum(0)
-        best = int(np.argmin(off))
-        return self.langs[best], float(1 - off[best] / (self.size * len(own)))
+        lo, hi = np.searchsorted(self.codes, own), np.searchsorted(self.codes, own, "right")
+        n = hi - lo
+        place = np.repeat(np.arange(len(own)), n)  # of each match, where the document has it
+        at = np.arange(len(place)) + np.repeat(lo - (np.cumsum(n) - n), n)
+        near = np.bincount(self.lang[at], self.size - np.abs(self.rank[at] - place), len(self.langs))
+        best = int(np.argmax(near))
+        return self.langs[best], float(near[best] / (self.size * len(own)))
 
 
 def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], carry: list[str] | None = None, size: int = PROFILE) -> DataFrame:
@@ -133,7 +134,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], carry: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = RankOrder(profiles, size)
-        for batch in batches:
+        for batch in parts(batches, 1000):
             found = [model.predict(text.as_py()) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 

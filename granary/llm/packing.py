@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from granary.llm.common import carried, map_carrying, materialize, set_aside, table
+from granary.llm.common import carried, map_carrying, materialize, parts, set_aside, table
 from granary.llm.tokens import BYTE_LEVEL, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -55,7 +55,7 @@ def _cut(name: str, capacity: int, end_id: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name).encode
-        for batch in batches:
+        for batch in parts(batches, 500):
             keys, rows, ids = [], [], []
             for at, text in enumerate(batch.column(0)):
                 found = encode(text.as_py()) + end

@@ -47,7 +47,7 @@ def char_classes(text: str) -> np.ndarray:
 
 def _references_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per part of a batch: how often each language has each short word (kind w) and each character class (kind c)."""
-    for batch in parts(batches, 2000):
+    for batch in parts(batches, 1000):
         words: dict[str, Counter] = {}
         chars: dict[str, np.ndarray] = {}
         for text, lang in zip(batch.column(0), batch.column(1), strict=True):
@@ -117,30 +117,45 @@ def base_counts(text: str) -> tuple[list[str], int, int, int, int]:
     return words, sum(map(len, words)), len(SYMBOL_RE.findall(text)), len(lines) - len(set(lines)), n_repeat
 
 
+def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """js_distance of each row of shares p (or of one) from the same row of shares q."""
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        both = np.where(p > 0, p * np.log2(p / m), 0).sum(1) + np.where(q > 0, q * np.log2(q / m), 0).sum(1)
+    return np.sqrt(np.maximum(0, both / 2))
+
+
 def _judge(references: dict[str, dict]):
     langs = sorted(references)
-    chars = [references[x]["chars"] for x in langs]
-    vocab = [{w: k for k, w in enumerate(references[x]["words"])} for x in langs]
-    shares = [np.array([*references[x]["words"].values(), references[x]["total"] - sum(references[x]["words"].values())], float) for x in langs]
+    chars = np.array([references[x]["chars"] / references[x]["chars"].sum() for x in langs]).reshape(-1, CLASSES)
+    width = 1 + max((len(references[x]["words"]) for x in langs), default=0)
+    shares = np.zeros((len(langs), width))  # of a language's common words, by rank; of all other words in the last column
+    places: dict[str, list[tuple[int, int]]] = {}
+    for k, x in enumerate(langs):
+        words, total = references[x]["words"], references[x]["total"]
+        shares[k, : len(words)] = list(words.values())
+        shares[k, -1] = total - sum(words.values())
+        shares[k] /= total
+        for r, w in enumerate(words):
+            places.setdefault(w, []).append((k, r))
 
     def distances(text: str, words: list[str]) -> tuple[float | None, float | None]:
         """From the nearest reference; None where a guard or the lack of references keeps from judging."""
         if len(words) < LEAST_WORDS or len(text) < LEAST_CHARS or not langs:
             return None, None
         own = char_classes(text)
-        counts = Counter(map(str.lower, words))
-        nearest = None
-        for k in range(len(langs)):
-            hist = np.zeros(len(shares[k]))
-            for w, at in vocab[k].items():
-                hist[at] = counts.get(w, 0)
-            hist[-1] = len(words) - hist.sum()
-            pair = (js_distance(own, chars[k]), js_distance(hist, shares[k]))
-            nearest = pair if nearest is None or sum(pair) < sum(nearest) else nearest
-        return nearest
+        counts = Counter(filter(places.__contains__, map(str.lower, words)))
+        hist = np.zeros((len(langs), width))
+        for w, n in counts.items():
+            for k, r in places[w]:
+                hist[k, r] = n
+        hist[:, -1] = len(words) - hist.sum(1)
+        by_char, by_word = js_distances(own[None] / own.sum(), chars), js_distances(hist / len(words), shares)
+        k = int(np.argmin(by_char + by_word))
+        return float(by_char[k]), float(by_word[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 1000):
+        for batch in parts(batches, 500):
             rows = []
             for text in map(pa.StringScalar.as_py, batch.column(0)):
                 words, word_chars, n_symbols, n_dup, n_repeat = base_counts(text)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import new_path, table
+from granary.llm.common import new_path, parts, table
 from granary.llm.tokens import WORD_LEVEL, encoder
 
 END_ID = 1
@@ -28,14 +28,12 @@ def _encode(name: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name).encode
-        for batch in batches:
-            for lo in range(0, max(1, batch.num_rows), 1000):
-                part = batch.slice(lo, 1000)
-                found = [encode(text.as_py()) + end for text in part.column(1)]
-                n = np.array([len(x) // 4 for x in found], np.int32)
-                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), ids], ["doc_id", "n_tokens", "tokens"])
+        for part in parts(batches, 500):
+            found = [encode(text.as_py()) + end for text in part.column(1)]
+            n = np.array([len(x) // 4 for x in found], np.int32)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), ids], ["doc_id", "n_tokens", "tokens"])
 
     return run
 
@@ -44,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = WORD_LEVEL, end_i
     """doc_id, n_tokens and tokens of every whole text (null: empty), with end_id at the end, in files under path.
 
     Rows are dealt by ranges of doc_id, repeated ids by a hash of their text too, and sorted inside a range; files in
-    the order of their names hold ascending ids, null ids first. The texts are shuffled once, before they are encoded.
+    the order of their partition numbers hold ascending ids, null ids first. The texts are shuffled once, before they are encoded.
     An empty table gives a table without rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -58,11 +56,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(3)
+        lists = batch.column(4)
         ids = np.asarray(lists.values).astype("<u4", copy=False)
         ends = np.asarray(lists.offsets)
         crc = [zlib.crc32(ids[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["_file", "_row", "doc_id", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["_part", "_file", "_row", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -71,10 +69,13 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     A running sum inside each file and a sum over the files before it: only keys, counts and checksums are shuffled,
     and one row for each file meets in one task.
     """
-    rows = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"), "doc_id", "tokens")
-    digests = rows.mapInArrow(_digest, "_file string, _row long, doc_id long, n_tokens long, ids_crc32 long")
-    counts = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("_file"), "n_tokens").groupBy("_file").agg(F.sum("n_tokens").alias("_n"))
-    before = counts.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    file = F.col("_metadata.file_name")
+    # names are padded to five digits only; files of one partition end in c000, c001, ...
+    part = F.regexp_extract(file, r"part-(\d+)", 1).cast("long")
+    rows = read_tokens(spark, path).select(part.alias("_part"), file.alias("_file"), F.col("_metadata.row_index").alias("_row"), "doc_id", "tokens")
+    digests = rows.mapInArrow(_digest, "_part long, _file string, _row long, doc_id long, n_tokens long, ids_crc32 long")
+    counts = read_tokens(spark, path).select(part.alias("_part"), file.alias("_file"), "n_tokens").groupBy("_part", "_file").agg(F.sum("n_tokens").alias("_n"))
+    before = counts.select("_file", (F.sum("_n").over(Window.orderBy("_part", "_file")) - F.col("_n")).alias("_before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("_file").orderBy("_row")) - F.col("n_tokens")
     return digests.withColumn("_inside", inside).join(before, "_file").select("doc_id", (F.col("_before") + F.col("_inside")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -40,15 +40,20 @@ class Encoder:
 
     Both vocabularies cut a text before they merge, and never across a single space or line feed between other
     characters, nor between a letter and a full stop or comma; so a word is encoded once and looked up afterwards.
-    Texts with rare white space, with white space next to white space, or (word vocabulary) with characters whose
-    lower case or composition depends on their neighbours go to the library whole.
+    Texts with rare white space, with white space next to white space, with a special token's own string, or (word
+    vocabulary) with characters whose lower case or composition depends on their neighbours go to the library whole; so
+    do all texts with any other vocabulary, whose rules are not known here.
     """
 
     def __init__(self, name: str):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.known = name in (BYTE_LEVEL, WORD_LEVEL)
         self.words = name == WORD_LEVEL
+        if not self.known:
+            return
+        self.model = self.tokenizer.model
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         #: Ids of words with a space before them, and without; of each the ones used lately and those before.
         self.spaced: list[dict[str, bytes]] = [{}, {}]
         self.bare: list[dict[str, bytes]] = self.spaced if self.words else [{}, {}]
@@ -101,6 +106,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if not self.known or self.special and "<" in text and self.special.search(text):
+            return self.whole(text)
         for kept in {id(x): x for x in (self.spaced, self.bare)}.values():
             if len(kept[0]) > KEPT_PIECES:
                 kept[:] = {}, kept[0]
