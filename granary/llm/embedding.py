@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize, table
+from granary.llm.common import materialize, parts, table
 from granary.llm.components import connected_components
 
 THRESHOLD = 0.93
@@ -17,8 +17,11 @@ THRESHOLD = 0.93
 SAMPLE = 20_000
 #: Of neighbours at the very threshold, the share that the traversal is to reach; nearer ones are reached more often.
 TARGET_RECALL = 0.995
-#: Rows of the index and queries that are compared at once; a larger list is split into blocks.
-INDEX_BLOCK, QUERY_BLOCK = 2048, 4096
+#: Vectors of the index and queries of a block, and their bytes; a larger area is split into blocks. So many links, as bits of a matrix, are looked at at once.
+INDEX_BLOCK, QUERY_BLOCK, INDEX_BYTES, QUERY_BYTES = 16_384, 65_536, 8 << 20, 24 << 20
+MATRIX = 16 << 20
+#: Codebooks have the fourth root of the number of vectors as words, so cells have about as many vectors each as there are words; at most so many.
+MOST_WORDS = 256
 
 
 class MultiIndex:
@@ -32,6 +35,7 @@ class MultiIndex:
         self.most = self.books[0].shape[0] * self.books[1].shape[0]
         if len(sample):
             self.most = self._calibrate(sample[rng.integers(0, len(sample), 4000)], threshold, target, rng)
+        self.ranks = self._ranks()
 
     @staticmethod
     def _far(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -47,43 +51,54 @@ class MultiIndex:
                     book[k] = own.mean(0)
         return book
 
+    def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._far(x[:, : self.half], self.books[0]), self._far(x[:, self.half :], self.books[1])
+
     def _calibrate(self, queries: np.ndarray, threshold: float, target: float, rng: np.random.Generator) -> int:
         """How many cells, nearest first, hold a neighbour at the threshold with the target probability: measured on random such neighbours."""
         away = rng.standard_normal(queries.shape)
         away -= (away * queries).sum(1)[:, None] * queries
         away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
         i, j = self.cells(threshold * queries + np.sqrt(1 - threshold**2) * away)
-        cost = self._cost(queries)
-        at = cost[np.arange(len(i)), i, j]
-        before = (cost < at[:, None, None]).sum((1, 2))
-        return int(np.quantile(before, target)) + 1
-
-    def _cost(self, x: np.ndarray) -> np.ndarray:
-        one, two = self._far(x[:, : self.half], self.books[0]), self._far(x[:, self.half :], self.books[1])
-        return one[:, :, None] + two[:, None, :]
+        one, two = self._halves(queries)
+        before = []
+        for a, b, p, q in zip(one, np.sort(two, 1), i, j, strict=True):
+            at = a[p] + two[len(before), q]
+            before.append(int(np.searchsorted(b, at - a).sum()))  # for each word of the first half, the words of the second that come earlier
+        return min(self.most, int(np.quantile(before, target)) + 1)
+
+    def _ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of places in the two sorted sequences that can be among the first `most` cells: before (r, s) come r * s + r + s others."""
+        words = [len(b) for b in self.books]
+        pairs = [(r, s) for r in range(words[0]) for s in range(min(words[1], self.most // (r + 1)))]
+        return tuple(np.array(x) for x in zip(*pairs, strict=True))
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self._far(x[:, : self.half], self.books[0]).argmin(1), self._far(x[:, self.half :], self.books[1]).argmin(1)
+        one, two = self._halves(x)
+        return one.argmin(1), two.argmin(1)
 
-    def visits(self, x: np.ndarray) -> np.ndarray:
-        """The cells (vector, word of the first half, word of the second) that the traversal of each vector visits.
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, word of the first half, word of the second) of all cells that the traversals of the vectors visit.
 
-        Cells come by rising sum of the two squared distances, as a multi-sequence walk meets them; it ends after as
-        many as the target recall needs. Cells that the triangle inequality shows to hold no neighbour are passed over.
+        Both halves' words are sorted by their distance; cells come by rising sum of two squared distances, along the
+        two sorted sequences, until as many are visited as the target recall needs. Cells that the triangle inequality
+        shows to hold no neighbour are passed over.
         """
-        bounds = []
-        for k, part in enumerate((x[:, : self.half], x[:, self.half :])):
-            far = self._far(part, self.books[k])
-            near = far.argmin(1)
-            beyond = np.maximum(0, (far - far[np.arange(len(near)), near][:, None]) / (2 * self.gaps[k][near]))
-            beyond[np.arange(len(near)), near] = 0
-            bounds.append(beyond**2)
-        possible = bounds[0][:, :, None] + bounds[1][:, None, :] <= self.radius2 + 1e-9
-        cost = self._cost(x).reshape(len(x), possible[0].size if len(x) else 1)
-        if not len(x) or self.most >= cost.shape[1]:
-            return possible
-        last = np.partition(cost, self.most - 1, axis=1)[:, self.most - 1]
-        return possible & (cost <= last[:, None]).reshape(possible.shape)
+        r, s = self.ranks
+        sums, bounds, order = np.zeros((len(x), len(r))), np.zeros((len(x), len(r))), []
+        for far, gaps, place in zip(self._halves(x), self.gaps, (r, s), strict=True):
+            near = np.argsort(far, 1, kind="stable")
+            far = np.take_along_axis(far, near, 1)
+            beyond = np.maximum(0, (far - far[:, :1]) / (2 * gaps[near[:, :1], near]))
+            beyond[:, 0] = 0
+            sums += far[:, place]
+            bounds += beyond[:, place] ** 2
+            order.append(near)
+        on = bounds <= self.radius2 + 1e-9
+        if len(x) and self.most < len(r):
+            on &= sums <= np.partition(sums, self.most - 1, axis=1)[:, self.most - 1 : self.most]
+        who, cell = np.nonzero(on)
+        return who, order[0][who, r[cell]], order[1][who, s[cell]]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -100,58 +115,121 @@ def _padded(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-LAID = "label string, dim int, list int, query boolean, rep long, copies long, i int, j int, mask binary, vector binary"
+class Grid:
+    """The cells of the product grid, joined to areas of about as many vectors as a block holds: neighbouring cells, or one alone."""
+
+    def __init__(self, index: MultiIndex, counts: np.ndarray, most: int):
+        first = index.books[0]
+        axis = np.linalg.svd(first - first.mean(0), full_matrices=False)[2][0] if len(first) > 1 else np.zeros(first.shape[1])
+        area = held = at = 0
+        self.area, self.place = np.zeros(counts.shape, np.int64), np.zeros(counts.shape, np.int64)
+        self.cells = 0  # the most that an area has
+        for i in np.argsort(first @ axis, kind="stable"):  # words that are near each other mostly follow each other
+            for j in range(counts.shape[1]):
+                if held and held + counts[i, j] > most:
+                    area, held, at = area + 1, 0, 0
+                self.area[i, j], self.place[i, j] = area, at
+                at, held = at + 1, held + int(counts[i, j])
+                self.cells = max(self.cells, at)
+
+    def goes(self, index: MultiIndex, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Area and cell of each vector; and rows (vector, area, bits of the cells that it visits there) for its own area and the others that it goes to."""
+        i, j = index.cells(x)
+        own = self.area[i, j]
+        who, one, two = index.visits(x)
+        to = self.area[one, two]
+        on = (to == own[who]) | hosted(own[who], to)
+        who, to, place = np.concatenate([who[on], np.arange(len(x))]), np.concatenate([to[on], own]), np.concatenate([self.place[one, two][on], self.place[i, j]])
+        keys, row = np.unique(who * (self.area.max() + 1) + to, return_inverse=True)
+        seen = np.zeros((len(keys), self.cells), bool)
+        seen[row, place] = True
+        return own, self.place[i, j], keys // (self.area.max() + 1), keys % (self.area.max() + 1), np.packbits(seen, axis=1)
+
+
+def hosted(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether a pair of vectors in two different areas is compared in the other's: the same answer from either side, and evenly."""
+    return ((one + other) % 2 == 1) == (one < other)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in parts(batches, 256):
+        if batch.num_rows:
+            yield batch, unit(_padded(batch.column(4), width))
 
 
-def _lay(index: MultiIndex, width: int):
-    """A row of the index for every vector, in the list of its first half's word, and a query row for every list it visits."""
+def _cells(index: MultiIndex, width: int):
+    """How many vectors each cell has, by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in LAID.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                label, dim, rep, copies = (batch.column(k).to_pylist() for k in range(4))
-                x = unit(_padded(batch.column(4), width))
-                i, j = index.cells(x)
-                visited = index.visits(x)
-                packed = np.packbits(visited, axis=2)
-                rows = []
-                for k in range(len(x)):
-                    own = (rep[k], copies[k], int(i[k]), int(j[k]))
-                    vector = x[k].tobytes()
-                    rows.append((label[k], dim[k], int(i[k]), False, *own, None, vector))
-                    rows += [(label[k], dim[k], int(to), True, *own, packed[k, to].tobytes(), vector) for to in np.flatnonzero(visited[k].any(1))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for _, x in _batches(batches, width):
+            cells, n = np.unique(np.stack(index.cells(x)), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (*cells, n)], ["i", "j", "n"])
 
     return run
 
 
-def _compare(index: MultiIndex, threshold: float):
-    """Per block: for each vector with a link, the smallest vector that links in the block reach, and how many vectors it links."""
+SIZES = "label string, dim int, area long, own long, queries long"
+LAID = "label string, dim int, area long, query boolean, class long, copies long, j int, mask binary, vector binary"
+
+
+def _count(index: MultiIndex, grid: Grid, width: int):
+    """How many vectors each area has and how many come to it from others, by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x in _batches(batches, width):
+            counts: dict[tuple, list[int]] = {}
+            label, dim = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            own, _, who, area, _ = grid.goes(index, x)
+            for k, to in zip(who.tolist(), area.tolist(), strict=True):
+                counts.setdefault((label[k], dim[k], to), [0, 0])[int(own[k] != to)] += 1
+            rows = list(zip(*((*key, *n) for key, n in counts.items()), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [c.split()[0] for c in SIZES.split(", ")])
+
+    return run
 
-    def run(key, rows):
-        import pandas as pd
 
-        query, own = rows[rows["query"]], rows[~rows["query"]]
-        q, x = (np.frombuffer(b"".join(r["vector"]), np.float64).reshape(len(r), -1) if len(r) else None for r in (query, own))
-        if q is None or x is None:
-            return pd.DataFrame({"rep": [], "near": [], "links": []}).astype("int64")
-        words = index.books[1].shape[0]
-        reps, qreps = own["rep"].to_numpy(), query["rep"].to_numpy()
-        copies, qcopies = own["copies"].to_numpy(), query["copies"].to_numpy()
-        j = own["j"].to_numpy()
-        looked = np.unpackbits(np.frombuffer(b"".join(query["mask"]), np.uint8).reshape(len(query), -1), axis=1, count=words).astype(bool)
-        links = (q @ x.T >= threshold) & looked[:, j] & (qreps[:, None] != reps[None])
+def _lay(index: MultiIndex, grid: Grid, width: int):
+    """A row of the index for every vector, in its own area, and a query row for every other area to which it goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        for batch, x in _batches(batches, width):
+            label, dim, of, copies = (batch.column(k).to_pylist() for k in range(4))
+            raw = [np.asarray(v.values).tobytes() for v in batch.column(4)]
+            own, cell, who, area, bits = grid.goes(index, x)
+            rows = [(label[k], dim[k], to, bool(own[k] != to), of[k], copies[k], int(cell[k]), m.tobytes(), raw[k]) for k, to, m in zip(who.tolist(), area.tolist(), bits, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in LAID.split(", ")])
+
+    return run
+
+
+def _side(rows, kind: str, words: int) -> tuple:
+    x = unit(np.frombuffer(b"".join(rows["vector"]), kind).reshape(len(rows), -1))
+    mask = np.unpackbits(np.frombuffer(b"".join(rows["mask"]), np.uint8).reshape(len(rows), -1), axis=1, count=words).astype(bool)
+    return x, rows["class"].to_numpy(), rows["copies"].to_numpy(), rows["j"].to_numpy(), mask
+
+
+def _linked(q: tuple, x: tuple, threshold: float, both: bool) -> np.ndarray:
+    """Which vectors of x each of q links, cell by cell; with `both`, also where only the traversal of x's vector comes to q's."""
+    links = np.zeros((len(q[0]), len(x[0])), bool)
+    for j in np.unique(x[3]):
+        at = np.flatnonzero(x[3] == j)
+        asks = np.flatnonzero(q[4][:, j])
+        if len(asks):
+            links[np.ix_(asks, at)] = q[0][asks] @ x[0][at].T >= threshold
+    if both:
+        links |= _linked(x, q, threshold, False).T
+    return links
+
+
+def _compare(kind: str, words: int, threshold: float):
+    """Per block: for each vector with a link, the smallest class that links in the block reach, and how many vectors it links."""
+
+    def found(links: np.ndarray, one: np.ndarray, other: np.ndarray, n_one: np.ndarray, n_other: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         hit_q, hit_x = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
         links = links[np.ix_(hit_q, hit_x)]
-        reps, qreps, copies, qcopies = reps[hit_x], qreps[hit_q], copies[hit_x], qcopies[hit_q]
-        # a link that the other side's own traversal doesn't come upon counts for that side here
-        back = index.visits(x[hit_x])
-        qi, qj = query["i"].to_numpy()[hit_q], query["j"].to_numpy()[hit_q]
-        missed = links & ~back[:, qi, qj].T
-        low_q, low_x = qreps.copy(), reps.copy()
+        one, other, n_one, n_other = one[hit_q], other[hit_x], n_one[hit_q], n_other[hit_x]
+        low_q, low_x = one.copy(), other.copy()
         top = np.iinfo(np.int64).max
         while len(hit_q):
             new_q = np.minimum(low_q, np.where(links, low_x[None], top).min(1))
@@ -159,7 +237,30 @@ def _compare(index: MultiIndex, threshold: float):
             if (new_q == low_q).all() and (new_x == low_x).all():
                 break
             low_q, low_x = new_q, new_x
-        return pd.DataFrame({"rep": np.concatenate([qreps, reps]), "near": np.concatenate([low_q, low_x]), "links": np.concatenate([links @ copies, missed.T @ qcopies])}).astype("int64")
+        return [(one, low_q, links @ n_other), (other, low_x, links.T @ n_one)]
+
+    def run(key, rows):
+        import pandas as pd
+
+        self_block = int(key[4])
+        own = rows[~rows["query"] & (rows["block"] == key[3])]
+        x = _side(own, kind, words)
+        out = []
+        if self_block == 0 and len(own):  # the first block of queries comes with the index block's own vectors
+            step = max(1, MATRIX // len(own))
+            for lo in range(0, len(own), step):
+                q = tuple(v[lo : lo + step] for v in x)
+                links = np.triu(_linked(q, x, threshold, True), lo + 1)
+                out += found(links, q[1], x[1], q[2], x[2])
+        other = rows[rows["query"]] if self_block >= 0 else rows[rows["block"] == -1 - self_block]
+        if len(other) and len(own):
+            step = max(1, MATRIX // len(own))
+            for lo in range(0, len(other), step):
+                q = _side(other.iloc[lo : lo + step], kind, words)
+                out += found(_linked(q, x, threshold, self_block < 0), q[1], x[1], q[2], x[2])
+        if not out:
+            return pd.DataFrame({"class": [], "near": [], "links": []}).astype("int64")
+        return pd.DataFrame(dict(zip(("class", "near", "links"), map(np.concatenate, zip(*out, strict=True)), strict=True))).astype("int64")
 
     return run
 
@@ -170,39 +271,63 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sam
     Compared are vectors of one label (not null) and length; vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do rows without a vec_id, whose component_id is null and which are
     kept. Equal vectors are one row with a count before they are compared, by a grouping that Spark combines before the
-    shuffle, and only their number enters n_links. The lists of the index and their queries are split into blocks of
-    bounded size; of a block's links only a forest and counts leave it. Every vector is indexed and every vector is a
-    query. An empty table gives an empty result; other columns are ignored.
+    shuffle, and only their number enters n_links; rows that repeat a vec_id with other vectors are vectors of their
+    own, whose component_id is the smallest vec_id of their component. Cells
+    are joined to areas; a pair of vectors in different areas is compared in one of the two, which both sides know, so a
+    vector goes to about half of the areas that its traversal visits, as its raw components. Large areas and their
+    queries are split into blocks of bounded size; of a block's links only a forest and counts leave it. Every
+    vector is indexed and every vector is a query. An empty table gives an empty result; other columns are ignored.
     """
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    embedding = F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")
     usable = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable, F.lit(False))
-    rows = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label")).withColumn("ok", ok)
-    rows = rows.withColumn("h1", F.when(F.col("ok"), F.xxhash64("label", "embedding"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "embedding", "label")))
+    rows = vectors.select("vec_id", embedding.alias("embedding"), F.col("label").cast("string").alias("label")).withColumn("ok", ok)
+    rows = rows.withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding", "label"))
     classes = rows.where("ok").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "embedding")).alias("first"), F.count("*").alias("copies"))
-    classes = materialize(classes.select("h1", "h2", "copies", F.col("first.vec_id").alias("rep"), "first.label", "first.embedding", F.size("first.embedding").alias("dim")), "classes")
+    classes = classes.select("h1", "h2", "copies", F.col("first.vec_id").alias("rep"), "first.label", "first.embedding", F.size("first.embedding").alias("dim"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     size = classes.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
     width = max(2, (size["dim"] or 2) + (size["dim"] or 2) % 2)
     picked = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
     fitted = unit(_padded(picked, width)) if len(picked) else np.zeros((0, width))
-    index = MultiIndex(fitted, threshold, target, words=int(min(256, max(4, round((size["n"] or 1) ** 0.25)))))
-
-    laid = classes.select("label", "dim", "rep", "copies", "embedding").mapInArrow(_lay(index, width), LAID)
-    laid = materialize(laid, "lists")
-    place = ["label", "dim", "list"]
-    sizes = laid.groupBy(*place).agg(F.ceil(F.count_if(~F.col("query")) / INDEX_BLOCK).cast("int").alias("_own"), F.ceil(F.count_if("query") / QUERY_BLOCK).cast("int").alias("_queries")).where("_own > 0 and _queries > 0")
-    own = F.pmod(F.xxhash64("rep"), F.col("_own")).cast("int")
-    asked = F.pmod(F.xxhash64("rep"), F.col("_queries")).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = laid.join(sizes, place)
-    dealt = dealt.withColumn("_block", F.explode(F.when(F.col("query"), F.transform(every("_own"), lambda b: F.struct(b.alias("x"), asked.alias("q")))).otherwise(F.transform(every("_queries"), lambda b: F.struct(own.alias("x"), b.alias("q"))))))
-    dealt = dealt.select(*place, F.col("_block.x").alias("x"), F.col("_block.q").alias("q"), "query", "rep", "copies", "i", "j", "mask", "vector")
-    found = materialize(dealt.groupBy(*place, "x", "q").applyInPandas(_compare(index, threshold), "rep long, near long, links long"), "found")
-
-    components = connected_components(found.select(F.col("rep").alias("a"), F.col("near").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    placed = classes.select("h1", "h2", "copies", "rep").join(counts, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.where("copies > 1 or links is not null").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("vec_id", "h1", "h2").join(placed, ["h1", "h2"], "left")
+    index = MultiIndex(fitted, threshold, target, words=int(min(MOST_WORDS, max(4, round((size["n"] or 1) ** 0.25)))))
+
+    read, place = classes.select("label", "dim", "class", "copies", "embedding"), ["label", "dim", "area"]
+    counts = np.zeros([len(b) for b in index.books], np.int64)
+    for r in read.mapInArrow(_cells(index, width), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # MOST_WORDS² rows at most
+        counts[r["i"], r["j"]] = r["n"]
+    grid = Grid(index, counts, INDEX_BLOCK)
+    sizes = read.mapInArrow(_count(index, grid, width), SIZES).groupBy(*place).agg(F.sum("own").alias("own"), F.sum("queries").alias("queries")).where("own > 0")
+    bound = lambda rows, most: F.least(F.lit(rows), F.ceil(F.lit(most) / (F.col("dim") * int(kind[-1]) + 64)))
+    n_own, n_queries = F.ceil(F.col("own") / bound(INDEX_BLOCK, INDEX_BYTES)), F.ceil(F.col("queries") / bound(QUERY_BLOCK, QUERY_BYTES))
+    blocks = materialize(sizes.select(*place, n_own.cast("int").alias("_own"), F.greatest(F.lit(1), n_queries).cast("int").alias("_queries")), "areas")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    dealt = read.mapInArrow(_lay(index, grid, width), LAID).join(blocks, place)
+    block = F.when(F.col("query"), mine("_queries")).otherwise(mine("_own"))
+    dealt = dealt.withColumn("block", block)
+    pair = lambda x, q: F.struct(x.cast("int").alias("x"), q.cast("int").alias("q"))
+    none = F.array().cast("array<struct<x:int,q:int>>")
+    # a vector of the index meets all blocks of queries, the blocks before its own, and in the blocks after its own those
+    for_index = F.concat(
+        F.transform(every(F.col("_queries")), lambda q: pair(F.col("block"), q)),
+        F.when(F.col("block") > 0, F.transform(every(F.col("block")), lambda y: pair(F.col("block"), -1 - y))).otherwise(none),
+        F.when(F.col("block") + 1 < F.col("_own"), F.transform(F.sequence(F.col("block") + 1, F.col("_own") - 1), lambda x: pair(x, -1 - F.col("block")))).otherwise(none),
+    )
+    for_query = F.transform(every(F.col("_own")), lambda x: pair(x, F.col("block")))
+    dealt = dealt.withColumn("_to", F.explode(F.when(F.col("query"), for_query).otherwise(for_index)))
+    dealt = dealt.select(*place, F.col("_to.x").alias("x"), F.col("_to.q").alias("q"), "query", "block", "class", "copies", "j", "mask", "vector")
+    found = materialize(dealt.groupBy(*place, "x", "q").applyInPandas(_compare(kind, grid.cells, threshold), "class long, near long, links long"), "found")
+
+    components = connected_components(found.select(F.col("class").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "class")
+    smallest = components.join(classes.select("class", "rep"), "class").groupBy("component").agg(F.min("rep").alias("component_id"))
+    components = components.join(smallest, "component").select("class", "component_id")
+    counts = found.groupBy("class").agg(F.sum("links").alias("links"))
+    placed = classes.select("h1", "h2", "copies", "class", "rep").join(counts, "class", "left").join(components, "class", "left")
+    placed = placed.where("copies > 1 or links is not null").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.where("ok").select("vec_id", "h1", "h2").join(placed, ["h1", "h2"], "left").select("vec_id", "n_links", "component_id")
+    out = out.unionByName(rows.where("not ok").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
