@@ -153,9 +153,10 @@ def row_key(group: Column | str, *parts: Column | str) -> Column:
 
 
 def parse_pairs(c: Column | str, between: str = ";") -> Column:
-    """`a=1; b=2` as a map; parts without an equals sign are dropped."""
+    """`a=1; b=2` as a map; parts without an equals sign are dropped, and of a repeated name the last value counts."""
     parts = F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), between), F.trim), lambda x: x.contains("="))
-    return F.map_from_entries(F.transform(parts, lambda x: F.struct(F.trim(F.split(x, "=", 2)[0]), F.trim(F.split(x, "=", 2)[1]))))
+    pairs = F.transform(parts, lambda x: F.struct(F.trim(F.split(x, "=", 2)[0]).alias("k"), F.trim(F.split(x, "=", 2)[1]).alias("v")))
+    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"])))
 
 
 def list_cell(c: Column | str, between: str = r"[;|\n]") -> Column:

@@ -94,3 +94,105 @@ def ontology_index(synonyms: DataFrame, order: str) -> DataFrame:
     """synonyms(term, synonym, order) -> (norm, term): the first term that has a spelling wins."""
     norm = F.lower(F.trim(F.regexp_replace("synonym", r"\s+", " ")))
     return synonyms.withColumn("norm", norm).groupBy("norm").agg(F.min_by("term", order).alias("term"))
+
+
+def attach_evidence(observations: DataFrame, evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Observations with what the evidence of the same keys says, one row for each piece of evidence; an observation without any stays."""
+    return observations.join(evidence, list(keys), "left")
+
+
+def missing_required(df: DataFrame, kind: Column, required: Mapping[str, Sequence[str]]) -> DataFrame:
+    """df with missing: required properties of the row's kind that are absent, null or empty; rows that lack none go."""
+    need = F.coalesce(F.element_at(F.create_map(*(x for k, names in required.items() for x in (F.lit(k), F.array(*map(F.lit, names))))), kind), F.array().cast("array<string>"))
+    empty = F.filter(need, lambda k: F.coalesce(F.trim(F.element_at("properties", k)), F.lit("")).isin("", "[]"))
+    return df.withColumn("missing", empty).where(F.size("missing") > 0)
+
+
+def graph_checks(nodes: DataFrame, edges: DataFrame, node_properties: Mapping[str, Sequence[str]], edge_properties: Mapping[str, Sequence[str]], claim: str = "ScientificClaim", support: str = "SUPPORTED_BY", directional: str = "DIRECTIONAL_RELATION", guards: Sequence[str] = ("causal_status", "claim_id", "evidence_id")) -> DataFrame:
+    """(check, violations): dangling edges, nodes and edges without required properties, claims that nothing supports, directional edges without their guards.
+
+    nodes(id, label, properties), edges(rel_id, src, dst, type, properties), properties a map of text.
+    """
+    claims = nodes.where(F.col("label") == claim).select("id").distinct()
+    supported = edges.where(F.col("type") == support).select(F.col("src").alias("id")).distinct()
+    count = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("violations"))
+    found = [
+        count("dangling_relationships", dangling(nodes, edges).select("rel_id").distinct()),
+        count("required_node_property_violations", missing_required(nodes, F.col("label"), node_properties)),
+        count("required_relationship_property_violations", missing_required(edges, F.col("type"), edge_properties)),
+        count("unsupported_claims", claims.join(supported, "id", "left_anti")),
+        count("unguarded_directional_relations", missing_required(edges.where(F.col("type") == directional), F.lit(directional), {directional: guards})),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def claim_support(links: DataFrame, claim: str, kind: str, thresholds: Mapping[str, float], least_shared: int = 2) -> DataFrame:
+    """(claim, <kind>_support_count, evidence_support_count, support_status) from links(claim, kind, shared, score).
+
+    A link counts if it shares enough words and its overlap reaches the threshold of its kind; claims without a link that
+    counts are summary_only.
+    """
+    reaches = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in thresholds.items() for x in p)), F.col(kind)) <= F.col("score"), F.lit(False)) & (F.col("shared") >= least_shared)
+    each = [F.count_if(reaches & (F.col(kind) == k)).alias(f"{k}_support_count") for k in thresholds]
+    s = links.groupBy(claim).agg(*each, F.count_if(reaches).alias("evidence_support_count"))
+    return s.withColumn("support_status", F.when(F.col("evidence_support_count") > 0, "evidence_linked").otherwise("summary_only"))
+
+
+def evidence_lens(claims: DataFrame, policy: str, claim: str = "id") -> DataFrame:
+    """Edges from a policy to all claims: it prioritises those with linked evidence and flags the others."""
+    kind = F.when(F.col("support_status") == "evidence_linked", "POLICY_PRIORITIZES_EVIDENCE_LINKED_CLAIM").otherwise("POLICY_FLAGS_WEAK_EVIDENCE")
+    return claims.select(F.lit(policy).alias("src"), F.col(claim).alias("dst"), kind.alias("type"))
+
+
+def node_relations(nodes: DataFrame, edges: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(id, has_<group>): whether a node has an outgoing edge of one of the group's types."""
+    flags = edges.groupBy(F.col("src").alias("id")).agg(*(F.bool_or(F.col("type").isin(list(types))).alias(f"has_{g}") for g, types in groups.items()))
+    return nodes.select("id").join(flags, "id", "left").na.fill(False, [f"has_{g}" for g in groups])
+
+
+def constraint_warnings(nodes: DataFrame, edges: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(id, missing): nodes that lack an outgoing edge of some group, and the groups that they lack."""
+    flags = node_relations(nodes, edges, groups)
+    return flags.select("id", F.array_compact(F.array(*(F.when(~F.col(f"has_{g}"), F.lit(g)) for g in groups))).alias("missing")).where(F.size("missing") > 0)
+
+
+def supported_nodes(edges: DataFrame, support: str) -> DataFrame:
+    """(id): nodes that an edge of support ends at, or that have an outgoing edge to a node at which one ends.
+
+    Ends of support are made distinct before they are joined to edges, so no pair of edges is formed.
+    """
+    ends = edges.where(F.col("type") == support).select(F.col("dst").alias("_end")).distinct()
+    reached = edges.join(ends, F.col("dst") == F.col("_end"), "left_semi").where(F.col("type") != support).select(F.col("src").alias("id"))
+    return ends.select(F.col("_end").alias("id")).union(reached).distinct()
+
+
+def abstraction_lens(nodes: DataFrame, classes: Mapping[str, str], policy: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an abstraction: a node for each class of labels, and from every node an INSTANCE_OF edge to the class of its label."""
+    known = F.element_at(F.create_map(*(F.lit(x) for p in classes.items() for x in p)), F.col("label"))
+    placed = nodes.select("id", known.alias("class")).where("class is not null")
+    made = placed.select("class").distinct().select(stable_id("class", F.lit(policy), "class").alias("id"), F.lit("AbstractClass").alias("label"), F.create_map(F.lit("name"), F.col("class")).alias("properties"))
+    return made, placed.select(F.col("id").alias("src"), stable_id("class", F.lit(policy), "class").alias("dst"), F.lit("INSTANCE_OF").alias("type"))
+
+
+def record_subgraph(records: DataFrame, key: str, parent: str, groups: Mapping[str, tuple[str, str, Sequence[str]]], parent_label: str = "Paper", label: str = "Record") -> tuple[DataFrame, DataFrame]:
+    """Node and edge candidates (for merge_nodes, merge_edges) of records: a node for each parent and record, and one for every group of columns that has a value.
+
+    groups: name -> (label of the group's node, type of the edge from the record, columns that are its properties). Nodes
+    of groups with the same values are one node. Candidates come in the order of the record's key.
+    """
+    props = lambda columns: F.map_filter(F.map_from_entries(F.array(*(F.struct(F.lit(c), F.trim(F.col(c).cast("string"))) for c in columns))), lambda _, v: F.coalesce(v, F.lit("")) != "")
+    base = records.where(F.col(key).isNotNull())
+    of_record, of_parent = stable_id(label, F.lit(key), key), stable_id(parent_label, F.lit(parent), parent)
+    none = F.create_map().cast("map<string,string>")
+    nodes = base.select(of_record.alias("id"), F.lit(label).alias("label"), props([key]).alias("properties"), F.col(key).alias("seq"))
+    nodes = nodes.union(base.where(F.col(parent).isNotNull()).select(of_parent, F.lit(parent_label), props([parent]), F.col(key)))
+    edges = base.where(F.col(parent).isNotNull()).select(of_parent.alias("src"), of_record.alias("dst"), F.lit("HAS_RECORD").alias("type"), none.alias("properties"), F.col(key).alias("seq"))
+    for name, (kind, relation, columns) in groups.items():
+        own = base.select(of_record.alias("_record"), props(columns).alias("properties"), F.col(key).alias("seq")).where(F.size("properties") > 0)
+        own = own.withColumn("id", stable_id(name, fingerprint("properties")))
+        nodes = nodes.union(own.select("id", F.lit(kind), "properties", "seq"))
+        edges = edges.union(own.select("_record", "id", F.lit(relation), none, "seq"))
+    return nodes, edges

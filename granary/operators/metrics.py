@@ -8,7 +8,6 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from granary.operators.running import running_before
 
@@ -79,6 +78,11 @@ def estimate_seed(*parts: str, base: int = 42) -> int:
     return base + int(hashlib.sha256("|".join(parts).encode()).hexdigest()[:8], 16) % 1_000_000
 
 
+def unit_number(text: Column) -> Column:
+    """A number in [0, 1) from a hash of a text, the same in every task."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def poisson_multiplicities(group: Column, draws: int, seed: int) -> Column:
     """How often each group enters each draw: Poisson(1) counts from a hash of seed, draw and group.
 
@@ -89,22 +93,44 @@ def poisson_multiplicities(group: Column, draws: int, seed: int) -> Column:
         total += p
         steps.append(total)
         p /= k
-    unit = lambda d: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), d.cast("string"), F.lit(":"), group)), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: sum(((unit(d) >= s).cast("int") for s in steps), F.lit(0)))
+    # the numbers are a list of their own first, so each is computed once and not for every step
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: unit_number(F.concat(F.lit(f"{seed}:"), d.cast("string"), F.lit(":"), group)))
+    return F.transform(numbers, lambda u: F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= u)))
+
+
+def _spread(sums: DataFrame) -> DataFrame:
+    """The rows of groups over as many tasks as a shuffle has, however few bytes they are: every row is worth thousands of draws."""
+    return sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g")
+
+
+def _drawn(sums: DataFrame, draws: int, seed: int, law: str, columns: Sequence[str]) -> DataFrame:
+    """(draw, m, columns): how often each group enters each draw, where it does."""
+    if law == "poisson":
+        return _spread(sums).select(F.posexplode(poisson_multiplicities(F.col("g"), draws, seed)).alias("draw", "m"), *columns).where("m > 0")
+    if law != "multinomial":
+        raise ValueError(law)
+    n = sums.count()
+    numbered = running_before(sums.withColumn("_one", F.lit(1)), "g", ["_one"]).withColumnRenamed("_one_before", "_k")
+    tickets = sums.sparkSession.range(draws * n).select((F.col("id") / n).cast("int").alias("draw"), (F.col("id") % n).alias("_t"))
+    taken = F.floor(unit_number(F.concat_ws(":", F.lit(str(seed)), "draw", "_t")) * n).cast("long")
+    counts = tickets.select("draw", taken.alias("_k")).groupBy("draw", "_k").agg(F.count("*").alias("m"))
+    return counts.join(numbered, "_k").select("draw", "m", *columns)
 
 
-def cluster_bootstrap(df: DataFrame, actual: str, predicted: str, group: str, draws: int = 2000, seed: int = 42, no_group: str = "NO_GROUP") -> DataFrame:
+def cluster_bootstrap(df: DataFrame, actual: str, predicted: str, group: str, draws: int = 2000, seed: int = 42, no_group: str = "NO_GROUP", law: str = "poisson") -> DataFrame:
     """(metric, estimate, ci_lower, ci_upper, draws, rows, groups): percentile intervals over resampled groups.
 
     Rows are summed to one row of sufficient statistics for each group first; a draw weighs those sums. Sums over
     groups are combined in each task, so what is shuffled is a row for each draw and task, whatever the table's size.
+    law: `poisson`, or `multinomial`, which draws as many groups as there are with replacement, in the order of their
+    names, and costs one row for each draw and group.
     """
     g = F.coalesce(F.col(group).cast("string"), F.lit(no_group))
     rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     sums = rows.groupBy(g.alias("g")).agg(*regression_sums(F.col(actual).cast("double"), F.col(predicted).cast("double")))
     total = sums.agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in ("sy", "syy", "se2", "sae")), F.count("*").alias("groups"))
     point = total.select("n", "groups", *scores())
-    drawn = sums.select(F.posexplode(poisson_multiplicities(F.col("g"), draws, seed)).alias("draw", "m"), "n", "sy", "syy", "se2", "sae").where("m > 0")
+    drawn = _drawn(sums, draws, seed, law, ["n", "sy", "syy", "se2", "sae"])
     weighed = drawn.groupBy("draw").agg(*(F.sum(F.col("m") * F.col(x)).alias(x) for x in ("n", "sy", "syy", "se2", "sae"))).select("draw", *scores())
     names = ("r2", "rmse", "mae")
     limits = weighed.agg(*(F.percentile(x, p).alias(f"{x}_{k}") for x in names for k, p in (("lo", 0.025), ("hi", 0.975))))
@@ -113,20 +139,17 @@ def cluster_bootstrap(df: DataFrame, actual: str, predicted: str, group: str, dr
     return both.select(each.alias("e"), F.col("n").alias("rows"), "groups").select("e.*", F.lit(draws).cast("long").alias("draws"), "rows", "groups")
 
 
-def paired_bootstrap(df: DataFrame, actual: str, first: str, second: str, group: str, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Differences second - first of r2, rmse and mae, both models weighed by the same draws."""
+def paired_bootstrap(df: DataFrame, actual: str, first: str, second: str, group: str, draws: int = 2000, seed: int = 42, law: str = "poisson") -> DataFrame:
+    """Differences second - first of r2, rmse and mae, both models weighed by the same draws; rows that lack the value or a prediction count for neither."""
     g = F.coalesce(F.col(group).cast("string"), F.lit("NO_GROUP"))
-    y = F.col(actual).cast("double")
-    sums = None
-    for tag, p in (("a", first), ("b", second)):
-        s = df.groupBy(g.alias("g")).agg(*(c for c in regression_sums(y, F.col(p).cast("double"))))
-        s = s.select("g", F.struct("n", "sy", "syy", "se2", "sae").alias(tag))
-        sums = s if sums is None else sums.join(s, "g")
-    drawn = sums.select(F.posexplode(poisson_multiplicities(F.col("g"), draws, seed)).alias("draw", "m"), "a", "b").where("m > 0")
-    out = None
+    y, a, b = (F.col(c).cast("double") for c in (actual, first, second))
+    names = ["n", "sy", "syy", "se2_a", "sae_a", "se2_b", "sae_b"]
+    each = [F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), *(c for tag, p in (("a", a), ("b", b)) for c in (F.sum((p - y) * (p - y)).alias(f"se2_{tag}"), F.sum(F.abs(p - y)).alias(f"sae_{tag}")))]
+    sums = df.where(y.isNotNull() & a.isNotNull() & b.isNotNull()).groupBy(g.alias("g")).agg(*each)
+    weighed = _drawn(sums, draws, seed, law, names).groupBy("draw").agg(*(F.sum(F.col("m") * F.col(x)).alias(x) for x in names))
+    out = weighed
     for tag in "ab":
-        w = drawn.groupBy("draw").agg(*(F.sum(F.col("m") * F.col(f"{tag}.{x}")).alias(x) for x in ("n", "sy", "syy", "se2", "sae"))).select("draw", *scores(f"_{tag}"))
-        out = w if out is None else out.join(w, "draw")
+        out = out.withColumns({"se2": F.col(f"se2_{tag}"), "sae": F.col(f"sae_{tag}")}).select("*", *scores(f"_{tag}")).drop("se2", "sae")
     deltas = out.select("draw", *((F.col(f"{x}_b") - F.col(f"{x}_a")).alias(x) for x in ("r2", "rmse", "mae")))
     long = deltas.select(F.explode(F.create_map(*(v for x in ("r2", "rmse", "mae") for v in (F.lit(x), F.col(x))))).alias("metric", "delta"))
     return long.groupBy("metric").agg(F.percentile("delta", 0.5).alias("median_delta"), F.percentile("delta", 0.025).alias("ci_lower"), F.percentile("delta", 0.975).alias("ci_upper"), F.count("*").alias("draws"))
@@ -151,8 +174,8 @@ def standardized_difference(df: DataFrame, value: str, cohort: Column) -> DataFr
 def total_variation(df: DataFrame, category: str, cohort: Column) -> DataFrame:
     """Half the sum of absolute differences of shares; and of cohort b, the share of rows whose category a doesn't have."""
     c = df.groupBy(F.coalesce(F.col(category).cast("string"), F.lit("<null>")).alias("c")).agg(F.count_if(cohort).alias("a"), F.count_if(~cohort).alias("b"))
-    whole = Window.partitionBy()
-    shares = c.select("a", "b", F.try_divide(F.col("a").cast("double"), F.sum("a").over(whole)).alias("x"), F.try_divide(F.col("b").cast("double"), F.sum("b").over(whole)).alias("y"))
+    whole = F.broadcast(c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb")))  # one row
+    shares = c.crossJoin(whole).select("a", "b", F.try_divide(F.col("a").cast("double"), F.col("na")).alias("x"), F.try_divide(F.col("b").cast("double"), F.col("nb")).alias("y"))
     return shares.agg((0.5 * F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))))).alias("tvd"), F.sum(F.when(F.col("a") == 0, F.col("y")).otherwise(0.0)).alias("unseen_rate"), F.count_if(F.col("a") > 0).alias("categories_a"), F.count_if(F.col("b") > 0).alias("categories_b"))
 
 

@@ -19,13 +19,14 @@ I = re.IGNORECASE  # noqa: E741
 # Patterns and context words.
 EFFICIENCY = r"(?:PCE|power conversion efficienc(?:y|ies)|photo[- ]?conversion efficienc(?:y|ies))"
 EXPLICIT_AFTER = rf"\b{EFFICIENCY}\s*(?:of|=|:|reached|reaches|achieved|achieves|delivered|yields|yielded|up to|exceeding|over|above|as high as|was|is)?\s*(\d{{1,2}}(?:\.\d+)?)\s*%"
-EXPLICIT_BEFORE = rf"\b(\d{{1,2}}(?:\.\d+)?)\s*%\s*{EFFICIENCY}\b"
+EXPLICIT_BEFORE = r"\b(\d{1,2}(?:\.\d+)?)\s*%\s*(?:PCE|power conversion efficiency|photo[- ]?conversion efficiency)\b"
 DEVICE = r"\b(?:champion|best|maximum|optimized|control|target|certified|record|device|cell|PSC|solar cell)[^.\n]{0,140}\b(?:efficienc(?:y|ies)|performance)[^.\n]{0,90}?(\d{1,2}(?:\.\d+)?)\s*%"
 VOC = (r"\bV(?:oc|OC)\s*(?:=|:|of|was|is)?\s*(\d(?:\.\d+)?)\s*V\b", r"\bopen[- ]circuit voltage\s*(?:=|:|of|was|is)?\s*(\d(?:\.\d+)?)\s*V\b")
 JSC = (r"\bJ(?:sc|SC)\s*(?:=|:|of|was|is)?\s*(\d{1,2}(?:\.\d+)?)\s*mA\s*cm\s*(?:-2|-?2|\^-2)", r"\bshort[- ]circuit current(?: density)?\s*(?:=|:|of|was|is)?\s*(\d{1,2}(?:\.\d+)?)\s*mA\s*cm\s*(?:-2|-?2|\^-2)")
 FILL = (r"\bFF\s*(?:=|:|of|was|is)?\s*(0?\.\d{2,3}|\d{1,2}(?:\.\d+)?)\s*%?", r"\bfill factor\s*(?:=|:|of|was|is)?\s*(0?\.\d{2,3}|\d{1,2}(?:\.\d+)?)\s*%?")
 HOURS = r"(\d{1,5}(?:[.,]\d+)?)\s*(?:h|hours|hrs)\b"
 T80 = (rf"\bT\s*80\b\s*(?:=|:|of|was|is|reached|exceeded|over|above|>|~|approximately|about)?\s*{HOURS}", rf"\b{HOURS}[^.\n]{{0,80}}?\bT\s*80\b")
+T95 = (rf"\bT\s*95\b\s*(?:=|:|of|was|is|reached|exceeded|over|above|>|~|approximately|about)?\s*{HOURS}", rf"\b{HOURS}[^.\n]{{0,80}}?\bT\s*95\b")
 RETENTION = (
     rf"\b(?:retained|retention|maintained|remaining|retains?)\b[^.\n]{{0,120}}?(\d{{2,3}}(?:\.\d+)?)\s*%[^.\n]{{0,140}}?(?:after|for|over|during|under|at)?\s*{HOURS}",
     rf"\b(\d{{2,3}}(?:\.\d+)?)\s*%[^.\n]{{0,120}}?\b(?:retained|retention|maintained|remaining)\b[^.\n]{{0,140}}?(?:after|for|over|during|under|at)?\s*{HOURS}",
@@ -81,6 +82,7 @@ PERFORMANCE = Recovery(
 )
 _STABLE = (Clue(4, STABILITY), Clue(2, SUBJECT), Clue(2, SETTING), Clue(-4, CITED), Clue(-2, SECOND_HAND))
 LIFETIME = Recovery(patterns={"t80": T80}, ranges=((1, 100_000),), width=240, least_score=6, clues=_STABLE)
+LIFETIME_95 = Recovery(patterns={"t95": T95}, ranges=((1, 100_000),), width=240, least_score=6, clues=_STABLE)
 RETAINED = Recovery(patterns={"retention": RETENTION}, ranges=((1, 120), (1, 100_000)), width=240, least_score=6, clues=_STABLE, steps=((1, 100, True, 1), (1, 500, True, 1)), refuse_before=LOSS, refuse_near=MOIST, prefer=(1, 0))
 
 

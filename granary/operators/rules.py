@@ -20,13 +20,18 @@ STATEMENT_VERBS = (
 )
 
 
+#: What a statement may begin with before what it states; and the trimming of its sides, in this order.
+STATEMENT_PREFIX = r"(?i)^(?:the\s+(?:study|work|paper|authors?)\s+(?:shows?|demonstrates?|reveals?|finds?|reports?|suggests?|indicates?|highlights?|concludes?|interprets?)\s+(?:that\s+)?|results?\s+(?:show|indicate)\s+(?:that\s+)?)"
+SIDE_TAIL, SIDE_HEAD, SIDE_MODAL = r"(?i)\s*,\s*(?:as|which|while|because|due to|with)\b.*$", r"(?i)^(?:that|the)\s+", r"(?i)\s+(?:can|may|could)$"
+
+
 def parse_statement(text: Column, verbs: Sequence[tuple[str, str]] = STATEMENT_VERBS, subject_words: tuple[int, int] = (2, 24), object_words: tuple[int, int] = (2, 30)) -> Column:
     """A struct (subject, relation, object) by the first verb that fits with sides of so many words; null if none does."""
-    whole = F.btrim(text, F.lit(" .;:-"))
+    whole = F.regexp_replace(F.btrim(text, F.lit(" .;:-")), STATEMENT_PREFIX, "")
 
     def phrase(c: Column) -> Column:
-        c = F.regexp_replace(F.btrim(c, F.lit(" .;:-")), r"(?i)\s*,\s*(?:as|which|while|because|due to|with)\b.*$", "")
-        c = F.regexp_replace(F.regexp_replace(c, r"(?i)^(?:that|the)\s+", ""), r"(?i)\s+(?:can|may|could)$", "")
+        c = F.regexp_replace(F.regexp_replace(F.btrim(c, F.lit(" .;:-")), STATEMENT_PREFIX, ""), SIDE_TAIL, "")
+        c = F.regexp_replace(F.regexp_replace(c, SIDE_HEAD, ""), SIDE_MODAL, "")
         return F.substring(F.btrim(F.regexp_replace(c, r"\s+", " "), F.lit(" .;:-")), 1, 180)
 
     found = []
@@ -127,18 +132,17 @@ def agreement_gate(df: DataFrame, a: str, b: str, least_spearman: float = 0.9, m
     return s.crossJoin(F.broadcast(m)).withColumn("passed", (F.col("spearman") >= least_spearman) & (F.col("relative_mae") <= most_relative_error))  # one row each
 
 
-def json_paths(df: DataFrame, key: str, text: str, depth: int = 8) -> DataFrame:
-    """(key, path, value): the scalars of a JSON text by dotted path, list places from 0; what is nested deeper than asked stays JSON text. Broken texts have no rows."""
+def json_paths(df: DataFrame, key: str, text: str, depth: int | None = None) -> DataFrame:
+    """(key, path, value): the scalars of a JSON text by dotted path, list places from 0; all levels, or down to a depth below which it stays JSON text. Broken texts have no rows."""
     level = df.select(key, F.lit("").alias("path"), F.try_parse_json(text).alias("v")).where("v is not null")
-    out = None
-    for k in range(depth + 1):
+    out, k = None, 0
+    while out is None or depth is not None and k <= depth or depth is None and not level.isEmpty():
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         done = level if k == depth else level.where(~nested)
         leaf = done.select(key, F.substring("path", 2, 1 << 20).alias("path"), F.when(nested, F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string")).alias("value"))
         out = leaf if out is None else out.union(leaf)
-        if k < depth:
-            level = _exploded(level.where(nested), key)
+        level, k = _exploded(level.where(nested), key), k + 1
     return out
 
 

@@ -6,16 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
 def running_before(df: DataFrame, order: str, columns: Sequence[str], ranges: int = 128) -> DataFrame:
     """df (one row for each value of `order`, none null) with `<column>_before`: the sum over all rows with smaller values.
 
-    Values are cut into ranges at approximate quantiles; sums run inside a range, and the sums of whole ranges, as many
+    Values are cut into ranges at approximate quantiles, or at those of a hashed sample where they are no numbers or dates; sums run inside a range, and the sums of whole ranges, as many
     rows as there are ranges, are added by a broadcast join. The cuts decide only how evenly rows are dealt.
     """
-    cuts = df.agg(F.percentile_approx(order, F.array(*(F.lit(k / ranges) for k in range(1, ranges))), F.lit(10_000))).first()[0] or []
+    if isinstance(df.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        cuts = df.agg(F.percentile_approx(order, F.array(*(F.lit(k / ranges) for k in range(1, ranges))), F.lit(10_000))).first()[0] or []
+    else:  # the first keys in the order of a hash, a fixed number
+        seen = sorted(r[0] for r in df.select(order).orderBy(F.xxhash64(order)).limit(100 * ranges).collect())
+        cuts = [seen[k * len(seen) // ranges] for k in range(1, ranges)] if seen else []
     cuts = sorted(set(cuts))
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
     laid = df.withColumn("_range", place)

@@ -121,7 +121,7 @@ def spearman_rank(t):
 with recursive f(k, p, s) as (select 0, exp(-1.0), exp(-1.0) union all select k + 1, p / (k + 1), s + p / (k + 1) from f where k < 10),
 o as (select coalesce(o_custkey::varchar, 'NO_GROUP') as g, o_totalprice as y, o_totalprice * (0.9 + (o_orderkey % 7) / 30.0) as p from orders),
 s as (select g, count(*) as n, sum(y) as sy, sum(y * y) as syy, sum((p - y) * (p - y)) as se2, sum(abs(p - y)) as sae from o group by g),
-u as (select s.*, d, ('0x' || substr(md5('42:' || d || ':' || g), 1, 13))::bigint / 4503599627370496.0::double as u from s, range(0, 200) x(d)),
+u as (select s.*, d, ('0x' || substr(md5('42:' || d || ':' || g), 1, 13))::bigint / 4503599627370496.0::double as u from s, range(0, 2000) x(d)),
 w as (select u.*, (select count(*) from f where u.u >= s) as m from u),
 b as (select d, sum(m * n)::double as n, sum(m * sy) as sy, sum(m * syy) as syy, sum(m * se2) as se2, sum(m * sae) as sae from w where m > 0 group by d),
 r as (select 1 - se2 / (syy - sy * sy / n) as r2, sqrt(se2 / n) as rmse, sae / n as mae from b),
@@ -129,14 +129,36 @@ a as (select sum(n)::bigint as rows, count(*) as groups, 1 - sum(se2) / (sum(syy
 """ + " union all ".join(f"select '{m}' as metric, round((select {m} from a), 4) as estimate, round(quantile_cont({m}, 0.025), 4) as ci_lower, round(quantile_cont({m}, 0.975), 4) as ci_upper, count(*) as draws, (select rows from a) as rows, (select groups from a) as groups from r" for m in ("r2", "rmse", "mae")))
 def cluster_bootstrap_ci(t):
     o = t("orders").select("o_custkey", F.col("o_totalprice").alias("y"), (F.col("o_totalprice") * (0.9 + (F.col("o_orderkey") % 7) / 30.0)).alias("p"))
-    b = M.cluster_bootstrap(o, "y", "p", "o_custkey", draws=200)
+    b = M.cluster_bootstrap(o, "y", "p", "o_custkey")
     return b.select("metric", *(F.round(c, 4).alias(c) for c in ("estimate", "ci_lower", "ci_upper")), "draws", "rows", "groups")
 
 
-@query("paired_bootstrap_deltas")
+@query("paired_bootstrap_deltas", """
+with recursive f(k, p, s) as (select 0, exp(-1.0), exp(-1.0) union all select k + 1, p / (k + 1), s + p / (k + 1) from f where k < 10),
+o as (select coalesce(o_custkey::varchar, 'NO_GROUP') as g, o_totalprice as y, o_totalprice * 0.9::double as a, o_totalprice * (0.9 + (o_orderkey % 7) / 30.0) as b from orders),
+s as (select g, count(*) as n, sum(y) as sy, sum(y * y) as syy, sum((a - y) * (a - y)) as ea, sum(abs(a - y)) as aa, sum((b - y) * (b - y)) as eb, sum(abs(b - y)) as ab from o group by g),
+u as (select s.*, d, ('0x' || substr(md5('42:' || d || ':' || g), 1, 13))::bigint / 4503599627370496.0::double as u from s, range(0, 2000) x(d)),
+w as (select u.*, (select count(*) from f where u.u >= s) as m from u),
+t as (select d, sum(m * n)::double as n, sum(m * sy) as sy, sum(m * syy) as syy, sum(m * ea) as ea, sum(m * aa) as aa, sum(m * eb) as eb, sum(m * ab) as ab from w where m > 0 group by d),
+r as (select (ea - eb) / (syy - sy * sy / n) as r2, sqrt(eb / n) - sqrt(ea / n) as rmse, (ab - aa) / n as mae from t)
+""" + " union all ".join(f"select '{m}' as metric, round(quantile_cont({m}, 0.5), 4) as median_delta, round(quantile_cont({m}, 0.025), 4) as ci_lower, round(quantile_cont({m}, 0.975), 4) as ci_upper, count(*) as draws from r" for m in ("r2", "rmse", "mae")))
 def paired_bootstrap_deltas(t):
     o = t("orders").select("o_custkey", F.col("o_totalprice").alias("y"), (F.col("o_totalprice") * 0.9).alias("a"), (F.col("o_totalprice") * (0.9 + (F.col("o_orderkey") % 7) / 30.0)).alias("b"))
-    return M.paired_bootstrap(o, "y", "a", "b", "o_custkey", draws=200)
+    return M.paired_bootstrap(o, "y", "a", "b", "o_custkey").select("metric", *(F.round(c, 4).alias(c) for c in ("median_delta", "ci_lower", "ci_upper")), "draws")
+
+
+@query("cluster_bootstrap_multinomial", """
+with o as (select n_name as g, c_acctbal as y, c_acctbal * 0.9 + 1 as p from customer join nation on c_nationkey = n_nationkey),
+s as (select g, count(*) as n, sum(y) as sy, sum(y * y) as syy, sum((p - y) * (p - y)) as se2, sum(abs(p - y)) as sae, row_number() over (order by g) - 1 as k, count(*) over () as all from o group by g),
+d as (select d, floor(('0x' || substr(md5('42:' || d || ':' || t), 1, 13))::bigint / 4503599627370496.0::double * (select max("all") from s))::bigint as k from range(0, 2000) x(d), range(0, (select max("all") from s)) y(t)),
+b as (select d, sum(n)::double as n, sum(sy) as sy, sum(syy) as syy, sum(se2) as se2, sum(sae) as sae from d join s using (k) group by d),
+r as (select 1 - se2 / (syy - sy * sy / n) as r2, sqrt(se2 / n) as rmse, sae / n as mae from b),
+a as (select sum(n)::bigint as rows, count(*) as groups, 1 - sum(se2) / (sum(syy) - sum(sy) * sum(sy) / sum(n)) as r2, sqrt(sum(se2) / sum(n)) as rmse, sum(sae) / sum(n) as mae from s)
+""".replace("as all ", 'as "all" ') + " union all ".join(f"select '{m}' as metric, round((select {m} from a), 6) as estimate, round(quantile_cont({m}, 0.025), 6) as ci_lower, round(quantile_cont({m}, 0.975), 6) as ci_upper, count(*) as draws, (select rows from a) as rows, (select groups from a) as groups from r" for m in ("r2", "rmse", "mae")))
+def cluster_bootstrap_multinomial(t):
+    j = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", F.col("c_acctbal").alias("y"), (F.col("c_acctbal") * 0.9 + 1).alias("p"))
+    b = M.cluster_bootstrap(j, "y", "p", "n_name", law="multinomial")
+    return b.select("metric", *(F.round(c, 6).alias(c) for c in ("estimate", "ci_lower", "ci_upper")), "draws", "rows", "groups")
 
 
 @query("group_kfold_leakage_check", "select 0::bigint as groups_in_two_folds, count(*) as rows, 5::bigint as folds from orders")

@@ -54,21 +54,11 @@ def graph_edges(t):
 
 
 @query("graph_dangling", f"""
-with n as (select {ID.format('customer', 'c_custkey')} as id from customer union select {ID.format('order', 'o_orderkey')} from orders where o_orderkey % 10 <> 0)
-select 'src' as "end", count(*) as edges from orders where {ID.format('customer', 'o_custkey')} not in (select id from n) having count(*) > 0
-union all select 'dst', count(*) from orders where {ID.format('order', 'o_orderkey')} not in (select id from n) having count(*) > 0""")
-def graph_dangling(t):
-    nodes = t("customer").select(stable_id("customer", "c_custkey").alias("id")).union(t("orders").where("o_orderkey % 10 <> 0").select(stable_id("order", "o_orderkey").alias("id")))
-    edges = t("orders").select(F.col("o_orderkey").alias("rel_id"), stable_id("customer", "o_custkey").alias("src"), stable_id("order", "o_orderkey").alias("dst"))
-    return G.dangling(nodes, edges).groupBy("end").agg(F.count("*").alias("edges"))
-
-
-@query("graph_dangling_all", f"""
 with n as (select {ID.format('customer', 'c_custkey')} as id from customer union select {ID.format('order', 'o_orderkey')} from orders union select {ID.format('customer', 'o_custkey')} from orders),
 e as (select {ID.format('customer', 'o_custkey')} as src, {ID.format('order', 'o_orderkey')} as dst from orders union all select {ID.format('order', 'l_orderkey')}, {ID.format('part', 'l_partkey')} from lineitem)
 select 'src' as "end", count(*) as edges from e where src not in (select id from n) having count(*) > 0
 union all select 'dst', count(*) from e where dst not in (select id from n) having count(*) > 0""")
-def graph_dangling_all(t):
+def graph_dangling(t):
     """All edges against all nodes; parts are no nodes, so every CONTAINS edge dangles."""
     edges = _edges(t).select(F.concat_ws("|", "type", "src", "dst", "seq").alias("rel_id"), "src", "dst")
     return G.dangling(_candidates(t).select("id"), edges).groupBy("end").agg(F.count("*").alias("edges"))
@@ -138,3 +128,76 @@ def knowledge_cards(t):
 select lower(trim(p_name)) as norm, arg_min(p_brand, p_partkey) as term from part group by 1""")
 def ontology_synonyms(t):
     return G.ontology_index(t("part").select(F.col("p_brand").alias("term"), F.col("p_name").alias("synonym"), "p_partkey"), "p_partkey")
+
+
+@query("graph_checks", f"""
+with s as (select distinct {ID.format('supplier', 's_suppkey')} as id from supplier)
+select 'dangling_relationships' as "check", count(distinct l_orderkey || '-' || l_linenumber) as violations from lineitem where l_partkey not in (select p_partkey from part where p_size > 10)
+union all select 'required_node_property_violations', (select count(*) from supplier where s_acctbal < 0)
+union all select 'required_relationship_property_violations', (select count(*) from lineitem where l_linenumber > 2)
+union all select 'unsupported_claims', (select count(*) from supplier where s_suppkey not in (select l_suppkey from lineitem where l_returnflag = 'A'))
+union all select 'unguarded_directional_relations', (select count(*) from lineitem where l_returnflag = 'R' and l_linenumber > 2)""")
+def graph_checks(t):
+    """Suppliers are claims, parts of some size other nodes; lines are edges, of which those returned support and those refused are directional."""
+    name = F.when(F.col("s_acctbal") >= 0, F.col("s_name")).otherwise("")
+    suppliers = t("supplier").select(stable_id("supplier", "s_suppkey").alias("id"), F.lit("ScientificClaim").alias("label"), F.create_map(F.lit("name"), name).alias("properties"))
+    parts = t("part").where("p_size > 10").select(stable_id("part", "p_partkey").alias("id"), F.lit("Part").alias("label"), F.create_map(F.lit("name"), "p_name").alias("properties"))
+    kind = F.when(F.col("l_returnflag") == "A", "SUPPORTED_BY").when(F.col("l_returnflag") == "R", "DIRECTIONAL_RELATION").otherwise("OTHER")
+    guard = F.when(F.col("l_linenumber") <= 2, F.col("l_linestatus"))
+    edges = t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("rel_id"), stable_id("supplier", "l_suppkey").alias("src"), stable_id("part", "l_partkey").alias("dst"), kind.alias("type"), F.create_map(F.lit("status"), guard).alias("properties"))
+    every = {"SUPPORTED_BY": ["status"], "DIRECTIONAL_RELATION": ["status"], "OTHER": ["status"]}
+    return G.graph_checks(suppliers.union(parts), edges, {"ScientificClaim": ["name"], "Part": ["name"]}, every, guards=["status"])
+
+
+@query("claim_support", """
+with l as (select l_suppkey, l_returnflag as kind, l_linenumber as shared, l_discount * 10 as score from lineitem), r as (select *, shared >= 2 and score >= case kind when 'A' then 0.35 when 'R' then 0.75 else 100 end as ok from l)
+select l_suppkey, count(*) filter (where ok and kind = 'A') as "A_support_count", count(*) filter (where ok and kind = 'R') as "R_support_count", count(*) filter (where ok) as evidence_support_count, case when count(*) filter (where ok) > 0 then 'evidence_linked' else 'summary_only' end as support_status from r group by 1""")
+def claim_support(t):
+    links = t("lineitem").select("l_suppkey", F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("shared"), (F.col("l_discount") * 10).alias("score"))
+    return G.claim_support(links, "l_suppkey", "kind", {"A": 0.35, "R": 0.75})
+
+
+@query("evidence_lens", """
+select 'evidence' as src, l_suppkey as dst, case when count(*) filter (where l_returnflag = 'A' and l_linenumber >= 2 and l_discount >= 0.09) > 0 then 'POLICY_PRIORITIZES_EVIDENCE_LINKED_CLAIM' else 'POLICY_FLAGS_WEAK_EVIDENCE' end as type from lineitem group by l_suppkey""")
+def evidence_lens(t):
+    links = t("lineitem").select("l_suppkey", F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("shared"), F.col("l_discount").alias("score"))
+    return G.evidence_lens(G.claim_support(links, "l_suppkey", "kind", {"A": 0.09}), "evidence", "l_suppkey")
+
+
+def _events(t):
+    return t("events").select(F.col("user_id").alias("src"), F.floor(F.col("value") / 10).alias("dst"), F.col("event_type").alias("type"))
+
+
+@query("constraint_warnings", """
+with f as (select c_custkey as id, coalesce(bool_or(event_type in ('click', 'view')), false) as seen, coalesce(bool_or(event_type = 'purchase'), false) as bought from customer left join events on user_id = c_custkey group by 1)
+select id, concat_ws(',', case when not seen then 'seen' end, case when not bought then 'bought' end) as missing from f where not seen or not bought""")
+def constraint_warnings(t):
+    w = G.constraint_warnings(t("customer").select(F.col("c_custkey").alias("id")), _events(t), {"seen": ["click", "view"], "bought": ["purchase"]})
+    return w.select("id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("supported_nodes", """
+with e as (select user_id as src, floor(value / 10)::bigint as dst, event_type as type from events), s as (select distinct dst from e where type = 'purchase' and dst is not null)
+select dst as id from s union select src from e where type <> 'purchase' and dst in (select dst from s)""")
+def supported_nodes(t):
+    return G.supported_nodes(_events(t), "purchase")
+
+
+@query("abstraction_lens", """
+select 'node' as kind, label as a, count(*) as n from (values ('goods'), ('people')) x(label) group by 2 union all select 'edge', case when p_size > 25 then 'goods' else 'people' end, count(*) from part where p_size <> 50 group by 2""")
+def abstraction_lens(t):
+    label = F.when(F.col("p_size") == 50, "Other").when(F.col("p_size") > 25, "Part").otherwise("Customer")
+    nodes, edges = G.abstraction_lens(t("part").select(F.col("p_partkey").alias("id"), label.alias("label")), {"Part": "goods", "Customer": "people"}, "p")
+    names = nodes.select(F.col("id").alias("dst"), F.col("properties.name").alias("a"))
+    return nodes.select(F.lit("node").alias("kind"), F.col("properties.name").alias("a")).groupBy("kind", "a").agg(F.count("*").alias("n")).union(edges.join(names, "dst").groupBy(F.lit("edge"), "a").agg(F.count("*")))
+
+
+@query("record_subgraph_counts", """
+select 'Order' as kind, count(*) as count from orders union all select 'Customer', count(distinct o_custkey) from orders
+union all select 'Status', count(*) from (select distinct o_orderstatus, o_orderpriority from orders) union all select 'Clerk', count(distinct o_totalprice) from orders
+union all select 'HAS_RECORD', count(*) from orders union all select 'HAS_STATUS', count(*) from orders union all select 'HAS_PRICE', count(*) from orders""")
+def record_subgraph_counts(t):
+    groups = {"status": ("Status", "HAS_STATUS", ["o_orderstatus", "o_orderpriority"]), "price": ("Clerk", "HAS_PRICE", ["o_totalprice"])}
+    nodes, edges = G.record_subgraph(t("orders"), "o_orderkey", "o_custkey", groups, "Customer", "Order")
+    counts = G.label_counts(G.merge_nodes(nodes)).toDF("kind", "count")
+    return counts.union(G.type_counts(G.merge_edges(edges)))

@@ -1,4 +1,4 @@
-"""Queries that read whole tables, where those of the same name without `_all` read a part."""
+"""Queries that once read a part of their tables read whole ones."""
 
 import oracle
 from granary.plans import registry
@@ -17,29 +17,29 @@ def count(spark, table):
 
 
 def test_conflicts_of_all_orders(spark):
-    got = run(spark, "conflict_split_all")
+    got = run(spark, "conflict_split")
     assert got.count() == count(spark, "orders") and got.where("o_orderkey >= 2000 and id like '%p25'").count() > 0
 
 
 def test_all_labels_are_evidence(spark):
-    got = run(spark, "lookup_by_fallback_keys_all")
+    got = run(spark, "lookup_by_fallback_keys")
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality is not null").select("doc_id", "quality")
     assert got.where("key_rank = 0").select("doc_id", "quality").exceptAll(labels).count() == 0
     assert labels.join(got.where("key_rank = 0"), "doc_id", "left_anti").count() == 0
 
 
 def test_all_edges_against_all_nodes(spark):
-    assert {r["end"]: r["edges"] for r in run(spark, "graph_dangling_all").collect()} == {"dst": count(spark, "lineitem")}
+    assert {r["end"]: r["edges"] for r in run(spark, "graph_dangling").collect()} == {"dst": count(spark, "lineitem")}
 
 
 def test_registry_grows_with_the_table(spark):
-    got = run(spark, "registry_incremental_new_keys_all")
+    got = run(spark, "registry_incremental_new_keys")
     new = got.where("source like 'new %'").count()
     assert got.count() == count(spark, "documents") and 0.4 < new / got.count() < 0.6
 
 
 def test_outer_join_of_whole_tables(spark):
-    got = run(spark, "full_outer_indicator_all")
+    got = run(spark, "full_outer_indicator")
     assert got.where("_merge <> 'right_only'").count() == count(spark, "documents")
 
 
