@@ -125,7 +125,8 @@ def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, both / 2))
 
 
-def _judge(references: dict[str, dict]):
+def nearest_reference(references: dict[str, dict]):
+    """A function of a text and its words: its distances from the nearest reference, all references looked at at once."""
     langs = sorted(references)
     chars = np.array([references[x]["chars"] / references[x]["chars"].sum() for x in langs]).reshape(-1, CLASSES)
     width = 1 + max((len(references[x]["words"]) for x in langs), default=0)
@@ -154,6 +155,12 @@ def _judge(references: dict[str, dict]):
         k = int(np.argmin(by_char + by_word))
         return float(by_char[k]), float(by_word[k])
 
+    return distances
+
+
+def _judge(references: dict[str, dict]):
+    distances = nearest_reference(references)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 500):
             rows = []
