@@ -96,3 +96,18 @@ def identity_issues(df: DataFrame, key: str, value: str, scientific: Sequence[st
     n = F.count("*").over(Window.partitionBy(*scientific))
     twice = df.withColumn("_n", n).where("_n > 1").select(key, F.lit("duplicate_final_device_identity").alias("issue"))
     return mismatch.union(twice)
+
+
+def copy_context(df: DataFrame, group: str, targets: Sequence[str], context: Sequence[str], order: str) -> DataFrame:
+    """Rows with a target, their missing context filled from the group's rows without one, first seen first; rows that only gave context go.
+
+    Rows without a target stay where no row of their group has one, and rows without a group stay as they are. Targets
+    are never merged, so conflicting ones remain rows of their own.
+    """
+    has = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(True)) for c in targets), F.lit(False))
+    known = F.col(group).isNotNull()
+    given = df.where(known & ~has).groupBy(group).agg(*(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_c_{c}") for c in context))
+    filled = df.where(known & has).join(given, group, "left").withColumns({c: F.coalesce(c, f"_c_{c}") for c in context}).select(*df.columns)
+    with_target = df.where(known & has).select(group).distinct()
+    alone = df.where(known & ~has).join(with_target, group, "left_anti").select(*df.columns)
+    return filled.unionByName(alone).unionByName(df.where(~known))

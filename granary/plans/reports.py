@@ -222,3 +222,16 @@ from (select conv_id, turn, case when role = 'user' then 'humean_evidence' else
 def output_flags(t):
     policy = F.when(F.col("role") == "user", "humean_evidence").otherwise("cartesian_decomposition")
     return t("conversations").select("conv_id", "turn", F.array_join(R.output_flags(policy, F.col("text")), ",").alias("flags"))
+
+
+@query("copy_context", """
+with d as (select doc_id, source, case when doc_id % 3 = 0 then n_chars end as target, case when doc_id % 3 <> 0 then lang end as kind from documents),
+g as (select source, arg_min(kind, doc_id) filter (where kind is not null) as kind from d where source is not null and target is null group by source)
+select d.doc_id, d.source, d.target, coalesce(d.kind, g.kind) as kind from d left join g on g.source = d.source where d.source is not null and target is not null
+union all select doc_id, source, target, kind from d where source is null or (target is null and source not in (select source from d where target is not null and source is not null))""")
+def copy_context(t):
+    from granary.operators.identity import copy_context as copied
+
+    third = F.col("doc_id") % 3 == 0
+    d = t("documents").select("doc_id", "source", F.when(third, F.col("n_chars")).alias("target"), F.when(~third, F.col("lang")).alias("kind"))
+    return copied(d, "source", ["target"], ["kind"], "doc_id")
