@@ -57,7 +57,9 @@ def directional_claims(df: DataFrame, key: str, text: str, verbs: Sequence[tuple
             claims.append(F.when(sentence.rlike(rf"(?i)\b(?:{verb})\b") & (F.length(before) >= least_length) & (F.length(after) >= least_length), claim))
         return F.array_compact(F.array(*claims))
 
-    claims = F.slice(F.flatten(F.transform(sentences(F.col(text)), found)), 1, most)
+    any_verb = "|".join(verb for _, verb in verbs)  # one look at each sentence; most have no verb at all
+    told = F.filter(sentences(F.col(text)), lambda s: s.rlike(rf"(?i)\b(?:{any_verb})\b"))
+    claims = F.slice(F.flatten(F.transform(told, found)), 1, most)
     return df.select(key, F.posexplode(claims).alias("claim_no", "claim")).select(key, F.col("claim_no").cast("long").alias("claim_no"), "claim.*")
 
 
