@@ -271,18 +271,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     wanted = candidates.join(reps.select("rep", "content"), "rep")
     sets = materialize(docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "text", "content").mapInArrow(lambda batches: _sets(batches, width), "rep long, own binary"), "sets")
 
-    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    links = with_b.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
     with_lead = led.join(sets, "rep").join(sets.select(F.col("rep").alias("leader"), F.col("own").alias("lead")), "leader").select("rep", "leader", "own", "lead")
     differ = materialize(with_lead.mapInArrow(lambda batches: _differ(batches, percent), "rep long, leader long, linked boolean, size long, lacks binary, has binary"), "differ")
-    links = materialize(links.union(differ.where("linked").select("rep", "leader")), "links")
+    led_by = connected_components(differ.where("linked and rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+    apart = _apart(differ, led_by, signed, percent, hashes)
 
-    components = connected_components(links)
-    apart = _apart(differ, components, signed, percent, hashes)
-    if not apart.isEmpty():
-        components = connected_components(links.union(apart))
-    return _placed(sketch, reps, components)
+    # of the pairs, those count that no leader has joined
+    part = lambda x: led_by.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+    pairs = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b")
+    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("x")), "a")
+    with_b = with_a.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
+    links = with_b.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
+    links = links.union(apart).union(led_by.where("node <> component").select("node", "component"))
+    return _placed(sketch, reps, connected_components(links))
 
 
 def _apart(differ: DataFrame, components: DataFrame, signed: DataFrame, percent: int, hashes: int) -> DataFrame:
