@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -17,10 +19,9 @@ from pyspark.sql.types import StructType
 #: The words of every contract here: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Texts reach Python workers in Arrow batches of about so many bytes, unless the session sets another limit than Spark's own.
-BATCH_BYTES, SPARK_BATCH_BYTES = "4m", "67108864b"
-
-_written: list[tuple[SparkSession, str]] = []
+_libc = ctypes.CDLL(None)
+_written: dict[str, SparkSession] = {}
+_thread = threading.local()
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,8 +30,6 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_granary_shipped", False):
         return
     sc._granary_shipped = True
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", SPARK_BATCH_BYTES) in (SPARK_BATCH_BYTES, "64m"):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = Path(__file__).resolve().parent.parent
     packed = Path(tempfile.mkdtemp(prefix="granary-")) / "granary.zip"
     with zipfile.ZipFile(packed, "w") as z:
@@ -60,23 +59,28 @@ def new_path(spark: SparkSession, kind: str) -> str:
     """A path of its own in the shared folder, deleted when the driver's Python ends, if not before."""
     path = f"{shared_dir(spark)}/granary-{kind}-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(_delete, 0)
-    _written.append((spark, path))
+        atexit.register(lambda: _delete(list(_written)))
+    _written[path] = spark
+    _mine().append(path)
     return path
 
 
-def _delete(first: int, kept: str | None = None, stop: int | None = None) -> None:
-    """The folders that were written from that one on, but for one that is kept."""
-    for spark, path in _written[first:stop]:
-        if path == kept:
-            continue
+def _mine() -> list[str]:
+    """The paths that this thread has made, so that work in other threads is left alone."""
+    if not hasattr(_thread, "paths"):
+        _thread.paths = []
+    return _thread.paths
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            sc = _written[path].sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session may be gone; the folder then goes with the cluster's shared folder
             continue
-        _written.remove((spark, path))
+        _written.pop(path, None)
 
 
 def materialize(df: DataFrame, kind: str) -> DataFrame:
@@ -90,15 +94,16 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Deletes what materialize() or finished() wrote; nothing that was planned on it may run any more."""
-    for k in [k for k, (_, path) in enumerate(_written) if path == getattr(df, "_granary_path", "")]:
-        _delete(k, stop=k + 1)
+    _delete([path for path in _written if path == getattr(df, "_granary_path", "")])
 
 
 def finished(make: Callable[[], DataFrame], kind: str) -> DataFrame:
-    """The table that make() plans, written; what it wrote on its way there is deleted."""
-    first = len(_written)
+    """The table that make() plans, written; what this thread wrote on its way there is deleted."""
+    first = len(_mine())
     out = materialize(make(), kind)
-    _delete(first, _written[-1][1])
+    made = _mine()[first:]
+    _delete([path for path in made if path in _written and path != out._granary_path])
+    _mine()[first:] = [out._granary_path]
     return out
 
 
@@ -144,9 +149,16 @@ def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
     return docs.select(*(quoted(c).alias(x) for c, x in names.items())), [quoted(x).alias(c) for c, x in names.items()]
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers are used again, by other stages too."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def parts(batches: Iterator, rows: int) -> Iterator:
     """Arrow batches of at most so many rows, so that a worker holds few of them as Python objects at once."""
     for batch in batches:
         for lo in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(lo, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
