@@ -45,9 +45,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     row = unused("_row", docs.columns)
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = [near_duplicates(rows, key=row, width=w, percent=p).where("doc_id <> component_id") for w, p in RULES]
-    links = found[0].unionByName(found[1]).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    groups = connected_components(links)
+    linked = [F.col("doc_id").alias("a"), F.col("component_id").alias("b")]
+    found = [finished(lambda w=w, p=p: near_duplicates(rows, key=row, width=w, percent=p).where("doc_id <> component_id").select(linked), "linked") for w, p in RULES]
+    groups = connected_components(found[0].union(found[1]))
     ids = groups.join(rows.select(F.col(row).alias("node"), "doc_id"), "node")
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first")).select("first.node")
     gone = groups.join(first, "node", "left_anti").select(F.col("node").alias(row))
