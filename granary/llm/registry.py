@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import embedding, html_text, language, minhash, mixing, packing, quality, sharding, token_output, warc
+from granary.llm import embedding, filter_audit, html_text, language, minhash, mixing, packing, quality, sharding, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index": embedding.op1_multi_index,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bounded_ring": sharding.op8_bounded_ring,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_poisson_mix": mixing.op10_poisson_mix,
+    "op11_path_counts": filter_audit.op11_path_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_js_quality": quality.OP6_SQL,
     "op9_warc_revisits": warc.OP9_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
+    "op11_path_counts": filter_audit.OP11_SQL,
 }
