@@ -39,7 +39,7 @@ def brute(docs, labels):
 
 def run(spark, docs, labels):
     table = spark.createDataFrame([(*d, "clash", "clash", 1, 2) for d in docs], SCHEMA)
-    flagged = audit.document_failures(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int, good string"))
+    flagged = audit.document_failures(table, spark.createDataFrame([(*x, "clash") for x in labels], "doc_id long, quality int, toxic int, good string"))
     got = audit.audit_filters(flagged, list("ABCDE"), marks=("good", "toxic")).collect()
     found = {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley) for r in got}
     assert len(found) == len(got)
