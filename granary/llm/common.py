@@ -92,6 +92,20 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, kind: str, buckets: int, by: str) -> DataFrame:
+    """Like materialize(), in buckets of a column: what groups or joins by it later moves only the other side.
+
+    The table has a name in the session's catalog only until it is read; its files are in the shared folder.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, kind)
+    name = f"granary_{kind}_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # an external table's files stay
+    out._granary_path = path
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what materialize() or finished() wrote; nothing that was planned on it may run any more."""
     _delete([path for path in _written if path == getattr(df, "_granary_path", "")])
