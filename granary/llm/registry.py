@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import embedding, filter_audit, html_text, language, minhash, mixing, packing, quality, sharding, suffix_dedup, token_output, warc
+from granary.llm import embedding, filter_audit, html_text, language, minhash, mixing, packing, prefix_trie, quality, sharding, suffix_dedup, token_output, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index": embedding.op1_multi_index,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_poisson_mix": mixing.op10_poisson_mix,
     "op11_path_counts": filter_audit.op11_path_counts,
+    "op12_prefix_forest": prefix_trie.op12_prefix_forest,
     "op13_suffix_merge": suffix_dedup.op13_suffix_merge,
 }
 
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_warc_revisits": warc.OP9_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
     "op11_path_counts": filter_audit.OP11_SQL,
+    "op12_prefix_forest": prefix_trie.OP12_SQL,
 }
