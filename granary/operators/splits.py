@@ -1,4 +1,4 @@
-"""Splits by group, and models by feature block on Spark ML."""
+"""Splits by group."""
 
 from __future__ import annotations
 
@@ -66,31 +66,3 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, per_stratum: int, s
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(order, key))
     return df.withColumn("rank", rank.cast("long")).where(F.col("rank") <= per_stratum)
-
-
-def out_of_fold(df: DataFrame, features: Sequence[str], target: str, fold: str, folds: int, trees: int = 50, depth: int = 8, seed: int = 42) -> DataFrame:
-    """df with oof: each fold's rows predicted by a forest that was fitted on the others, missing features as their median."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    stages = [
-        Imputer(strategy="median", inputCols=list(features), outputCols=[f"_i_{c}" for c in features]),
-        VectorAssembler(inputCols=[f"_i_{c}" for c in features], outputCol="_x"),
-        RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="oof", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed),
-    ]
-    out = None
-    for k in range(folds):
-        model = Pipeline(stages=stages).fit(df.where((F.col(fold) != k) & F.col(target).isNotNull()))
-        own = model.transform(df.where(F.col(fold) == k)).select(*df.columns, "oof")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def residual_stages(df: DataFrame, blocks: Sequence[Sequence[str]], target: str, fold: str, folds: int, **model) -> DataFrame:
-    """Stage after stage predicts what the earlier ones left over; adds oof_stage_1, ... and oof, their sum."""
-    out = df.withColumn("_rest", F.col(target).cast("double"))
-    for k, block in enumerate(blocks, 1):
-        out = out_of_fold(out, block, "_rest", fold, folds, **model).withColumnRenamed("oof", f"oof_stage_{k}")
-        out = out.withColumn("_rest", F.col("_rest") - F.col(f"oof_stage_{k}"))
-    return out.withColumn("oof", sum((F.col(f"oof_stage_{k}") for k in range(2, len(blocks) + 1)), F.col("oof_stage_1"))).drop("_rest")

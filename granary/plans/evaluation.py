@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import physics as P
 from granary.operators import metrics as M
+from granary.operators import models as L
 from granary.operators import splits as S
 from granary.plans.base import query
 
@@ -219,5 +220,33 @@ def threshold_labels(t):
 
 @query("residual_model_stages")
 def residual_model_stages(t):
-    p = t("part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.length("p_name").cast("double").alias("b"), F.length("p_type").cast("double").alias("c"), "p_retailprice", S.hash_group_fold(F.col("p_brand"), 3).alias("fold"))
-    return S.residual_stages(p, [["a"], ["b", "c"]], "p_retailprice", "fold", 3, trees=10, depth=4).select("p_partkey", "oof_stage_1", "oof_stage_2", "oof")
+    p = t("part").select(
+        "p_partkey", F.col("p_size").cast("double").alias("size"), F.length("p_name").cast("double").alias("name_length"), F.element_at(F.split("p_type", " "), 1).alias("type"), F.element_at(F.split("p_name", " "), 1).alias("name"),
+        (F.col("p_partkey") % 100).cast("double").alias("series"), "p_retailprice", S.hash_group_fold(F.col("p_brand"), 5).alias("fold"),
+    )
+    stages = L.residual_stages(p, [["size"], ["name_length", "name"], ["type"], ["series"]], "p_retailprice", "fold", 5, categorical=["name", "type"])
+    return stages.select("p_partkey", *(f"oof_stage_{k}" for k in range(1, 5)), "oof")
+
+
+@query("ridge_tuned_by_fold", f"""
+with x as (
+    select doc_id, n_chars::double as a, ln(1 + n_chars) as b, strlen(coalesce(text, ''))::double as y, ('0x' || substr(md5('42:' || coalesce(source, '')), 1, 8))::bigint % 3 as fold from documents where n_chars is not null
+), l as (
+    select unnest([0.1, 1.0, 10.0, 100.0])::double as penalty
+), g as (
+    select f.fold, count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) as va, var_pop(b) as vb, covar_pop(a, b) as cab, covar_pop(a, y) as cay, covar_pop(b, y) as cby
+    from x join (select unnest([0, 1, 2]) as fold) f on x.fold <> f.fold group by f.fold
+), s as (
+    select fold, penalty, n, ma, mb, my, sqrt(va) as sa, sqrt(vb) as sb, n + penalty as d, n * cab / sqrt(va * vb) as o, n * cay / sqrt(va) as pa, n * cby / sqrt(vb) as pb from g, l
+), w as (
+    select fold, penalty, ma, mb, my, (pa * d - o * pb) / (d * d - o * o) / sa as wa, (pb * d - o * pa) / (d * d - o * o) / sb as wb from s
+), e as (
+    select penalty, y, my + wa * (a - ma) + wb * (b - mb) as p from x join w using (fold)
+)
+select penalty, round(sqrt(avg((y - p) ** 2)), 4) as rmse, round(1 - sum((y - p) ** 2) / sum((y - m) ** 2), 6) as r2 from e, (select avg(y) as m from x) group by penalty""")
+def ridge_tuned_by_fold(t):
+    d = t("documents").where("n_chars is not null").select(
+        F.col("n_chars").cast("double").alias("a"), F.log1p(F.col("n_chars").cast("double")).alias("b"), F.octet_length(F.coalesce("text", F.lit(""))).cast("double").alias("y"), S.hash_group_fold(F.coalesce("source", F.lit("")), 3).alias("fold"),
+    )
+    scores = L.fit_ridge(d, ["a", "b"], "y", "fold", 3).scores
+    return d.sparkSession.createDataFrame(scores, "penalty double, rmse double, r2 double").select("penalty", F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))

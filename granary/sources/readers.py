@@ -12,32 +12,20 @@ from pyspark.sql import functions as F
 BLOCKED = re.compile(r"^(all_records|paper_summaries|accepted|rejected|duplicate|integration|audit)", re.I)
 
 
-def sniff_encoding(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> str:
-    """By the byte order mark of the first file, else UTF-8 if its first bytes are that, else the fallback; read by Spark, so from any store."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, 65536).alias("h")).first()
-    start = bytes(head["h"]) if head and head["h"] else b""
-    if start[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16"
-    for cut in range(4 if len(start) == 65536 else 1):  # the last character may be cut
-        try:
-            start[: len(start) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return fallback
-
-
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as text; lines that don't fit the header go; a byte order mark before the first name goes; of equal names the first stays."""
-    encoding = encoding or sniff_encoding(spark, path)
-    df = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "DROPMALFORMED").csv(path)
-    names, keep = [], []
-    for k, name in enumerate(df.columns):
-        plain = re.sub(r"^﻿", "", re.sub(rf"(?<=.){k}$", "", name) if name not in names and df.columns.count(name) > 1 else name)
-        if plain not in names:
-            names.append(plain)
-            keep.append(F.col(f"`{name}`").alias(plain))
-    return df.select(*keep)
+def plain_names(columns: Sequence[str]) -> list[str]:
+    """A header's names as they stand in the file: without a byte order mark, and without the number that Spark adds to doubled ones."""
+    plain = []
+    for k, name in enumerate(columns):
+        bare = re.sub(rf"(?<=.){k}$", "", name)
+        plain.append((bare if bare != name and any(bare == re.sub(rf"(?<=.){j}$", "", other) for j, other in enumerate(columns) if j != k) else name).removeprefix("\ufeff"))
+    return plain
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], ladder: Sequence[str] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """All columns of a CSV file or folder as text, each file in its own encoding; see read_csv_files()."""
+    from granary.sources.encodings import read_csv_files
+
+    return read_csv_files(spark, path, ladder)[0].drop("_file_seq", "_source_file")
 
 
 def record_files(spark: SparkSession, folder: str, glob: str = "*.csv", blocked: re.Pattern = BLOCKED) -> list[str]:
@@ -48,14 +36,11 @@ def record_files(spark: SparkSession, folder: str, glob: str = "*.csv", blocked:
 
 def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Several CSV files with differing headers as one table, with `_file_seq` (place in `paths`) and `_source_file`."""
-    out = None
-    for k, path in enumerate(paths):
-        df = read_csv(spark, path).withColumn("_file_seq", F.lit(k)).withColumn("_source_file", F.lit(path.rsplit("/", 1)[-1]))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    from granary.sources.encodings import read_csv_files
+
+    if not paths:
         return spark.createDataFrame([], "_file_seq int, _source_file string")
-    meta = ["_file_seq", "_source_file"]
-    return out.select(*[c for c in out.columns if c not in meta], *meta)
+    return read_csv_files(spark, list(paths), in_order=True)[0]
 
 
 def prefer_json(spark: SparkSession, csv: DataFrame, json: DataFrame, stem: str = "_stem") -> DataFrame:
