@@ -154,19 +154,19 @@ def row_key(group: Column | str, *parts: Column | str) -> Column:
 
 def parse_pairs(c: Column | str, between: str = ";") -> Column:
     """`a=1; b=2` as a map; parts without an equals sign are dropped, and of a repeated name the last value counts."""
-    parts = F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), between), F.trim), lambda x: x.contains("="))
+    parts = F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), between), lambda x: F.trim(x)), lambda x: x.contains("="))
     pairs = F.transform(parts, lambda x: F.struct(F.trim(F.split(x, "=", 2)[0]).alias("k"), F.trim(F.split(x, "=", 2)[1]).alias("v")))
     return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"])))
 
 
 def list_cell(c: Column | str, between: str = r"[;|\n]") -> Column:
     """The distinct, trimmed, non-empty items of a delimited cell, first seen first."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), between), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), between), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def aligned_fractions(names: Column | str, weights: Column | str, between: str = ";") -> Column:
     """Two lists of one length as a map of fractions that add up to one; null unless all weights are finite, none negative and their sum positive."""
-    keys = F.transform(F.split(_col(names), between), F.trim)
+    keys = F.transform(F.split(_col(names), between), lambda x: F.trim(x))
     numbers = F.transform(F.split(_col(weights), between), lambda x: F.trim(x).try_cast("double"))
     total = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
     ok = (F.size(keys) == F.size(numbers)) & ~F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf"))) & (total > 0) & (F.size(F.array_distinct(keys)) == F.size(keys))

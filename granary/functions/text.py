@@ -28,7 +28,7 @@ BREAK = "\u0001"
 def sentences(text: Column, lengths: tuple[int, int] = SENTENCE_LENGTHS) -> Column:
     """Sentences end at a full stop, question or exclamation mark before white space and a capital or digit; other lengths are dropped."""
     cut = F.split(F.regexp_replace(clean(text), r"([.!?])\s+([A-Z0-9])", f"$1{BREAK}$2"), BREAK)
-    return F.filter(F.transform(cut, F.trim), lambda s: F.length(s).between(*lengths))
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda s: F.length(s).between(*lengths))
 
 
 def last_words(text: Column, n: int) -> Column:

@@ -47,10 +47,8 @@ def consolidate_groups(
     at = F.struct(F.col(order).alias("order"), F.col(row).alias("row"))
     text = (lambda c: clean(F.col(c))) if tidy else (lambda c: F.col(c).cast("string"))
     value = lambda c: F.when(F.length(text(c)) > 0, text(c))
-    return records.groupBy(group).agg(
-        F.count("*").alias("raw_record_count"),
-        *(F.min_by(value(c), F.when(value(c).isNotNull(), at)).alias(c) for c in scalars),
-        *(F.min_by(value(c), F.when(value(c).isNotNull(), F.struct((-F.length(value(c))).alias("size"), at.alias("at")))).alias(c) for c in longest),
-        *(F.array_sort(F.collect_set(value(c))).alias(c) for c in sets),
-        *(F.count_if(c).alias(name) for name, c in (flags or {}).items()),
-    )
+    found = {c: F.min_by(value(c), F.when(value(c).isNotNull(), at)) for c in scalars}
+    found |= {c: F.min_by(value(c), F.when(value(c).isNotNull(), F.struct((-F.length(value(c))).alias("size"), at.alias("at")))) for c in longest}
+    found |= {c: F.array_sort(F.collect_set(value(c))) for c in sets} | {name: F.count_if(c) for name, c in (flags or {}).items()}
+    grouped = records.groupBy(group).agg(F.count("*").alias("raw_record_count"), *(c.alias(f"_found{k}") for k, c in enumerate(found.values())))
+    return grouped.withColumnsRenamed({f"_found{k}": name for k, name in enumerate(found)})

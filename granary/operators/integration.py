@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from granary.functions.normalize import aligned_fractions, clean
@@ -25,9 +25,9 @@ def role(text: Column) -> Column:
 
 
 def stated_in(value: Column, text: Column) -> Column:
-    """Whether a text has a number as it is, with up to four places, as a number of its own."""
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", value.cast("double")), "0+$", ""), r"\.$", "")
-    return F.coalesce(text.rlike(F.concat(F.lit(r"(?<![\d.])"), F.regexp_replace(plain, r"\.", r"\\."), F.lit(r"0*(?!\.?\d)"))), F.lit(False))
+    """Whether one of the numbers of a text is the value, to four places; false without a text or a value."""
+    numbers = F.regexp_extract_all(text, F.lit(r"(?<![\d.])-?\d+(?:\.\d+)?"), F.lit(0))
+    return F.coalesce(F.exists(numbers, lambda x: F.round(x.cast("double"), 4) == F.round(value.cast("double"), 4)), F.lit(False))
 
 
 def collapse_devices(records: DataFrame, identity: Sequence[str], key: str, target: str, order: str, evidence: Mapping[str, str] | None = None, warning: str = "warning") -> DataFrame:
@@ -47,19 +47,20 @@ def collapse_devices(records: DataFrame, identity: Sequence[str], key: str, targ
     known = role(F.col(evidence[target])) if target in evidence else F.lit(None).cast("string")
 
     def merit(c: str) -> Column:
-        spoken = F.col(evidence[c]) if c in evidence else F.lit(None).cast("string")
+        spoken = F.col(evidence[c])
         same = F.when(role(spoken) == known, 2).when(role(spoken).isNotNull() & known.isNotNull(), 0).otherwise(1)
-        number = stated_in(F.col(c), spoken) if c in evidence and dict(records.dtypes)[c] not in ("string", "boolean") else spoken.isNotNull()
-        return F.struct(same.alias("same"), number.alias("stated"))
+        number = stated_in(F.col(c), spoken) if dict(records.dtypes)[c] not in ("string", "boolean") else spoken.isNotNull()
+        return F.struct((-same).alias("unlike"), (~number).alias("unstated"), F.col(order).alias("order"))
+
+    has = records.where(F.col(target).isNotNull()).withColumns({"_known": known} | {f"_rank{k}": merit(c) for k, c in enumerate(evidence)})
+    rank_of = {c: F.col(f"_rank{k}") for k, c in enumerate(evidence)}
 
     def best(c: str) -> Column:
         of = sentence_of.get(c, c)
-        m = merit(of) if of in evidence else F.struct(F.lit(0).alias("same"), F.lit(False).alias("stated"))
-        rank = F.struct((-m["same"]).alias("same"), (~m["stated"]).alias("stated"), F.col(order).alias("order"))
-        return F.min_by(F.col(c), F.when(F.col(of).isNotNull(), rank)).alias(c)
+        return F.min_by(F.col(c), F.when(F.col(of).isNotNull() & F.col(c).isNotNull(), rank_of.get(of, F.col(order))))
 
-    has = records.where(F.col(target).isNotNull())
-    grouped = has.groupBy(*identity).agg(*(best(c) for c in rest if c not in identity), F.count("*").alias("_n"), F.max(F.when(known == "treated", 1)).alias("_treated"), F.max(F.when(known == "control", 1)).alias("_control"))
+    grouped = has.groupBy(*identity).agg(*(best(c).alias(f"_best{k}") for k, c in enumerate(rest)), F.count("*").alias("_n"), F.max(F.when(F.col("_known") == "treated", 1)).alias("_treated"), F.max(F.when(F.col("_known") == "control", 1)).alias("_control"))
+    grouped = grouped.withColumnsRenamed({f"_best{k}": c for k, c in enumerate(rest)})
     name = F.when(F.col("_control").isNotNull() & F.col("_treated").isNull(), F.lit("_control")).otherwise(F.lit("_target"))
     value = F.regexp_replace(F.format_string("%.2f", F.col(target).cast("double")), r"\.", "p")
     several = F.col("_n") > 1
@@ -93,9 +94,9 @@ def merge_same_device(records: DataFrame, keys: Sequence[str], decisive: Sequenc
 
     def best(c: str) -> Column:
         spoken = F.col(preferred[c]).isNull() if c in preferred else F.lit(False)
-        return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(spoken.alias("s"), F.col(order).alias("o")))).alias(c)
+        return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(spoken.alias("s"), F.col(order).alias("o"))))
 
-    merged = marked.groupBy(*keys, *apart).agg(*(best(c) for c in rest))
+    merged = marked.groupBy(*keys, *apart).agg(*(best(c).alias(f"_best{k}") for k, c in enumerate(rest))).withColumnsRenamed({f"_best{k}": c for k, c in enumerate(rest)})
     return merged.select(records.columns).unionByName(records.where(~known))
 
 
@@ -114,8 +115,8 @@ def backfill_empty(existing: DataFrame, incoming: DataFrame, key: str, columns:
     return out, report
 
 
-def integration_outcomes(audit: DataFrame, status: str = "status") -> DataFrame:
-    """One row of counts: accepted_total, accepted, weak_accepted, sparse_accepted, rejected, audited."""
+def integration_outcomes(audit: DataFrame | GroupedData, status: str = "status") -> DataFrame:
+    """Counts, one row (or one for each group of a grouped table): accepted_total, accepted, weak_accepted, sparse_accepted, rejected, audited."""
     return audit.agg(F.count_if(F.col(status).isin(*ACCEPTED)).alias("accepted_total"), *(F.count_if(F.col(status) == s).alias(s) for s in (*ACCEPTED, "rejected")), F.count(status).alias("audited"))
 
 

@@ -91,14 +91,24 @@ def fit_encoders(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     return out
 
 
-def support(df: DataFrame, target: str, task: str = "regression", least_rows: int = LEAST_ROWS, least_minority: int = LEAST_MINORITY) -> dict:
-    """{status, n}: trained, skipped_insufficient_rows, or for classes skipped_insufficient_class_support; rows without a target, or with another class than 0 and 1, don't count."""
+def support_by(df: DataFrame, by: Sequence[str], target: str, task: str = "regression", least_rows: int = LEAST_ROWS, least_minority: int = LEAST_MINORITY) -> DataFrame:
+    """(by, target, n, status) for each group: trained, skipped_insufficient_rows, or for classes skipped_insufficient_class_support.
+
+    Rows without a target, or with another class than 0 and 1, don't count. Without `by` there is one row, of an empty
+    table too.
+    """
     y = F.col(target).cast("double")
-    usable = y.isNotNull() & ~F.isnan(y) & (y.isin(0.0, 1.0) if task == "classification" else F.lit(True))
-    n, ones = df.agg(F.count_if(usable), F.count_if(usable & (y == 1))).first()
-    if task == "classification":
-        return {"status": "trained" if n >= least_rows and min(ones, n - ones) >= least_minority else "skipped_insufficient_class_support", "n": n}
-    return {"status": "trained" if n >= least_rows else "skipped_insufficient_rows", "n": n}
+    usable = F.coalesce(y.isNotNull() & ~F.isnan(y) & (y.isin(0.0, 1.0) if task == "classification" else F.lit(True)), F.lit(False))
+    counts = df.groupBy(*by).agg(F.count_if(usable).alias("n"), F.count_if(usable & (y == 1)).alias("_ones"))
+    enough = (F.col("n") >= least_rows) & (F.least(F.col("_ones"), F.col("n") - F.col("_ones")) >= least_minority if task == "classification" else F.lit(True))
+    short = "skipped_insufficient_class_support" if task == "classification" else "skipped_insufficient_rows"
+    return counts.select(*by, F.lit(target).alias("target"), "n", F.when(enough, "trained").otherwise(short).alias("status"))
+
+
+def support(df: DataFrame, target: str, task: str = "regression", least_rows: int = LEAST_ROWS, least_minority: int = LEAST_MINORITY) -> dict:
+    """{status, n} of a whole table, see support_by()."""
+    row = support_by(df, [], target, task, least_rows, least_minority).first()
+    return {"status": row["status"], "n": row["n"]}
 
 
 def out_of_fold(
