@@ -82,3 +82,60 @@ def windowed_counts(events: DataFrame, time: str, by: str, width: str, late: str
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
     """A folder of Parquet files as a stream."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+class Campaign:
+    """Rounds over a plan of queries until enough papers and model-ready records are known, attempts run out, or the plan ends.
+
+    collect(query, round) gives the candidates of one query: key, ready (boolean) and any other columns. A round takes
+    the next `per_round` queries; its rows whose key no earlier round had are written under its number, then its ledger
+    row is. Both are partitioned by round and overwritten, so a round that was cut off is done again and counts once; a
+    new Campaign at the same path goes on where the ledger ends.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, plan: Sequence[str], wanted_papers: int, wanted_ready: int, most_rounds: int = 0, per_round: int = 1):
+        self.spark, self.path, self.plan = spark, path, list(plan)
+        self.wanted_papers, self.wanted_ready, self.most_rounds, self.per_round = wanted_papers, wanted_ready, most_rounds, max(1, per_round)
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        except Exception as e:  # nothing written yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def ledger(self) -> DataFrame:
+        """(round, queries, candidates, added, papers, ready), papers and ready so far."""
+        return self._read("ledger", "queries long, candidates long, added long, papers long, ready long, round int")
+
+    def found(self) -> DataFrame:
+        return self._read("found", "key string, ready boolean, round int")
+
+    def run(self, collect) -> str:
+        """Why the campaign stopped: targets_met, attempts_exhausted or plan_exhausted."""
+        last = self.ledger().orderBy(F.desc("round")).first()
+        done, papers, ready = (last["round"] + 1, last["papers"], last["ready"]) if last else (0, 0, 0)
+        used = self.ledger().agg(F.coalesce(F.sum("queries"), F.lit(0))).first()[0]
+        while True:
+            if targets_met(papers, ready, self.wanted_papers, self.wanted_ready):
+                return "targets_met"
+            if self.most_rounds and done >= self.most_rounds:
+                return "attempts_exhausted"
+            queries = self.plan[used : used + self.per_round]
+            if not queries:
+                return "plan_exhausted"
+            parts = [collect(q, done) for q in queries]
+            rows = parts[0]
+            for more in parts[1:]:
+                rows = rows.unionByName(more)
+            rows = rows.where("key is not null").persist()
+            known = self.found().where(F.col("round") < done).select("key")
+            firsts = keep_first(rows, ["key"], [c for c in rows.columns if c != "key"]).join(known, "key", "left_anti")
+            write = lambda df, name: df.withColumn("round", F.lit(done)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(f"{self.path}/{name}")  # noqa: E731, B023
+            write(firsts, "found")
+            own = self.found().where(F.col("round") == done).agg(F.count("*").alias("n"), F.count_if("ready").alias("ready")).first()
+            papers, ready, n = papers + own["n"], ready + own["ready"], rows.count()
+            rows.unpersist()
+            write(self.spark.createDataFrame([(len(queries), n, own["n"], papers, ready)], "queries long, candidates long, added long, papers long, ready long"), "ledger")
+            done, used = done + 1, used + len(queries)
