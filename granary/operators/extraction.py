@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.recovery import BAD, GOOD, PERFORMANCE, Recovery
+from granary.operators.recovery import AUDITED, LIFETIME, LIFETIME_95, PERFORMANCE, RETAINED, Recovery, candidates, recover_all
 
 # Patterns of test conditions, terms and anchors.
 TEMPERATURE = (r"\b(?:at|under|temperature|thermal|heated|aging|ageing)[^.\n]{0,80}?(\d{1,3}(?:\.\d+)?)\s*(?:°\s*C|deg(?:ree)?s?\s*C|C)\b",)
@@ -136,7 +136,7 @@ def _method(anchor: str) -> Near:
     return Near(anchor, METHODS, before=220, after=280)
 
 
-#: What to look for, by field; of several ways the first that finds a value counts.
+# Ranges and patterns by field; of several ways the first that finds a value counts.
 PRIORITY_FIELDS: dict[str, Sequence[Near]] = {
     "annealing_temperature": (Near(ANNEAL, r"(\d{2,3}(?:\.\d+)?)\s*(?:°\s*C|degrees?\s*C|C\b)", 40, 250),),
     "annealing_time": (Near(ANNEAL, r"(\d{1,4}(?:\.\d+)?)\s*(?:min|minutes)\b", 0.1, 600),),
@@ -148,6 +148,16 @@ PRIORITY_FIELDS: dict[str, Sequence[Near]] = {
     "hole_layer_method": (_method(HOLE_LAYER),),
     "contact_method": (_method(CONTACT),),
 }
+#: The columns of a record that the fields fill.
+COLUMNS = {
+    "annealing_temperature": "Perovskite_deposition_thermal_annealing_temperature", "annealing_time": "Perovskite_deposition_thermal_annealing_time", "cell_area": "Cell_area_measured",
+    "electron_layer_thickness": "ETL_thickness", "hole_layer_thickness": "HTL_thickness_list", "contact_thickness": "Backcontact_thickness_list",
+    "electron_layer_method": "ETL_deposition_procedure", "hole_layer_method": "HTL_deposition_procedure", "contact_method": "Backcontact_deposition_procedure",
+}
+ELECTRON_TERMS = ("TiO2", "SnO2", "PCBM", "C60", "ZnO", "NiOx", "BCP")
+HOLE_TERMS = ("Spiro-OMeTAD", "PTAA", "PEDOT:PSS", "NiOx", "CuSCN", "P3HT", "MeO-2PACz", "2PACz")
+CONTACT_TERMS = ("Au", "Ag", "Al", "Cu", "ITO", "FTO", "carbon")
+ADDITIVE_HEAD, FEATURE_HEAD, LOG_LENGTH = 24_000, 12_000, 900
 
 
 def _rows_of(df: DataFrame, key: str, read: Sequence[Column], find, columns: str) -> DataFrame:
@@ -184,19 +194,14 @@ def fields_near(df: DataFrame, key: str, text: str, fields: Mapping[str, Sequenc
     return _rows_of(df, key, [F.coalesce(F.col(text).cast("string"), F.lit(""))], find, "field string, value string, snippet string")
 
 
-def audit_candidates(df: DataFrame, key: str, text: str, spec: Recovery = PERFORMANCE, width: int = 220) -> DataFrame:
+def audit_candidates(df: DataFrame, key: str, text: str, spec: Recovery = AUDITED) -> DataFrame:
     """(key, candidate, snippet): every value in range that stands in a good context and, unless its own match says what it is, in no bad one; one row for each value, the largest first."""
-    own = re.compile(r"\b(PCE|power conversion|device|cell|PSC|solar)\b", re.I)
-    low, high = spec.ranges[0]
 
     def find(value: str):
-        value = re.sub(r"\s+", " ", value)
-        hits: dict[float, str] = {}
-        for m in (m for patterns in spec.patterns.values() for p in patterns for m in re.finditer(p, value, re.I)):
-            number, window = float(m[1]), value[max(0, m.start() - width) : m.end() + width]
-            if low <= number <= high and re.search(GOOD, window, re.I) and (own.search(m[0]) or not re.search(BAD, window, re.I)):
-                hits.setdefault(number, window.strip())
-        return sorted(hits.items(), reverse=True)
+        firsts: dict[float, str] = {}
+        for c in candidates(value, spec):
+            firsts.setdefault(c["values"][0], c["snippet"])
+        return sorted(firsts.items(), reverse=True)
 
     return _rows_of(df, key, [F.coalesce(F.col(text).cast("string"), F.lit(""))], find, "candidate double, snippet string")
 
@@ -211,3 +216,62 @@ def matching_evidence(df: DataFrame, key: str, text: str, target: str, patterns:
                 return
 
     return _rows_of(df, key, [F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(target).cast("double")], find, "evidence string")
+
+
+def priority_fields(found: Column, text: Column, head: int = ADDITIVE_HEAD) -> dict[str, tuple[Column, Column]]:
+    """(value, evidence) of the 14 fields of a device's making, by the column of a record: found, a map from field to (value, snippet) of fields_near(), and expressions for solvents, their ratio, additives and area."""
+    out = {COLUMNS[f]: (F.try_element_at(found, F.lit(f))["value"], F.try_element_at(found, F.lit(f))["snippet"]) for f in PRIORITY_FIELDS}
+    s = solvents_and_ratio(text)
+    out["Perovskite_deposition_solvents"] = (s["solvents"], s["snippet"])
+    out["Perovskite_deposition_solvents_mixing_ratios"] = (s["ratio"], s["snippet"])
+    out["Perovskite_additives_compounds"] = (terms_found(F.substring(text, 1, head), ADDITIVES), sentence_with(text, ADDITIVE_SENTENCE))
+    return out
+
+
+def recover_records(df: DataFrame, key: str, text: str, head: int = FEATURE_HEAD) -> DataFrame:
+    """df with what its text says of empty columns, and `_changes`, an array of (field, value, evidence) of all that was filled; nothing that is there is changed.
+
+    Efficiency (with Voc, Jsc and FF beside it, FF as a fraction) where JV_default_PCE isn't between 5 and 30; then, for
+    records that have an efficiency, formula, layers, architecture and the fields of priority_fields(), from the best
+    snippet and the first `head` characters (None: all); lifetimes, retention with its hours, retention at 950 to 1,050
+    hours as Stability_PCE_after_1000_h, and test conditions where one of these is found. Columns that df lacks are made.
+    Null and empty texts fill nothing. key tells rows apart; the text is read by one Python pass for the candidates and
+    one for the windows around anchors, everything else are expressions.
+    """
+    specs = {"performance": PERFORMANCE, "t80": LIFETIME, "t95": LIFETIME_95, "retained": RETAINED}
+    best = recover_all(df, key, text, specs)
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    joined = df.join(best, key, "left").withColumn("_feature", F.concat(F.coalesce("performance.snippet", F.lit("")), F.lit("\n"), F.substring(whole, 1, head) if head else whole))
+    near = fields_near(joined, key, "_feature").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", "snippet")))).alias("_near"))  # at most as many as there are fields
+    rows = joined.join(near, key, "left").withColumn("_near", F.coalesce("_near", F.create_map().cast("map<string,struct<value:string,snippet:string>>")))
+    kept = F.col("JV_default_PCE").cast("double") if "JV_default_PCE" in df.columns else F.lit(None).cast("double")
+    has = kept.between(5, 30)
+    new = F.coalesce(~has, F.lit(True)) & F.col("performance").isNotNull()
+    feature, low = F.col("_feature"), F.lower("_feature")
+    side = lambda name: F.when(new, F.try_element_at("performance.sides", F.lit(name)))
+    told = F.coalesce(F.col("performance.snippet"), F.lit(""))
+    electron, hole, contact = (terms_found(feature, t) for t in (ELECTRON_TERMS, HOLE_TERMS, CONTACT_TERMS))
+    known = F.coalesce(has, F.lit(False)) | new
+    shape = F.when(low.rlike(r"\b(inverted|p-i-n|pin)\b"), "inverted").when(low.rlike(r"\b(regular|n-i-p|nip|mesoscopic|planar)\b"), "regular")
+    percent, hours = F.col("retained.values")[0], F.col("retained.values")[1]
+    tested = F.col("t80").isNotNull() | F.col("t95").isNotNull() | F.col("retained").isNotNull()
+    conditions = stability_conditions(whole)
+    none = F.lit("")
+    found: dict[str, tuple[Column, Column]] = {
+        "JV_default_Voc": (side("voc"), told), "JV_default_Jsc": (side("jsc"), told), "JV_default_FF": (F.when(side("ff") > 1, side("ff") / 100).otherwise(side("ff")), told),
+        **{c: (F.when(known, formula(whole)), none) for c in ("Perovskite_composition_short_form", "Perovskite_composition_long_form")},
+        "ETL_stack_sequence": (F.when(known, electron), none), "HTL_stack_sequence": (F.when(known, hole), none), "Backcontact_stack_sequence": (F.when(known, contact), none),
+        "Cell_architecture": (F.when(known, shape), none), "Cell_stack_sequence": (F.when(known, F.concat(electron, F.lit(" / perovskite / "), hole, F.lit(" / "), contact)), none),
+        **{c: (F.when(known, v), e) for c, (v, e) in priority_fields(F.col("_near"), feature).items()},
+        "Stability_PCE_T80": (F.col("t80.values")[0], F.col("t80.snippet")), "Stability_PCE_T95": (F.col("t95.values")[0], F.col("t95.snippet")),
+        "Stability_PCE_end_of_experiment": (percent, F.col("retained.snippet")), "Stability_time_total_exposure": (hours, F.col("retained.snippet")), "Stability_PCE_after_1000_h": (F.when(hours.between(950, 1050), percent), F.col("retained.snippet")),
+        **{c: (F.when(tested, conditions[k]), none) for c, k in (("Stability_temperature_range", "temperature_c"), ("Stability_relative_humidity_average_value", "rh_percent"), ("Stability_light_intensity", "light"), ("Stability_atmosphere", "atmosphere"), ("Encapsulation", "encapsulation"))},
+    }
+    present = lambda c: (F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) != "") if c in df.columns else F.lit(False)
+    filled = {c: ~present(c) & v.isNotNull() & (v.cast("string") != "") for c, (v, _) in found.items()}
+    entry = lambda c, when, v, e: F.when(when, F.struct(F.lit(c).alias("field"), v.cast("string").alias("value"), F.substring(F.coalesce(e, F.lit("")), 1, LOG_LENGTH).alias("evidence")))
+    changes = F.array_compact(F.array(entry("JV_default_PCE", new, F.col("performance.values")[0], told), *(entry(c, filled[c], *found[c]) for c in found)))
+    typed = lambda c, v: v.cast(df.schema[c].dataType) if c in df.columns else v
+    made = {"JV_default_PCE": F.when(new, F.col("performance.values")[0]).otherwise(kept)}
+    made |= {c: F.when(filled[c], typed(c, v)).otherwise(F.col(f"`{c}`")) if c in df.columns else F.when(filled[c], v) for c, (v, _) in found.items()}
+    return rows.select(*(made.pop(c, F.col(f"`{c}`")).alias(c) for c in df.columns), *(v.alias(c) for c, v in made.items()), changes.alias("_changes"))

@@ -40,23 +40,58 @@ SETTING = r"\b(unencapsulated|encapsulated|ambient|air|nitrogen|RH|humidity|illu
 SUBJECT = r"\b(device|cell|PSC|solar cell|PCE|efficiency|perovskite)\b"
 SECOND_HAND = r"\b(review|perspective|reported by others|literature)\b"
 LOSS = r"\b(loss|lost|lose|loses|degrad(?:e|es|ed|ation) by|drop(?:s|ped)? by|decrease(?:s|d)? by|decay(?:s|ed)? by)\b"
+OWN_WORDS = r"\b(PCE|power conversion|device|cell|PSC|solar)\b"
+#: Patterns and contexts of the audit of candidates, which is looser than recovery.
+AUDIT = (
+    r"\bPCE\s*(?:of|=|:|reached|reaches|achieved|achieves|up to|exceeding|over|above|as high as|was|is)?\s*(\d{1,2}(?:\.\d+)?)\s*%",
+    r"\bpower conversion efficienc(?:y|ies)\s*(?:of|=|:|reached|reaches|achieved|achieves|up to|exceeding|over|above|as high as|was|is)?\s*(\d{1,2}(?:\.\d+)?)\s*%",
+    r"\b(?:champion|best|maximum|certified|record|device|cell|PSC|solar cell)[^.\n]{0,120}\b(?:efficienc(?:y|ies)|PCE)[^.\n]{0,80}?(\d{1,2}(?:\.\d+)?)\s*%",
+    r"\b(?:champion|best|maximum|certified|record|device|cell|PSC|solar cell)[^.\n]{0,180}?(\d{1,2}(?:\.\d+)?)\s*%\s*(?:PCE|power conversion efficiency|efficiency)\b",
+    r"\b(\d{1,2}(?:\.\d+)?)\s*%\s*(?:PCE|power conversion efficiency|photoconversion efficiency)\b",
+)
+AUDIT_BAD = r"\b(retention|retained|humidity|RH|relative humidity|degradation|yield|quantum yield|PLQY|EQE|IPCE|transmittance|absorbance)\b"
+AUDIT_GOOD = r"\b(PCE|power conversion|photoconversion|device|cell|solar|photovoltaic|PSC|champion|certified|Voc|Jsc|fill factor|FF)\b"
 MOIST = r"\b(RH|relative humidity|humidity)\b"
 
 
 @dataclass(frozen=True)
 class Clue:
-    """Adds points if its pattern is found in the window, the match or the text before it, and `unless` is not found in the match; one with `values` only if the number lies in them."""
+    """Adds points if its pattern is found in the window, the match or the text before it, and `unless` is not found in the match.
+
+    case: letters count as written. side: instead of a pattern, the name of a side value that is there.
+    """
 
     points: int
-    pattern: str
+    pattern: str = ""
     where: str = "window"
     unless: str | None = None
-    values: tuple[float, float] | None = None
+    case: bool = False
+    side: str | None = None
+
+
+@dataclass(frozen=True)
+class Side:
+    """A number beside a match: of several patterns the first whose first match in the window lies in the range."""
+
+    patterns: Sequence[str]
+    low: float
+    high: float
+
+    def find(self, window: str) -> float | None:
+        for p in self.patterns:
+            m = re.search(p, window, I)
+            if m and self.low <= (number := float(m[1].replace(",", ""))) <= self.high:
+                return number
+        return None
 
 
 @dataclass(frozen=True)
 class Recovery:
-    """What to look for and how to weigh it; groups of a pattern are the values, compared after the score in the order of `prefer`."""
+    """What to look for and how to weigh it; groups of a pattern are the values, compared after the score in the order of `prefer`.
+
+    required, refuse_near and so on are patterns that must, or must not, be found in the window or near the match;
+    refuse_unless pairs one of the window with one of the match that excuses it.
+    """
 
     patterns: Mapping[str, Sequence[str]]
     ranges: Sequence[tuple[float, float]]
@@ -69,18 +104,21 @@ class Recovery:
     required: str | None = None
     refuse_before: str | None = None
     refuse_near: str | None = None
+    refuse_unless: tuple[str, str] | None = None
+    sides: Mapping[str, Side] = field(default_factory=dict)
     prefer: Sequence[int] = (0,)
 
 
 PERFORMANCE = Recovery(
     patterns={"explicit_pce_after": (EXPLICIT_AFTER,), "explicit_pce_before": (EXPLICIT_BEFORE,), "device_efficiency": (DEVICE,)},
     ranges=((5, 30),), width=220, least_score=9, required=GOOD, outside=(8, 28, -1), kind_points={"explicit_pce_after": 3, "explicit_pce_before": 3},
+    sides={"voc": Side(VOC, 0.4, 1.5), "jsc": Side(JSC, 1.0, 35.0), "ff": Side(FILL, 0.2, 90.0)},
     clues=(
-        Clue(4, r"PCE|power conversion|photoconversion", "match"), Clue(3, DEVICE_WORDS), Clue(-3, CITED), Clue(-5, BAD, unless=r"\b(PCE|power conversion|device|cell|PSC|solar)\b"),
-        *(Clue(1, "|".join(f"(?:{p})" for p in ps), values=v) for ps, v in ((VOC, (0.4, 1.5)), (JSC, (1.0, 35.0)), (FILL, (0.2, 90.0)))),
+        Clue(4, r"PCE|(?i:power conversion|photoconversion)", "match", case=True), Clue(3, DEVICE_WORDS), Clue(-3, CITED), Clue(-5, BAD, unless=OWN_WORDS), *(Clue(1, side=side) for side in ("voc", "jsc", "ff")),
     ),
 )
 _STABLE = (Clue(4, STABILITY), Clue(2, SUBJECT), Clue(2, SETTING), Clue(-4, CITED), Clue(-2, SECOND_HAND))
+AUDITED = Recovery(patterns={"candidate": AUDIT}, ranges=((5, 30),), width=220, least_score=0, required=AUDIT_GOOD, refuse_unless=(AUDIT_BAD, OWN_WORDS))
 LIFETIME = Recovery(patterns={"t80": T80}, ranges=((1, 100_000),), width=240, least_score=6, clues=_STABLE)
 LIFETIME_95 = Recovery(patterns={"t95": T95}, ranges=((1, 100_000),), width=240, least_score=6, clues=_STABLE)
 RETAINED = Recovery(patterns={"retention": RETENTION}, ranges=((1, 120), (1, 100_000)), width=240, least_score=6, clues=_STABLE, steps=((1, 100, True, 1), (1, 500, True, 1)), refuse_before=LOSS, refuse_near=MOIST, prefer=(1, 0))
@@ -88,8 +126,8 @@ RETAINED = Recovery(patterns={"retention": RETENTION}, ranges=((1, 120), (1, 100
 
 def candidates(text: str, spec: Recovery) -> list[dict]:
     """All candidates with enough points, the best first."""
-    text = " ".join(text.split())
-    look = lambda p, s: re.search(p, s, I)
+    text = re.sub(r"\s+", " ", text)
+    look = lambda p, s, flags=I: re.search(p, s, flags)
     found = []
     for kind, patterns in spec.patterns.items():
         for m in (m for p in patterns for m in re.finditer(p, text, I)):
@@ -98,38 +136,49 @@ def candidates(text: str, spec: Recovery) -> list[dict]:
                 continue
             near = text[max(0, m.start(1) - 20) : m.end(1) + 35]
             places = {"window": text[max(0, m.start() - spec.width) : m.end() + spec.width], "match": m[0], "before": text[max(0, m.start() - 60) : m.start()]}
-            if spec.required and not look(spec.required, places["window"]) or spec.refuse_before and look(spec.refuse_before, places["before"]) or spec.refuse_near and look(spec.refuse_near, near):
+            refused = spec.refuse_before and look(spec.refuse_before, places["before"]) or spec.refuse_near and look(spec.refuse_near, near)
+            if spec.refuse_unless:
+                bad, excuse = spec.refuse_unless
+                refused = refused or look(bad, places["window"]) and not look(excuse, m[0])
+            if refused or spec.required and not look(spec.required, places["window"]):
                 continue
+            sides = {name: side.find(places["window"]) for name, side in spec.sides.items()}
             score = spec.kind_points.get(kind, 0) + sum(points for k, limit, up, points in spec.steps if (values[k] >= limit) == up)
             if spec.outside and not spec.outside[0] <= values[0] <= spec.outside[1]:
                 score += spec.outside[2]
             for clue in spec.clues:
-                hit = look(clue.pattern, places[clue.where])
-                if hit and clue.values:
-                    number = next(float(g) for g in hit.groups() if g)
-                    hit = clue.values[0] <= number <= clue.values[1]
+                hit = sides[clue.side] is not None if clue.side else look(clue.pattern, places[clue.where], 0 if clue.case else I)
                 if hit and not (clue.unless and look(clue.unless, m[0])):
                     score += clue.points
             if score >= spec.least_score:
-                found.append({"values": values, "score": score, "kind": kind, "snippet": places["window"].strip()})
+                found.append({"values": values, "score": score, "kind": kind, "snippet": places["window"].strip(), "sides": {k: v for k, v in sides.items() if v is not None}})
     return sorted(found, key=lambda c: (c["score"], *(c["values"][k] for k in spec.prefer)), reverse=True)
 
 
 def recover(df: DataFrame, key: str, text: str, spec: Recovery) -> DataFrame:
-    """(key, values, score, kind, snippet, candidates): the best candidate of each row that has one."""
+    """(key, values, score, kind, snippet, sides, candidates): the best candidate of each row that has one."""
+    found = recover_all(df, key, text, {"it": spec})
+    return found.select(key, *(F.col(f"it.{c}").alias(c) for c in ("values", "score", "kind", "snippet", "sides", "candidates"))).where("score is not null")
+
+
+BEST = "struct<values:array<double>,score:long,kind:string,snippet:string,sides:map<string,double>,candidates:long>"
+
+
+def recover_all(df: DataFrame, key: str, text: str, specs: Mapping[str, Recovery]) -> DataFrame:
+    """(key, and a column for each of specs): the best candidate of each, null where there is none; texts are read once for all."""
     picked = df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    kind = pa.struct([("values", pa.list_(pa.float64())), ("score", pa.int64()), ("kind", pa.string()), ("snippet", pa.string()), ("sides", pa.map_(pa.string(), pa.float64())), ("candidates", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for k, value in enumerate(batch.column(1)):
-                if found := candidates(value.as_py(), spec):
-                    at.append(k)
-                    rows.append(found[0] | {"candidates": len(found)})
-            col = lambda name, kind: pa.array([r[name] for r in rows], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), col("values", pa.list_(pa.float64())), col("score", pa.int64()), col("kind", pa.string()), col("snippet", pa.string()), col("candidates", pa.int64())], [key, "values", "score", "kind", "snippet", "candidates"])
-
-    return picked.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, values array<double>, score long, kind string, snippet string, candidates long")
+            rows: dict[str, list] = {name: [] for name in specs}
+            for value in batch.column(1):
+                for name, spec in specs.items():
+                    found = candidates(value.as_py(), spec)
+                    rows[name].append(found[0] | {"candidates": len(found), "sides": list(found[0]["sides"].items())} if found else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, kind) for r in rows.values())], [key, *rows])
+
+    return picked.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{name} {BEST}" for name in specs))
 
 
 def fill_missing(df: DataFrame, recovered: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -76,3 +76,34 @@ def test_pairs_keys_and_depth(spark):
     deep = '{"a":' * 12 + "1" + "}" * 12
     got = rules.json_paths(spark.createDataFrame([(1, deep)], "id long, j string"), "id", "j").collect()
     assert [(r.path, r.value) for r in got] == [(".".join("a" * 12), "1")]
+
+
+def test_side_values_try_the_next_pattern_and_case_counts():
+    text = "The champion device reached a PCE of 21.2% with a Voc of 9 V, open-circuit voltage of 1.12 V and FF = 79%."
+    best = recovery.candidates(text, recovery.PERFORMANCE)[0]
+    assert best["values"] == [21.2] and best["sides"] == {"voc": 1.12, "ff": 79.0} and best["score"] == 4 + 3 + 3 + 1 + 1
+    assert recovery.candidates(text.replace("PCE", "pce"), recovery.PERFORMANCE) == []  # 8 points: lower-case letters are no PCE
+
+
+def test_audit_has_patterns_of_its_own(spark):
+    df = spark.createDataFrame([(1, "The champion device showed 21.3% efficiency under light. The PCE was 18% and again PCE of 18 %. The cell yield was 12%. EQE 25% PCE."), (2, None)], "id int, t string")
+    assert [(r.id, r.candidate) for r in X.audit_candidates(df, "id", "t").collect()] == [(1, 25.0), (1, 21.3), (1, 18.0)]
+
+
+def test_whole_records_are_filled_once(spark):
+    text = (
+        "The champion inverted device, ITO/PTAA/FAPbI3/PCBM/Ag, reached a PCE of 21.2% with Voc = 1.12 V, Jsc of 24.1 mA cm-2 and FF = 79%. Films were annealed at 100 °C for 10 min from DMF:DMSO 4:1 with MACl. The active area was 0.09 cm2. "
+        "PCBM of 30 nm was spin-coated. The unencapsulated cell retained 92% of its initial efficiency after 1000 h under 1 sun illumination in nitrogen at 65 °C."
+    )
+    rows = [(1, text, None, None, None), (2, text, 18.0, "kept", " "), (3, None, None, None, None), (4, "nothing", 2.0, None, None)]
+    got = {r.id: r for r in X.recover_records(spark.createDataFrame(rows, "id int, t string, JV_default_PCE double, Cell_architecture string, Encapsulation string"), "id", "t").collect()}
+    one, two = got[1], got[2]
+    assert (one.JV_default_PCE, one.JV_default_Voc, one.JV_default_Jsc, one.JV_default_FF) == (21.2, 1.12, 24.1, 0.79)
+    assert (one.Perovskite_composition_short_form, one.ETL_stack_sequence, one.HTL_stack_sequence, one.Backcontact_stack_sequence, one.Cell_architecture) == ("FAPbI3", "PCBM", "PTAA", "Ag; ITO", "inverted")
+    assert (one.Perovskite_deposition_thermal_annealing_temperature, one.Perovskite_deposition_thermal_annealing_time, one.Cell_area_measured) == ("100.0", "10.0", "0.09")
+    assert one.Perovskite_deposition_solvents == "DMF; DMSO" and one.Perovskite_deposition_solvents_mixing_ratios == "4:1" and one.Perovskite_additives_compounds == "MACl"
+    assert (one.Stability_PCE_end_of_experiment, one.Stability_time_total_exposure, one.Stability_PCE_after_1000_h, one.Encapsulation, one.Stability_atmosphere) == (92.0, 1000.0, 92.0, "False", "nitrogen")
+    log = {c.field: (c.value, c.evidence) for c in one._changes}
+    assert log["JV_default_PCE"][0] == "21.2" and "champion" in log["JV_default_PCE"][1] and "retained 92%" in log["Stability_PCE_after_1000_h"][1]
+    assert (two.JV_default_PCE, two.JV_default_Voc, two.Cell_architecture, two.Encapsulation, two.ETL_stack_sequence) == (18.0, None, "kept", "False", "PCBM")
+    assert got[3]._changes == [] and got[4]._changes == [] and got[4].JV_default_PCE == 2.0
