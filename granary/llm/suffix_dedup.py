@@ -23,7 +23,7 @@ LENGTH = 200
 #: Window starts that are hashed at once, and hashes that a task holds before it sends them.
 SEGMENT, HELD = 1 << 20, 1 << 19
 #: A block of texts is a share of all bytes within these bounds; what is sorted in one place is as many parts as there are blocks.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS = 8 << 20, 32 << 20, 128
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4 << 20, 32 << 20, 256
 #: Splitters of the sort come from a sample of about so many strings of about so many bytes of text; there are at most
 #: MOST_RANGES ranges, which more parts share by a checksum.
 SAMPLE_STRINGS, SAMPLE_BYTES, MOST_RANGES = 20_000, 16 << 20, 4096
