@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.normalize import clean, stable_id
+from granary.sources.shared import written
 
 # Edges by which a paper shows that something is known of it, and the steps into which devices and systems fall apart.
 KNOWLEDGE = ("HAS_TEXT_EVIDENCE", "HAS_FIGURE_EVIDENCE", "ASSERTS_CLAIM")
@@ -70,14 +71,21 @@ def classification_lens(nodes: DataFrame, policy: str = "aristotelian_classifica
     return _nodes(rows, "ReasoningCategory", F.col("name"), policy), _edges(rows, F.col("_of"), F.col("id"), "BELONGS_TO_REASONING_CATEGORY")
 
 
-def walk_chains(edges: DataFrame, kind: str = "NEXT_REASONING_STEP", most: int = 100) -> DataFrame:
+def walk_chains(edges: DataFrame, kind: str = "NEXT_REASONING_STEP", most_rounds: int = 20) -> DataFrame:
     """(head, id, place) of every node on chains of edges of one type: place 0 is a node that none leads to.
 
-    A recursive query: each step joins the ends reached so far with the edges, so it has as many steps as the longest
-    chain; more than `most` are an error, as in a cycle that something leads to. A node without such edges is on no chain.
+    A round doubles how far each node looks back, so a chain of n nodes takes about log n joins, each a written table in
+    the shared folder; a chain of over 2^most_rounds nodes, or a cycle, is an error. A node that several lead to has a
+    row for each way. A node without such edges is on no chain.
     """
-    links = edges.where(F.col("type") == kind).select("src", "dst").distinct()
-    heads = links.select(F.col("src").alias("id")).join(links.select(F.col("dst").alias("id")), "id", "left_anti").distinct()
-    return links.sparkSession.sql(
-        f"with recursive walk(head, id, place) max recursion level {most} as (select id, id, 0 from {{heads}} union all select w.head, l.dst, w.place + 1 from walk w join {{links}} l on l.src = w.id) select * from walk", heads=heads, links=links
-    )
+    links = written(edges.where(F.col("type") == kind).select("src", "dst").distinct(), "links")
+    rows = links.select(F.col("src").alias("head"), F.col("dst").alias("id"), F.lit(1).cast("long").alias("place"))
+    for _ in range(most_rounds):
+        before = rows.select(F.col("id").alias("_id"), F.col("head").alias("_head"), F.col("place").alias("_place"))
+        step = rows.join(before, F.col("head") == F.col("_id"), "left")
+        rows = written(step.select(F.coalesce("_head", "head").alias("head"), "id", (F.col("place") + F.coalesce("_place", F.lit(0))).alias("place"), F.col("_head").isNotNull().alias("_moved")), "chains")
+        if rows.where("_moved").isEmpty():
+            heads = rows.select("head").distinct().select("head", F.col("head").alias("id"), F.lit(0).cast("long").alias("place"))
+            return rows.select("head", "id", "place").union(heads)
+        rows = rows.drop("_moved")
+    raise ValueError(f"a cycle, or a chain of over {1 << most_rounds} nodes")

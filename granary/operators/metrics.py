@@ -83,19 +83,43 @@ def unit_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+#: Draws that share one hash: each takes eight of its 32 hexadecimal digits.
+SHARED = 4
+
+
+def _poisson_steps() -> list[float]:
+    """The distribution function of Poisson(1) at 0, 1, ..., 10; more has a chance of one in 10^8."""
+    out, p, total = [], float(np.exp(-1.0)), 0.0
+    for k in range(1, 12):
+        total += p
+        out.append(total)
+        p /= k
+    return out
+
+
+def _digest(seed: int, number: Column, group: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), number.cast("string"), F.lit(":"), group))
+
+
+def _unit_of(digest: Column, k: Column) -> Column:
+    return F.conv(F.substring(digest, 8 * k + 1, F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+
+
+def _count_at(u: Column) -> Column:
+    out = F.lit(11)
+    for m, step in reversed(list(enumerate(_poisson_steps()))):
+        out = F.when(u < step, m).otherwise(out)
+    return out
+
+
 def poisson_multiplicities(group: Column, draws: int, seed: int) -> Column:
     """How often each group enters each draw: Poisson(1) counts from a hash of seed, draw and group.
 
     Independent of any order, so every task gets the same counts for a group, and a lost one again.
     """
-    steps, p, total = [], float(np.exp(-1.0)), 0.0
-    for k in range(1, 12):
-        total += p
-        steps.append(total)
-        p /= k
-    # the numbers are a list of their own first, so each is computed once and not for every step
-    numbers = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: unit_number(F.concat(F.lit(f"{seed}:"), d.cast("string"), F.lit(":"), group)))
-    return F.transform(numbers, lambda u: F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= u)))
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(-(-draws // SHARED) - 1)), lambda h: _digest(seed, h, group))
+    numbers = F.flatten(F.transform(hashes, lambda d: F.array(*(_unit_of(d, F.lit(k)) for k in range(SHARED)))))
+    return F.slice(F.transform(numbers, _count_at), 1, draws)
 
 
 def _spread(sums: DataFrame) -> DataFrame:
@@ -106,7 +130,10 @@ def _spread(sums: DataFrame) -> DataFrame:
 def _drawn(sums: DataFrame, draws: int, seed: int, law: str, columns: Sequence[str]) -> DataFrame:
     """(draw, m, columns): how often each group enters each draw, where it does."""
     if law == "poisson":
-        return _spread(sums).select(F.posexplode(poisson_multiplicities(F.col("g"), draws, seed)).alias("draw", "m"), *columns).where("m > 0")
+        # a row for each hash and then for each draw, so that hash and number are columns, computed once
+        hashed = _spread(sums).select("g", *columns, F.explode(F.sequence(F.lit(0), F.lit(-(-draws // SHARED) - 1))).alias("_h")).withColumn("_d", _digest(seed, F.col("_h"), F.col("g")))
+        each = hashed.select(*columns, "_h", "_d", F.explode(F.array(*map(F.lit, range(SHARED)))).alias("_k")).withColumn("_u", _unit_of(F.col("_d"), F.col("_k")))
+        return each.select((F.col("_h") * SHARED + F.col("_k")).alias("draw"), _count_at(F.col("_u")).alias("m"), *columns).where("m > 0").where(F.col("draw") < draws)
     if law != "multinomial":
         raise ValueError(law)
     n = sums.count()

@@ -54,9 +54,10 @@ def year_report(df: DataFrame, year: Column, first: int) -> DataFrame:
 
 
 def value_counts(df: DataFrame, c: str) -> DataFrame:
-    """(value, count, share), nulls counted too; the total is a window over the counts, not another scan."""
+    """(value, count, share), nulls counted too; the total is one row, summed from the same counts and joined to them."""
     counts = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("count"))
-    return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    total = counts.agg(F.sum("count").alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).select("value", "count", (F.col("count") / F.col("_total")).alias("share"))  # one row
 
 
 def list_value_counts(df: DataFrame, items: Column) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.operators.running import place_within
+
 #: Verbs of anchored statements, in the order in which they are tried.
 STATEMENT_VERBS = (
     ("IMPROVES", r"(?:significantly\s+)?(?:improves?|enhances?|boosts?)"),
@@ -47,12 +49,19 @@ def specific(text: Column, generic: Sequence[str], lengths: tuple[int, int] = (3
     return F.coalesce(F.length(text).between(*lengths) & ~F.lower(text).rlike("^(?:" + "|".join(generic) + ")"), F.lit(False))
 
 
+#: Policies that every task is scored by.
+MOST_POLICIES = 1000
+
+
 def select_policies(tasks: DataFrame, policies: DataFrame, task: str, text: str, top: int = 1) -> DataFrame:
     """policies(policy, agent_prior, keywords array, priors map by task kind): the best by agent prior + task prior + min(1.25, 0.18 x keyword hits).
 
-    tasks need a column `kind`. The table of policies is a fixed library, broadcast after it has been counted by Spark's
-    own threshold; confidence is 0.5 + 0.45 x score over the sum of all scores of the task.
+    tasks need a column `kind`. The table of policies is a fixed library, broadcast after it has been counted; more than
+    MOST_POLICIES are an error. Confidence is 0.5 + 0.45 x score over the sum of all scores of the task.
     """
+    if policies.limit(MOST_POLICIES + 1).count() > MOST_POLICIES:
+        raise ValueError(f"more than {MOST_POLICIES} policies")
+    policies = F.broadcast(policies)
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     hits = F.size(F.filter("keywords", lambda k: low.contains(k)))
     scored = tasks.crossJoin(policies).select(task, "policy", (F.col("agent_prior") + F.coalesce(F.element_at("priors", F.col("kind")), F.lit(0.0)) + F.least(F.lit(1.25), 0.18 * hits)).alias("score"))
@@ -61,11 +70,6 @@ def select_policies(tasks: DataFrame, policies: DataFrame, task: str, text: str,
     return ranked.where(F.col("rank") <= top)
 
 
-def alignment_status(has_key: Column, coverage: Column, domain_terms: Column, foreign_terms: Column) -> Column:
-    """Whether a text is that of its record: the first rung that holds."""
-    return F.when(has_key, "key_in_text").when((coverage >= 0.6) & (domain_terms >= 3), "title_aligned").when((foreign_terms > domain_terms) & (coverage < 0.3), "foreign_topic").when(coverage >= 0.3, "weakly_aligned").otherwise("unverified")
-
-
 def weighted_failures(events: DataFrame, key: str, kind: str, weights: Mapping[str, int], least: int) -> DataFrame:
     """(key, weight, kinds) of keys whose failures weigh at least so much."""
     w = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in weights.items() for x in p)), F.col(kind)), F.lit(0))
@@ -95,10 +99,10 @@ def beeswarm_offsets(df: DataFrame, value: str, key: str) -> DataFrame:
     width = (s["hi"] - s["lo"]) if s["n"] else 0
     b = (F.floor((F.col(value) - s["lo"]) / width * (bins - 1)) if width else F.lit(0)).cast("long")
     placed = df.where(F.col(value).isNotNull()).select(key, b.alias("bin"))
-    k = F.row_number().over(Window.partitionBy("bin").orderBy(key))
+    k = F.col("_place")
     counts = placed.groupBy("bin").agg(F.count("*").alias("c")).agg(F.max("c").alias("densest"))  # one row
     side = F.when(k % 2 == 0, F.floor(k / 2)).otherwise(-F.floor(k / 2)).cast("double")
-    return placed.withColumn("_side", side).crossJoin(F.broadcast(counts)).select(key, "bin", F.try_divide(F.col("_side"), F.col("densest")).alias("offset"))
+    return place_within(placed, "bin", key).withColumn("_side", side).crossJoin(F.broadcast(counts)).select(key, "bin", F.try_divide(F.col("_side"), F.col("densest")).alias("offset"))
 
 
 def promote_numeric(df: DataFrame, columns: Sequence[str], least_share: float = 0.8, least: int = 20) -> dict[str, bool]:

@@ -122,7 +122,7 @@ def spearman_rank(t):
 with recursive f(k, p, s) as (select 0, exp(-1.0), exp(-1.0) union all select k + 1, p / (k + 1), s + p / (k + 1) from f where k < 10),
 o as (select coalesce(o_custkey::varchar, 'NO_GROUP') as g, o_totalprice as y, o_totalprice * (0.9 + (o_orderkey % 7) / 30.0) as p from orders),
 s as (select g, count(*) as n, sum(y) as sy, sum(y * y) as syy, sum((p - y) * (p - y)) as se2, sum(abs(p - y)) as sae from o group by g),
-u as (select s.*, d, ('0x' || substr(md5('42:' || d || ':' || g), 1, 13))::bigint / 4503599627370496.0::double as u from s, range(0, 2000) x(d)),
+u as (select s.*, d, ('0x' || substr(md5('42:' || d // 4 || ':' || g), 1 + 8 * (d % 4)::int, 8))::bigint / 4294967296.0::double as u from s, range(0, 2000) x(d)),
 w as (select u.*, (select count(*) from f where u.u >= s) as m from u),
 b as (select d, sum(m * n)::double as n, sum(m * sy) as sy, sum(m * syy) as syy, sum(m * se2) as se2, sum(m * sae) as sae from w where m > 0 group by d),
 r as (select 1 - se2 / (syy - sy * sy / n) as r2, sqrt(se2 / n) as rmse, sae / n as mae from b),
@@ -138,7 +138,7 @@ def cluster_bootstrap_ci(t):
 with recursive f(k, p, s) as (select 0, exp(-1.0), exp(-1.0) union all select k + 1, p / (k + 1), s + p / (k + 1) from f where k < 10),
 o as (select coalesce(o_custkey::varchar, 'NO_GROUP') as g, o_totalprice as y, o_totalprice * 0.9::double as a, o_totalprice * (0.9 + (o_orderkey % 7) / 30.0) as b from orders),
 s as (select g, count(*) as n, sum(y) as sy, sum(y * y) as syy, sum((a - y) * (a - y)) as ea, sum(abs(a - y)) as aa, sum((b - y) * (b - y)) as eb, sum(abs(b - y)) as ab from o group by g),
-u as (select s.*, d, ('0x' || substr(md5('42:' || d || ':' || g), 1, 13))::bigint / 4503599627370496.0::double as u from s, range(0, 2000) x(d)),
+u as (select s.*, d, ('0x' || substr(md5('42:' || d // 4 || ':' || g), 1 + 8 * (d % 4)::int, 8))::bigint / 4294967296.0::double as u from s, range(0, 2000) x(d)),
 w as (select u.*, (select count(*) from f where u.u >= s) as m from u),
 t as (select d, sum(m * n)::double as n, sum(m * sy) as sy, sum(m * syy) as syy, sum(m * ea) as ea, sum(m * aa) as aa, sum(m * eb) as eb, sum(m * ab) as ab from w where m > 0 group by d),
 r as (select (ea - eb) / (syy - sy * sy / n) as r2, sqrt(eb / n) - sqrt(ea / n) as rmse, (ab - aa) / n as mae from t)

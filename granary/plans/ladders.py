@@ -41,19 +41,10 @@ select doc_id, policy, round(score, 6) as score, rank, round(confidence, 6) as c
 def policy_selection(t):
     docs = t("documents").select("doc_id", "text", F.col("lang").alias("kind"))
     policies = docs.sparkSession.createDataFrame(POLICIES, "policy string, agent_prior double, keywords array<string>, priors map<string,double>")
-    s = R.select_policies(docs, F.broadcast(policies), "doc_id", "text")  # a fixed library of three
+    s = R.select_policies(docs, policies, "doc_id", "text")
     return s.select("doc_id", "policy", F.round("score", 6).alias("score"), "rank", F.round("confidence", 6).alias("confidence"))
 
 
-@query("alignment_status", """
-with d as (select doc_id, contains(lower(text), 'the the') as k, least(1.0, n_chars / 4000.0)::double as c, (length(text) - length(replace(text, 'th', ''))) / 2 as a, (length(text) - length(replace(text, 'ch', ''))) / 2 as b from documents)
-select doc_id, case when k then 'key_in_text' when c >= 0.6 and a >= 3 then 'title_aligned' when b > a and c < 0.3 then 'foreign_topic' when c >= 0.3 then 'weakly_aligned' else 'unverified' end as status from d""")
-def alignment_status(t):
-    count = lambda w: F.regexp_count("text", F.lit(w))
-    status = R.alignment_status(F.lower("text").contains("the the"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0), count("th"), count("ch"))
-    return t("documents").select("doc_id", status.alias("status"))
-
-
 @query("specific_terms", """
 select p_partkey, coalesce(length(p_name) between 3 and 12 and not regexp_matches(lower(p_name), '^(?:a|s)'), false) as specific from part""")
 def specific_terms(t):
