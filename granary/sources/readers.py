@@ -70,3 +70,17 @@ def read_text_artifacts(spark: SparkSession, folder: str, order: Sequence[str] =
     kept = named.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     listed = kept.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("l"))
     return listed.select("slug", F.array_join(F.transform("l", lambda s: s["value"]), "\n").alias("text"))
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """A JSON object of settings, an ontology or a summary, small enough for the driver; {} if there is none or it can't be read."""
+    import json
+
+    try:
+        rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+        found = json.loads(rows[0]["value"].removeprefix("\ufeff")) if len(rows) == 1 else {}
+    except Exception as e:
+        if isinstance(e, ValueError) or "PATH_NOT_FOUND" in str(e):
+            return {}
+        raise
+    return found if isinstance(found, dict) else {}
