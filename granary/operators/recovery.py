@@ -90,7 +90,8 @@ class Recovery:
     """What to look for and how to weigh it; groups of a pattern are the values, compared after the score in the order of `prefer`.
 
     required, refuse_near and so on are patterns that must, or must not, be found in the window or near the match;
-    refuse_unless pairs one of the window with one of the match that excuses it.
+    refuse_unless pairs one of the window with one of the match that excuses it. holds: what every match has somewhere, a
+    short pattern; no match is longer than `reach`, so only the text within that reach of it is searched.
     """
 
     patterns: Mapping[str, Sequence[str]]
@@ -106,22 +107,41 @@ class Recovery:
     refuse_near: str | None = None
     refuse_unless: tuple[str, str] | None = None
     sides: Mapping[str, Side] = field(default_factory=dict)
+    holds: str | None = None
+    reach: int = 600
     prefer: Sequence[int] = (0,)
 
 
 PERFORMANCE = Recovery(
     patterns={"explicit_pce_after": (EXPLICIT_AFTER,), "explicit_pce_before": (EXPLICIT_BEFORE,), "device_efficiency": (DEVICE,)},
-    ranges=((5, 30),), width=220, least_score=9, required=GOOD, outside=(8, 28, -1), kind_points={"explicit_pce_after": 3, "explicit_pce_before": 3},
+    ranges=((5, 30),), width=220, least_score=9, holds="%", required=GOOD, outside=(8, 28, -1), kind_points={"explicit_pce_after": 3, "explicit_pce_before": 3},
     sides={"voc": Side(VOC, 0.4, 1.5), "jsc": Side(JSC, 1.0, 35.0), "ff": Side(FILL, 0.2, 90.0)},
     clues=(
         Clue(4, r"PCE|(?i:power conversion|photoconversion)", "match", case=True), Clue(3, DEVICE_WORDS), Clue(-3, CITED), Clue(-5, BAD, unless=OWN_WORDS), *(Clue(1, side=side) for side in ("voc", "jsc", "ff")),
     ),
 )
 _STABLE = (Clue(4, STABILITY), Clue(2, SUBJECT), Clue(2, SETTING), Clue(-4, CITED), Clue(-2, SECOND_HAND))
-AUDITED = Recovery(patterns={"candidate": AUDIT}, ranges=((5, 30),), width=220, least_score=0, required=AUDIT_GOOD, refuse_unless=(AUDIT_BAD, OWN_WORDS))
-LIFETIME = Recovery(patterns={"t80": T80}, ranges=((1, 100_000),), width=240, least_score=6, clues=_STABLE)
-LIFETIME_95 = Recovery(patterns={"t95": T95}, ranges=((1, 100_000),), width=240, least_score=6, clues=_STABLE)
-RETAINED = Recovery(patterns={"retention": RETENTION}, ranges=((1, 120), (1, 100_000)), width=240, least_score=6, clues=_STABLE, steps=((1, 100, True, 1), (1, 500, True, 1)), refuse_before=LOSS, refuse_near=MOIST, prefer=(1, 0))
+AUDITED = Recovery(patterns={"candidate": AUDIT}, ranges=((5, 30),), width=220, least_score=0, holds="%", required=AUDIT_GOOD, refuse_unless=(AUDIT_BAD, OWN_WORDS))
+LIFETIME = Recovery(patterns={"t80": T80}, holds="T ?80", ranges=((1, 100_000),), width=240, least_score=6, clues=_STABLE)
+LIFETIME_95 = Recovery(patterns={"t95": T95}, holds="T ?95", ranges=((1, 100_000),), width=240, least_score=6, clues=_STABLE)
+RETAINED = Recovery(patterns={"retention": RETENTION}, holds="%", ranges=((1, 120), (1, 100_000)), width=240, least_score=6, clues=_STABLE, steps=((1, 100, True, 1), (1, 500, True, 1)), refuse_before=LOSS, refuse_near=MOIST, prefer=(1, 0))
+
+
+def _regions(text: str, spec: Recovery) -> Iterator[tuple[int, int]]:
+    """The stretches of a text within reach of what every match holds, joined where they overlap; the whole text if that isn't known."""
+    if spec.holds is None:
+        yield 0, len(text)
+        return
+    lo = hi = None
+    for m in re.finditer(spec.holds, text, I):
+        if hi is not None and m.start() - spec.reach <= hi:
+            hi = m.end() + spec.reach
+            continue
+        if hi is not None:
+            yield lo, min(hi, len(text))
+        lo, hi = max(0, m.start() - spec.reach), m.end() + spec.reach
+    if hi is not None:
+        yield lo, min(hi, len(text))
 
 
 def candidates(text: str, spec: Recovery) -> list[dict]:
@@ -129,8 +149,9 @@ def candidates(text: str, spec: Recovery) -> list[dict]:
     text = re.sub(r"\s+", " ", text)
     look = lambda p, s, flags=I: re.search(p, s, flags)
     found = []
+    places_of = list(_regions(text, spec))
     for kind, patterns in spec.patterns.items():
-        for m in (m for p in patterns for m in re.finditer(p, text, I)):
+        for m in (m for p in patterns for lo, hi in places_of for m in re.compile(p, I).finditer(text, lo, hi)):
             values = [float(g.replace(",", "")) for g in m.groups()]
             if not all(lo <= v <= hi for v, (lo, hi) in zip(values, spec.ranges)):
                 continue

@@ -107,3 +107,15 @@ def test_whole_records_are_filled_once(spark):
     assert log["JV_default_PCE"][0] == "21.2" and "champion" in log["JV_default_PCE"][1] and "retained 92%" in log["Stability_PCE_after_1000_h"][1]
     assert (two.JV_default_PCE, two.JV_default_Voc, two.Cell_architecture, two.Encapsulation, two.ETL_stack_sequence) == (18.0, None, "kept", "False", "PCBM")
     assert got[3]._changes == [] and got[4]._changes == [] and got[4].JV_default_PCE == 2.0
+
+
+def test_search_near_what_matches_hold_finds_the_same():
+    import random
+    from dataclasses import replace
+
+    rng = random.Random(3)
+    parts = ["The champion device reached a PCE of 21.2%", "device " + "x " * 60 + "efficiency of 19%", "retained 92% of it after 1000 h", "T80 of 500 h", "300 hours was T 95", "12% PCE", "no number", "%", ". ", "filler words " * 90, "\n"]
+    for _ in range(150):
+        text = " ".join(rng.choices(parts, k=rng.randrange(1, 9)))
+        for spec in (recovery.PERFORMANCE, recovery.AUDITED, recovery.LIFETIME, recovery.LIFETIME_95, recovery.RETAINED):
+            assert recovery.candidates(text, spec) == recovery.candidates(text, replace(spec, holds=None))
