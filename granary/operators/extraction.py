@@ -250,7 +250,8 @@ def recover_records(df: DataFrame, key: str, text: str, head: int = FEATURE_HEAD
     feature, low = F.col("_feature"), F.lower("_feature")
     side = lambda name: F.when(new, F.try_element_at("performance.sides", F.lit(name)))
     told = F.coalesce(F.col("performance.snippet"), F.lit(""))
-    electron, hole, contact = (terms_found(feature, t) for t in (ELECTRON_TERMS, HOLE_TERMS, CONTACT_TERMS))
+    rows = rows.withColumns({name: terms_found(feature, t) for name, t in (("_electron", ELECTRON_TERMS), ("_hole", HOLE_TERMS), ("_contact", CONTACT_TERMS))})
+    electron, hole, contact = F.col("_electron"), F.col("_hole"), F.col("_contact")
     known = F.coalesce(has, F.lit(False)) | new
     shape = F.when(low.rlike(r"\b(inverted|p-i-n|pin)\b"), "inverted").when(low.rlike(r"\b(regular|n-i-p|nip|mesoscopic|planar)\b"), "regular")
     percent, hours = F.col("retained.values")[0], F.col("retained.values")[1]
@@ -267,6 +268,8 @@ def recover_records(df: DataFrame, key: str, text: str, head: int = FEATURE_HEAD
         "Stability_PCE_end_of_experiment": (percent, F.col("retained.snippet")), "Stability_time_total_exposure": (hours, F.col("retained.snippet")), "Stability_PCE_after_1000_h": (F.when(hours.between(950, 1050), percent), F.col("retained.snippet")),
         **{c: (F.when(tested, conditions[k]), none) for c, k in (("Stability_temperature_range", "temperature_c"), ("Stability_relative_humidity_average_value", "rh_percent"), ("Stability_light_intensity", "light"), ("Stability_atmosphere", "atmosphere"), ("Encapsulation", "encapsulation"))},
     }
+    rows = rows.withColumns({f"_value{k}": v for k, (v, _) in enumerate(found.values())})  # read below three times each, computed once
+    found = {c: (F.col(f"_value{k}"), e) for k, (c, (_, e)) in enumerate(found.items())}
     present = lambda c: (F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) != "") if c in df.columns else F.lit(False)
     filled = {c: ~present(c) & v.isNotNull() & (v.cast("string") != "") for c, (v, _) in found.items()}
     entry = lambda c, when, v, e: F.when(when, F.struct(F.lit(c).alias("field"), v.cast("string").alias("value"), F.substring(F.coalesce(e, F.lit("")), 1, LOG_LENGTH).alias("evidence")))
