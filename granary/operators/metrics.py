@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.md5 import md5_words
 from granary.operators.running import running_before
 
 
@@ -123,17 +125,53 @@ def poisson_multiplicities(group: Column, draws: int, seed: int) -> Column:
 
 
 def _spread(sums: DataFrame) -> DataFrame:
-    """The rows of groups over as many tasks as a shuffle has, however few bytes they are: every row is worth thousands of draws."""
-    return sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g")
+    """The rows of groups over as many tasks as a shuffle has, however few bytes they are: every row is worth thousands of draws.
 
+    Dealt by a hash of the group: a second shuffle by the group itself is left out of the plan, and the tasks of the first are joined by their bytes.
+    """
+    return sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("g"))
+
+
+#: Groups whose draws are numbers of one array at a time.
+GROUPS_AT_ONCE = 100
+
+
+def _poisson_sums(columns: Sequence[str], draws: int, seed: int, shared: int):
+    """What a task adds up: for each draw the sums of its groups' columns, each as often as the group enters the draw."""
+    heads = [f"{seed}:{h}:".encode() for h in range(-(-draws // shared))]
+    steps = np.array(_poisson_steps())
+
+    def counts(names: list[bytes]) -> np.ndarray:
+        words = md5_words(heads, names)
+        if shared == 1:  # 13 hexadecimal digits
+            u = ((words[0].astype(np.int64) << 20) | (words[1] >> 12)) / float(1 << 52)
+        else:
+            u = np.stack(words[:shared], 2).reshape(len(names), -1)[:, :draws] / float(1 << 32)
+        return np.searchsorted(steps, u, side="right").astype(float)
 
-def _drawn(sums: DataFrame, draws: int, seed: int, law: str, columns: Sequence[str]) -> DataFrame:
-    """(draw, m, columns): how often each group enters each draw, where it does."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((draws, len(columns)))
+        for batch in batches:
+            names = [g.encode() for g in batch.column(0).to_pylist()]
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            plain = np.isfinite(x).all(1)  # a sum that isn't finite counts only in draws that its group enters
+            for lo in range(0, len(names), GROUPS_AT_ONCE):
+                at = slice(lo, lo + GROUPS_AT_ONCE)
+                m, own = counts(names[at]), plain[at]
+                total += m[own].T @ x[at][own]
+                for k in np.flatnonzero(~own):
+                    total += np.where(m[k, :, None] > 0, m[k, :, None] * x[lo + k], 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws), pa.int64()), *(pa.array(total[:, k]) for k in range(len(columns)))], ["draw", *columns])
+
+    return run
+
+
+def _weighed(sums: DataFrame, draws: int, seed: int, law: str, columns: Sequence[str], shared: int) -> DataFrame:
+    """(draw, columns): the sums over all groups, each as often as it enters the draw; draws that no group enters are left out. The first column is the number of rows."""
     if law == "poisson":
-        # a row for each hash and then for each draw, so that hash and number are columns, computed once
-        hashed = _spread(sums).select("g", *columns, F.explode(F.sequence(F.lit(0), F.lit(-(-draws // SHARED) - 1))).alias("_h")).withColumn("_d", _digest(seed, F.col("_h"), F.col("g")))
-        each = hashed.select(*columns, "_h", "_d", F.explode(F.array(*map(F.lit, range(SHARED)))).alias("_k")).withColumn("_u", _unit_of(F.col("_d"), F.col("_k")))
-        return each.select((F.col("_h") * SHARED + F.col("_k")).alias("draw"), _count_at(F.col("_u")).alias("m"), *columns).where("m > 0").where(F.col("draw") < draws)
+        rows = _spread(sums).select("g", *(F.col(c).cast("double").alias(c) for c in columns))
+        each = rows.mapInArrow(_poisson_sums(columns, draws, seed, shared), "draw long, " + ", ".join(f"{c} double" for c in columns))
+        return each.groupBy("draw").agg(*(F.sum(c).alias(c) for c in columns)).where(F.col(columns[0]) > 0)
     if law != "multinomial":
         raise ValueError(law)
     n = sums.count()
@@ -141,24 +179,23 @@ def _drawn(sums: DataFrame, draws: int, seed: int, law: str, columns: Sequence[s
     tickets = sums.sparkSession.range(draws * n).select((F.col("id") / n).cast("int").alias("draw"), (F.col("id") % n).alias("_t"))
     taken = F.floor(unit_number(F.concat_ws(":", F.lit(str(seed)), "draw", "_t")) * n).cast("long")
     counts = tickets.select("draw", taken.alias("_k")).groupBy("draw", "_k").agg(F.count("*").alias("m"))
-    return counts.join(numbered, "_k").select("draw", "m", *columns)
+    return counts.join(numbered, "_k").groupBy("draw").agg(*(F.sum(F.col("m") * F.col(x)).alias(x) for x in columns))
 
 
-def cluster_bootstrap(df: DataFrame, actual: str, predicted: str, group: str, draws: int = 2000, seed: int = 42, no_group: str = "NO_GROUP", law: str = "poisson") -> DataFrame:
+def cluster_bootstrap(df: DataFrame, actual: str, predicted: str, group: str, draws: int = 2000, seed: int = 42, no_group: str = "NO_GROUP", law: str = "poisson", shared: int = SHARED) -> DataFrame:
     """(metric, estimate, ci_lower, ci_upper, draws, rows, groups): percentile intervals over resampled groups.
 
     Rows are summed to one row of sufficient statistics for each group first; a draw weighs those sums. Sums over
     groups are combined in each task, so what is shuffled is a row for each draw and task, whatever the table's size.
     law: `poisson`, or `multinomial`, which draws as many groups as there are with replacement, in the order of their
-    names, and costs one row for each draw and group.
+    names, and costs one row for each draw and group. shared: how many Poisson draws, 1 or up to 4, share one hash.
     """
     g = F.coalesce(F.col(group).cast("string"), F.lit(no_group))
     rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     sums = rows.groupBy(g.alias("g")).agg(*regression_sums(F.col(actual).cast("double"), F.col(predicted).cast("double")))
     total = sums.agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in ("sy", "syy", "se2", "sae")), F.count("*").alias("groups"))
     point = total.select("n", "groups", *scores())
-    drawn = _drawn(sums, draws, seed, law, ["n", "sy", "syy", "se2", "sae"])
-    weighed = drawn.groupBy("draw").agg(*(F.sum(F.col("m") * F.col(x)).alias(x) for x in ("n", "sy", "syy", "se2", "sae"))).select("draw", *scores())
+    weighed = _weighed(sums, draws, seed, law, ["n", "sy", "syy", "se2", "sae"], shared).select("draw", *scores())
     names = ("r2", "rmse", "mae")
     limits = weighed.agg(*(F.percentile(x, p).alias(f"{x}_{k}") for x in names for k, p in (("lo", 0.025), ("hi", 0.975))))
     both = point.crossJoin(F.broadcast(limits))  # one row each
@@ -166,15 +203,17 @@ def cluster_bootstrap(df: DataFrame, actual: str, predicted: str, group: str, dr
     return both.select(each.alias("e"), F.col("n").alias("rows"), "groups").select("e.*", F.lit(draws).cast("long").alias("draws"), "rows", "groups")
 
 
-def paired_bootstrap(df: DataFrame, actual: str, first: str, second: str, group: str, draws: int = 2000, seed: int = 42, law: str = "poisson") -> DataFrame:
-    """Differences second - first of r2, rmse and mae, both models weighed by the same draws; rows that lack the value or a prediction count for neither."""
+def paired_bootstrap(df: DataFrame, actual: str, first: str, second: str, group: str, draws: int = 2000, seed: int = 42, law: str = "poisson", shared: int = 1) -> DataFrame:
+    """Differences second - first of r2, rmse and mae, both models weighed by the same draws; rows that lack the value or a prediction count for neither.
+
+    Every group has a hash of its own for each draw (`shared`: for so many draws), see cluster_bootstrap().
+    """
     g = F.coalesce(F.col(group).cast("string"), F.lit("NO_GROUP"))
     y, a, b = (F.col(c).cast("double") for c in (actual, first, second))
     names = ["n", "sy", "syy", "se2_a", "sae_a", "se2_b", "sae_b"]
     each = [F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), *(c for tag, p in (("a", a), ("b", b)) for c in (F.sum((p - y) * (p - y)).alias(f"se2_{tag}"), F.sum(F.abs(p - y)).alias(f"sae_{tag}")))]
     sums = df.where(y.isNotNull() & a.isNotNull() & b.isNotNull()).groupBy(g.alias("g")).agg(*each)
-    weighed = _drawn(sums, draws, seed, law, names).groupBy("draw").agg(*(F.sum(F.col("m") * F.col(x)).alias(x) for x in names))
-    out = weighed
+    out = _weighed(sums, draws, seed, law, names, shared)
     for tag in "ab":
         out = out.withColumns({"se2": F.col(f"se2_{tag}"), "sae": F.col(f"sae_{tag}")}).select("*", *scores(f"_{tag}")).drop("se2", "sae")
     deltas = out.select("draw", *((F.col(f"{x}_b") - F.col(f"{x}_a")).alias(x) for x in ("r2", "rmse", "mae")))

@@ -83,6 +83,29 @@ def test_bootstrap_weighs_groups_like_repeated_rows(spark):
     assert got["rmse"].groups == 3 and got["rmse"].rows == 5
 
 
+def test_paired_bootstrap_has_a_hash_for_each_draw(spark):
+    import hashlib
+    import math
+
+    import numpy as np
+
+    groups, draws = [chr(97 + k % 23) if k % 5 else None for k in range(120)], 41
+    rows = [(float(k % 17), k % 17 + k % 3 / 3, k % 17 - k % 4 / 7, g) for k, g in enumerate(groups)] + [(None, 1.0, 1.0, "a"), (1.0, None, 1.0, "a")]
+    df = spark.createDataFrame(rows, "y double, a double, b double, g string").repartition(3)
+    got = {r.metric: r for r in M.paired_bootstrap(df, "y", "a", "b", "g", draws=draws).collect()}
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(11)])
+    y, a, b = (np.array([r[k] for r in rows[:120]]) for k in range(3))
+    deltas = []
+    for d in range(draws):
+        m = np.array([np.sum(steps <= int(hashlib.md5(f"42:{d}:{g or 'NO_GROUP'}".encode()).hexdigest()[:13], 16) / 2**52) for g in groups])
+        rmse = [np.sqrt(np.average((p - y) ** 2, weights=m)) for p in (a, b)]
+        deltas.append(rmse[1] - rmse[0])
+    r = got["rmse"]
+    assert r.draws == draws and [r.ci_lower, r.median_delta, r.ci_upper] == pytest.approx(list(np.percentile(deltas, [2.5, 50, 97.5])), abs=1e-9)
+    odd = df.union(spark.createDataFrame([(float("inf"), 1.0, 1.0, "z")], df.schema))  # only the draws that its group enters have no number
+    assert 0 < sum(not math.isfinite(x.sy) for x in M._weighed(odd.groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("sy")).na.fill("NO_GROUP", ["g"]), draws, 42, "poisson", ["n", "sy"], 1).collect()) < draws
+
+
 def test_folds_keep_groups_together(spark):
     df = spark.createDataFrame([(k, f"doi_{k // 3}") for k in range(30)], "y int, g string")
     folded = S.balanced_group_folds(df, "g", 5)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import normalize as N
 from granary.functions import physics as P
+from granary.functions.md5 import md5_words
 from granary.operators import identity as I
 from granary.operators import metrics as M
 from granary.operators import quality as Q
@@ -84,3 +85,12 @@ def test_rounds_and_windows(spark):
     events = spark.createDataFrame([(at(1), "x"), (at(4), "x"), (at(6), "x"), (at(6), "y")], "t timestamp, kind string")
     got = sorted((r.window_start.minute, r.kind, r.events) for r in campaign.windowed_counts(events, "t", "kind", "5 minutes", "1 minute").collect())
     assert got == [(0, "x", 2), (5, "x", 1), (5, "y", 1)]
+
+
+def test_md5_of_many_texts():
+    import hashlib
+
+    heads = [f"42:{d}:".encode() for d in (0, 7, 10, 99, 1999)] + [b""]
+    names = [b"", b"a", b"123456", "é日本".encode(), b"x" * 47, b"x" * 51, b"x" * 55, b"x" * 56, b"x" * 300]
+    got = md5_words(heads, names)
+    assert ["%08x%08x%08x%08x" % tuple(got[:, j, k]) for j in range(len(names)) for k in range(len(heads))] == [hashlib.md5(h + n).hexdigest() for n in names for h in heads]
