@@ -114,15 +114,23 @@ def promote_numeric(df: DataFrame, columns: Sequence[str], least_share: float =
     return {c: row[c]["k"] >= max(least, least_share * row[c]["n"]) and row[c]["n"] > 0 for c in columns}
 
 
+#: Features whose groups every task holds, and rows that one task sums.
+MOST_FEATURES, ROWS_AT_ONCE = 100_000, 500_000
+
+
 def grouped_attribution(values: DataFrame, groups: DataFrame, row: str, feature: str, value: str, cluster: str) -> DataFrame:
     """(group, mean_abs, balanced_mean_abs): values(row, cluster, feature, value) summed by the group of each feature, then the mean of absolute sums over rows, and over clusters' means.
 
-    Fails if a feature has no group or several.
+    Fails if a feature has no group or several. Rows are dealt to tasks by row and cluster before they are summed, so that
+    a task sums so many and no more, however large the table is or the pieces in which it is read.
     """
     n = F.count("*").over(Window.partitionBy(feature))
     checked = groups.withColumn("_ok", F.assert_true(n == 1, F.lit("a feature in several groups"))).where("_ok is null").drop("_ok")
+    if groups.limit(MOST_FEATURES + 1).count() <= MOST_FEATURES:  # else features are many enough to be shuffled by
+        checked = F.broadcast(checked)
+    tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-values.count() // ROWS_AT_ONCE))
     j = values.join(checked, feature, "left").withColumn("_ok", F.assert_true(F.col("group").isNotNull(), F.lit("a feature without a group"))).where("_ok is null")
-    sums = j.groupBy(row, cluster, "group").agg(F.abs(F.sum(value)).alias("a"))
+    sums = j.select(row, cluster, "group", value).repartition(tasks, row, cluster).groupBy(row, cluster, "group").agg(F.abs(F.sum(value)).alias("a"))
     by = sums.groupBy(cluster, "group").agg(F.sum("a").alias("s"), F.count("*").alias("n"))
     return by.groupBy("group").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean_abs"), F.avg(F.col("s") / F.col("n")).alias("balanced_mean_abs"))
 

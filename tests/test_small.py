@@ -94,3 +94,18 @@ def test_md5_of_many_texts():
     names = [b"", b"a", b"123456", "é日本".encode(), b"x" * 47, b"x" * 51, b"x" * 55, b"x" * 56, b"x" * 300]
     got = md5_words(heads, names)
     assert ["%08x%08x%08x%08x" % tuple(got[:, j, k]) for j in range(len(names)) for k in range(len(heads))] == [hashlib.md5(h + n).hexdigest() for n in names for h in heads]
+
+
+def test_attribution_deals_more_tasks_to_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(rules, "ROWS_AT_ONCE", 10)
+    rows = [(k // 4, "xyz"[k % 3], float(k % 7 - 3), k // 40) for k in range(200)]
+    values, groups = spark.createDataFrame(rows, "r int, f string, v double, c int"), spark.createDataFrame([("x", "a"), ("y", "b"), ("z", "b")], "f string, group string")
+    got = rules.grouped_attribution(values, groups, "r", "f", "v", "c")
+    assert any("REPARTITION_BY_NUM" in line and ", 20)" in line for line in got._jdf.queryExecution().executedPlan().toString().splitlines())
+    sums = {}
+    for r, f, v, c in rows:
+        key = r, c, "a" if f == "x" else "b"
+        sums[key] = sums.get(key, 0) + v
+    for r in got.collect():
+        by = {c: [abs(v) for (_, x, g), v in sums.items() if x == c and g == r.group] for c in range(5)}
+        assert r.mean_abs == pytest.approx(sum(map(sum, by.values())) / sum(map(len, by.values()))) and r.balanced_mean_abs == pytest.approx(sum(sum(x) / len(x) for x in by.values()) / 5)
