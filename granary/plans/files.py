@@ -48,18 +48,17 @@ select 'edge', 'in:' || doc_id, 'IN_SOURCE', 'doc:' || doc_id, 'source:' || coal
 
 @query("graphml_document", GRAPH_SQL.format(labels="array_to_string(list_sort(['Document', coalesce(lang, 'none')]), ';')", start=r"regexp_replace(substr(coalesce(text, ''), 1, 30), '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]', '', 'g')"))
 def graphml_document(t):
-    """A GraphML document of all documents and their sources, read back by an XML reader."""
+    """A GraphML document of all documents and their sources, read back by an XML parser; each node and edge is a line, and so is read in splits."""
     nodes, edges = _graph(t)
     spark = nodes.sparkSession
     path = shared_folder(spark, "graphml")
     D.write_graphml(nodes, edges, path, "documents")
-    data = "data array<struct<_VALUE:string, _key:string>>"
-    read = lambda tag, more: spark.read.format("xml").schema(f"_id string, {more} {data}").option("rowTag", tag).option("ignoreSurroundingSpaces", False).load(path)
+    found_nodes, found_edges = D.read_graphml(spark, path)
     value = lambda key: F.try_element_at(F.filter("data", lambda x: x["_key"] == key), F.lit(1))["_VALUE"]
     of = lambda key, name: F.element_at(F.from_json(value(key), "map<string,string>"), name)
     none = F.lit(None).cast("string")
-    n = read("node", "").select(F.lit("node").alias("kind"), F.col("_id").alias("id"), value("label").alias("label"), none.alias("src"), none.alias("dst"), of("node_properties", "lang").alias("lang"), of("node_properties", "n_chars").alias("n_chars"), none.alias("start"))
-    e = read("edge", "_source string, _target string,").select(F.lit("edge"), "_id", value("relationship_type"), "_source", "_target", none, none, of("relationship_properties", "start <&> end"))
+    n = found_nodes.select(F.lit("node").alias("kind"), F.col("_id").alias("id"), value("label").alias("label"), none.alias("src"), none.alias("dst"), of("node_properties", "lang").alias("lang"), of("node_properties", "n_chars").alias("n_chars"), none.alias("start"))
+    e = found_edges.select(F.lit("edge"), "_id", value("relationship_type"), "_source", "_target", none, none, of("relationship_properties", "start <&> end"))
     return n.unionAll(e)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.sources.shared import delete, file_system, shared_folder
@@ -61,13 +61,15 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, name: str = "gr
     """A GraphML document of nodes (id, labels, properties map) and edges (rel_id, src, type, dst, properties map).
 
     Characters that XML forbids go; labels are joined by semicolons and properties are JSON with sorted keys, each under
-    a declared key. Null properties are an empty object.
+    a declared key. Null properties are an empty object. Every node and edge is one line: ends of lines inside values are
+    character references, so that read_graphml() reads the document in splits.
     """
-    data = lambda key, value: F.concat(F.lit(f'<data key="{key}">'), xml_safe(value), F.lit("</data>"))
+    safe = lambda c: F.replace(F.replace(xml_safe(c), F.lit("\n"), F.lit("&#10;")), F.lit("\r"), F.lit("&#13;"))
+    data = lambda key, value: F.concat(F.lit(f'<data key="{key}">'), safe(value), F.lit("</data>"))
     properties = _json(F.coalesce("properties", F.create_map().cast("map<string,string>")))
-    n = nodes.select(F.concat(F.lit('<node id="'), xml_safe(F.col("id")), F.lit('">'), data("label", F.concat_ws(";", F.array_sort("labels"))), data("node_properties", properties), F.lit("</node>")).alias("value"))
+    n = nodes.select(F.concat(F.lit('<node id="'), safe(F.col("id")), F.lit('">'), data("label", F.concat_ws(";", F.array_sort("labels"))), data("node_properties", properties), F.lit("</node>")).alias("value"))
     e = edges.select(F.concat(
-        F.lit('<edge id="'), xml_safe(F.col("rel_id")), F.lit('" source="'), xml_safe(F.col("src")), F.lit('" target="'), xml_safe(F.col("dst")), F.lit('">'),
+        F.lit('<edge id="'), safe(F.col("rel_id")), F.lit('" source="'), safe(F.col("src")), F.lit('" target="'), safe(F.col("dst")), F.lit('">'),
         data("relationship_type", F.col("type")), data("relationship_properties", properties), F.lit("</edge>"),
     ).alias("value"))
     declared = "\n".join(f'<key id="{key}" for="{kind}" attr.name="{attr}" attr.type="string" />' for key, kind, attr in (
@@ -77,6 +79,17 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, name: str = "gr
     write_document(n.union(e), path, head, "\n</graph>\n</graphml>\n")
 
 
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a document of write_graphml(): the attributes id, and source and target, and data, an array of (_VALUE, _key).
+
+    Elements are lines, so the one file is read in splits; each is parsed by the XML parser.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    data = "data array<struct<_VALUE:string, _key:string>>"
+    read = lambda tag, more: lines.where(F.col("value").startswith(f"<{tag} ")).select(F.from_xml("value", f"_id string, {more} {data}", {"ignoreSurroundingSpaces": "false"}).alias("x")).select("x.*")
+    return read("node", ""), read("edge", "_source string, _target string,")
+
+
 def write_jsonld(nodes: DataFrame, edges: DataFrame, path: str, context: Mapping[str, object], prefix: str = "") -> None:
     """A JSON-LD document: one @context, and a @graph of all nodes and then all edges, each with its properties beside its @id and @type.
 

@@ -158,3 +158,21 @@ def test_agreement_gate(spark):
     r = A.importance_agreement(df, "g", "a", "e", "rest").first()
     assert r.passed and r.overlap == 20 and r.reconstruction_max == 1e-9 and r.kendall > 0.9
     assert not A.importance_agreement(df, "g", "a", "e", "rest", most_residual=1e-10).first().passed
+
+
+def test_graphml_is_read_in_splits(spark, tmp_path):
+    texts = ["a\nb", "c\r\nd", "<e> &", "  f  ", "", None, "é\u2028"]
+    nodes = spark.createDataFrame([(f"n{k}\n{k}", [texts[k % 7] or "x"], {"t": texts[k % 7]}) for k in range(2000)], "id string, labels array<string>, properties map<string,string>")
+    edges = spark.createDataFrame([(f"r{k}", f"n{k}\n{k}", "T", "m") for k in range(2000)], "rel_id string, src string, type string, dst string").withColumn("properties", F.lit(None).cast("map<string,string>"))
+    D.write_graphml(nodes, edges, f"file://{tmp_path}/g.graphml")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        n, e = D.read_graphml(spark, f"file://{tmp_path}/g.graphml")
+        assert n.rdd.getNumPartitions() > 5 and n.count() == e.count() == 2000
+        got = {r["_id"]: {d["_key"]: d["_VALUE"] for d in r["data"]} for r in n.collect()}
+        assert {r["_source"] for r in e.collect()} == set(got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for k in range(2000):
+        assert (got[f"n{k}\n{k}"]["label"] or "") == (texts[k % 7] or "x") and json.loads(got[f"n{k}\n{k}"]["node_properties"]).get("t") == texts[k % 7]
