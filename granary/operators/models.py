@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ MIN_FREQUENCY, MOST_LEVELS = 5, 5000
 LEAST_ROWS, LEAST_MINORITY = 300, 40
 #: Rows of a training set that one task holds.
 ROWS_PER_TASK = 200_000
+#: Forests that are fitted at the same time.
+FORESTS_AT_ONCE = 6
 PENALTIES = (0.1, 1.0, 10.0, 100.0)
 
 
@@ -131,19 +135,36 @@ def out_of_fold(
     usable = y.isNotNull() & ~F.isnan(y)
     encoders = fit_encoders(rows.where(usable), [c for c in features if c not in categorical], [c for c in features if c in categorical], fold, folds)
     common = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "oof", "numTrees": trees, "maxDepth": depth, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "seed": seed} | ({"weightCol": weight} if weight else {})
-    out = None
-    for k in range(folds + outside):
+    sizes = rows.groupBy(fold).agg(F.count_if(usable).alias("usable"), F.count("*").alias("all")).collect()  # a row for each fold
+    count = lambda of, which: sum(of(r) for r in sizes if which(r[fold]))
+
+    def told_of(k: int) -> DataFrame | None:
+        if k < folds:
+            n, own_n = count(lambda r: r["usable"], lambda f: f is not None and f != k), count(lambda r: r["usable" if outside else "all"], lambda f: f == k)
+        else:
+            n, own_n = count(lambda r: r["usable"], lambda f: True), count(lambda r: r["all"] - r["usable"], lambda f: True)
+        if not n or not own_n:
+            return None
         train = rows.where(usable & (F.col(fold) != k) if k < folds else usable)
         own = rows.where((F.col(fold) == k) & (usable if outside else F.lit(True)) if k < folds else ~usable)
-        if train.isEmpty() or own.isEmpty():
-            continue
         forest = RandomForestClassifier(**common | {"predictionCol": "_class", "probabilityCol": "_p"}) if task == "classification" else RandomForestRegressor(**common)
-        laid = train.repartition(-(-train.count() // ROWS_PER_TASK), *features).sortWithinPartitions(*features, target)  # forests draw rows by their place
-        model = Pipeline(stages=[*encoders[k].stages(), forest]).fit(laid.withColumn("_y", y))
+        # forests draw rows by their place; they read them several times, so the order is made once
+        laid = train.repartition(-(-n // ROWS_PER_TASK), *features).sortWithinPartitions(*features, target).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = Pipeline(stages=[*encoders[k].stages(), forest]).fit(laid.withColumn("_y", y))
+        finally:
+            laid.unpersist()
         told = model.transform(own)
         told = told.withColumn("oof", vector_to_array("_p")[1]) if task == "classification" else told
-        told = told.select(*df.columns, "oof")
-        out = told if out is None else out.unionAll(told)
+        return told.select(*df.columns, "oof")
+
+    # folds don't wait for each other: one forest alone has fewer tasks than there are cores
+    with ThreadPoolExecutor(min(folds + outside, FORESTS_AT_ONCE)) as pool:
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(told_of), range(folds + outside)))
+    out = None
+    for told in found:
+        if told is not None:
+            out = told if out is None else out.unionAll(told)
     left = rows.where(F.col(fold).isNull() & (usable if outside else F.lit(True))).withColumn("oof", F.lit(None).cast("double"))
     return written(left if out is None else out.unionAll(left), "oof")
 

@@ -104,3 +104,21 @@ def test_ridge_like_brute_force(spark, weight):
     assert np.isclose(told.p, fit.coefficients[2] @ [told.a, told.b, told.c] + fit.intercepts[2])
     with pytest.raises(ValueError):
         L.fit_ridge(df.limit(0), ["a"], "y", "fold", 4)
+
+
+def test_folds_are_fitted_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml import Pipeline
+
+    fit, together, laid = Pipeline.fit, threading.Barrier(3, timeout=60), []
+
+    def waits(self, df, *more):
+        laid.append(df.storageLevel is not None and "InMemoryRelation" in df._jdf.queryExecution().withCachedData().toString())
+        together.wait()
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(Pipeline, "fit", waits)
+    df = spark.createDataFrame([(k, float(k % 7), float(k % 5), k % 3 if k else None) for k in range(60)], "id int, a double, y double, fold int")
+    got = L.out_of_fold(df, ["a"], "y", "fold", 3, trees=2, depth=2)
+    assert got.count() == 60 and [r.id for r in got.where("oof is null").collect()] == [0] and laid == [True] * 3
