@@ -30,10 +30,13 @@ def merge_nodes(candidates: DataFrame, last_wins: bool = True, order: str = "seq
 
 
 def merge_edges(candidates: DataFrame, last_wins: bool = True, order: str = "seq") -> DataFrame:
-    """candidates(src, dst, type, properties, seq) -> edges, one for each content; its id is a hash of ends, type and properties."""
+    """candidates(src, dst, type, properties, seq) -> edges, one for each content; its id is a hash of ends, type and properties.
+
+    Columns are picked one by one, all from the same row, so that those nobody asks for are neither shuffled nor sorted.
+    """
     pick = F.max_by if last_wins else F.min_by
     keyed = candidates.withColumn("rel_id", stable_id("rel", "src", "type", "dst", fingerprint("properties")))
-    return keyed.groupBy("rel_id").agg(pick(F.struct("src", "dst", "type", "properties"), F.col(order)).alias("e")).select("rel_id", "e.*")
+    return keyed.groupBy("rel_id").agg(*(pick(F.col(c), F.col(order)).alias(c) for c in ("src", "dst", "type", "properties")))
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:

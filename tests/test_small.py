@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from granary.functions import normalize as N
 from granary.functions import physics as P
 from granary.functions.md5 import md5_words
+from granary.operators import graph
 from granary.operators import identity as I
 from granary.operators import metrics as M
 from granary.operators import quality as Q
@@ -109,3 +110,13 @@ def test_attribution_deals_more_tasks_to_more_rows(spark, monkeypatch):
     for r in got.collect():
         by = {c: [abs(v) for (_, x, g), v in sums.items() if x == c and g == r.group] for c in range(5)}
         assert r.mean_abs == pytest.approx(sum(map(sum, by.values())) / sum(map(len, by.values()))) and r.balanced_mean_abs == pytest.approx(sum(sum(x) / len(x) for x in by.values()) / 5)
+
+
+def test_counts_of_edges_carry_no_properties(spark):
+    rows = [("a", "b", "T", {"p": "1"}, 1), ("A", "b", "T", {"p": "1"}, 2), ("a", "c", "T", {}, 1), ("a", "b", "U", None, 1)]
+    edges = graph.merge_edges(spark.createDataFrame(rows, "src string, dst string, type string, properties map<string,string>, seq int"))
+    counts = graph.type_counts(edges)
+    picked = [line for line in counts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "max_by" in line]
+    assert picked and not any("max_by(properties" in line or "max_by(struct" in line or "max_by(src" in line for line in picked)
+    assert sorted(map(tuple, counts.collect())) == [("T", 2), ("U", 1)]
+    assert sorted((r.src, r.dst, r.type) for r in edges.collect()) == [("A", "b", "T"), ("a", "b", "U"), ("a", "c", "T")]
