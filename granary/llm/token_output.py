@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ from granary.llm.common import new_path, parts, table
 from granary.llm.tokens import WORD_LEVEL, encoder
 
 END_ID = 1
+#: Texts that a task encodes at once: the more, the fewer words are looked up again.
+TEXT_BYTES, TEXT_ROWS = 8 << 20, 2500
 #: Ids are dictionary-encoded (a vocabulary fits in one dictionary page), keys and counts delta-encoded; row groups and
 #: pages are small enough for the column and offset indexes, which the writer adds, to skip what a read doesn't need.
 LAYOUT = {
@@ -23,17 +27,24 @@ LAYOUT = {
 }
 
 
+def _sized(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many bytes of text in column 1 and at most so many rows."""
+    for part in parts(batches, rows):
+        share = np.cumsum(pc.binary_length(part.column(1)).to_numpy(zero_copy_only=False)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), part.num_rows]
+        yield from (part.slice(lo, hi - lo) for lo, hi in pairwise(cuts))
+
+
 def _encode(name: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(name).encode
-        for part in parts(batches, 500):
-            found = [encode(text.as_py()) + end for text in part.column(1)]
-            n = np.array([len(x) // 4 for x in found], np.int32)
+        encode_all = encoder(name).encode_all
+        for part in _sized(batches, TEXT_BYTES, TEXT_ROWS):
+            found, n = encode_all(part.column(1).to_pylist(), end)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), ids], ["doc_id", "n_tokens", "tokens"])
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), ids], ["doc_id", "n_tokens", "tokens"])
 
     return run
 

@@ -9,12 +9,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from granary.llm import html_text, language, mixing, packing, quality, sharding, token_output, warc
+from granary.llm import html_text, language, mixing, packing, quality, sharding, token_output, tokens, warc
 from granary.llm.common import new_path
 from granary.llm.tokens import BYTE_LEVEL, WORD_LEVEL, Encoder
 
@@ -48,6 +49,35 @@ def test_encoders_like_the_library(rows):
             assert [t for _, t, *_ in rows if t and e.encode(t) != library(t)] == []
 
 
+def test_word_texts_together_like_the_library(rows, monkeypatch):
+    rng = random.Random(4)
+    plain = Tokenizer.from_file(public_tokenizers.path(WORD_LEVEL))
+    texts = [t or "" for _, t, *_ in rows] + ["".join(rng.choice("abAB é中ªΩд.,!'s|0٣ \n\t_ßİ") for _ in range(rng.randrange(60))) for _ in range(2000)] + ["x" * 200 + ".", "é" * 99 + "!", "", " "]
+    want = [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    end = np.array([1], "<u4").tobytes()
+    for kept in (600_000, 30):  # all words stay in the table, and it is cut again and again
+        monkeypatch.setattr(tokens, "KEPT_WORDS", kept)
+        monkeypatch.setattr(tokens, "KEPT_PIECES", kept)
+        e = Encoder(WORD_LEVEL)
+        for size in (len(texts), 7):
+            for lo in range(0, len(texts), size):
+                ids, n = e.encode_all(texts[lo : lo + size], end)
+                assert n.tolist() == [len(w) for w in want[lo : lo + size]] and ids.tolist() == sum(want[lo : lo + size], [])
+        assert max(map(len, e.table[0].to_pylist())) <= 2 * tokens.KEPT_LENGTH
+    ids, n = e.encode_all([], end)
+    assert len(ids) == len(n) == 0
+    assert [len(b) for b in token_output._sized(iter([pa.record_batch({"doc_id": range(6), "text": ["a", "b", "c" * 30, "d", "e", "f"]})]), 20, 3)] == [2, 1, 3]
+
+
+def test_words_are_merged_once(monkeypatch):
+    e, merged = Encoder(WORD_LEVEL), Counter()
+    merge = e.merge
+    monkeypatch.setattr(e, "merge", lambda piece: merged.update([piece]) or merge(piece))
+    e.encode("the!! the?? the;; the. über.")
+    e.encode("The (the) über!!")
+    assert set(merged.values()) == {1}
+
+
 def test_sharding(spark, rows):
     got = sharding.shard_documents(table(spark, rows), 8).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
