@@ -18,7 +18,7 @@ from granary.llm.tokens import WORD_LEVEL, encoder
 
 END_ID = 1
 #: Texts that a task encodes at once: the more, the fewer words are looked up again.
-TEXT_BYTES, TEXT_ROWS = 8 << 20, 2500
+TEXT_BYTES, TEXT_ROWS = 4 << 20, 1250
 #: Ids are dictionary-encoded (a vocabulary fits in one dictionary page), keys and counts delta-encoded; row groups and
 #: pages are small enough for the column and offset indexes, which the writer adds, to skip what a read doesn't need.
 LAYOUT = {

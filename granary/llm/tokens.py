@@ -18,7 +18,7 @@ BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Words longer than this are encoded but not kept; when so many are kept, those that have not been used since the last such time are forgotten.
 KEPT_LENGTH, KEPT_PIECES = 48, 120_000
 #: The same for the word vocabulary's table of words with their marks, which Arrow holds.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 #: White space that the libraries may see differently; and letters whose lower case or composition depends on more than one character.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 #: White space that keeps a text from being cut at single spaces and line feeds.
