@@ -1,20 +1,21 @@
 """Conditions, terms, sentences and numbers near an anchor, from free text.
 
-What needs no match offsets are column expressions; windows around matches go through Arrow batches. Each row is read
-alone and nothing is shuffled.
+Texts go through Arrow batches, for match offsets and because a text's words, taken once, tell which patterns can match
+at all: Java's regular expressions, one scan for each pattern and case folded at every place, took most of the time. Each
+row is read alone and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.recovery import AUDITED, LIFETIME, LIFETIME_95, PERFORMANCE, RETAINED, Recovery, candidates, recover_all
+from granary.operators.recovery import AUDITED, LIFETIME, LIFETIME_95, PERFORMANCE, RETAINED, Recovery, candidates, candidates_in, folded, squeezed
 
 # Patterns of test conditions, terms and anchors.
 TEMPERATURE = (r"\b(?:at|under|temperature|thermal|heated|aging|ageing)[^.\n]{0,80}?(\d{1,3}(?:\.\d+)?)\s*(?:°\s*C|deg(?:ree)?s?\s*C|C)\b",)
@@ -50,23 +51,30 @@ FORMULAS = (
 )
 
 
-def squeezed(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"\s+", " ")
+def _of(terms: Sequence[str]) -> dict[str, tuple[frozenset[str], re.Pattern | None]]:
+    """By term: its words, and how to look for it where its words alone don't tell that it is there."""
+    return {t: (frozenset(w := WORD.findall(t.lower())), None if w == [t.lower()] else re.compile(rf"(?<![A-Za-z0-9]){re.escape(t)}(?![A-Za-z0-9])", re.I)) for t in terms}
 
 
-def first_number(text: Column, patterns: Sequence[str], low: float, high: float) -> Column:
-    """The number in the first match of the first pattern whose first match lies in the range; later matches aren't tried."""
-    tried = []
+def words_of(low: str, wanted: frozenset[bytes]) -> set[str]:
+    """The wanted words, runs of letters and digits of ASCII, of a folded() text."""
+    return {w.decode() for w in wanted.intersection(low.encode().translate(APART).split())}
+
+
+def first_number(text: str, low: str, patterns: Sequence[str], least: float, most: float, holds: Sequence[str] = ()) -> float | None:
+    """The number in the first match of the first pattern whose first match lies in the range; later matches aren't tried. holds: strings of which every match has one."""
+    if holds and not any(h in low for h in holds):
+        return None
     for p in patterns:
-        x = F.regexp_extract(text, f"(?i){p}", 1).try_cast("double")
-        tried.append(F.when(x.between(low, high), x))
-    return F.coalesce(*tried)
+        m = re.search(p, text, re.I)
+        if m and least <= (number := float(m[1])) <= most:
+            return number
+    return None
 
 
-def terms_found(text: Column, terms: Sequence[str], between: str = "; ") -> Column:
-    """The terms that stand in a text between other than letters and digits, whatever their case, in the order given; null if none does."""
-    hits = F.array_compact(F.array(*(F.when(text.rlike(rf"(?i)(?<![A-Za-z0-9]){re.escape(t)}(?![A-Za-z0-9])"), F.lit(t)) for t in terms)))
-    return F.when(F.size(hits) > 0, F.array_join(hits, between))
+def terms_found(text: str, words: set[str], terms: Sequence[str], between: str = "; ") -> str | None:
+    """The terms that stand in a text between other than letters and digits, whatever their case, in the order given; None if none does. words: words_of() the text."""
+    return between.join(t for t in terms if TERMS[t][0] <= words and (TERMS[t][1] is None or TERMS[t][1].search(text))) or None
 
 
 def sentence_with(text: Column, pattern: str, most: int = 1000) -> Column:
@@ -77,39 +85,86 @@ def sentence_with(text: Column, pattern: str, most: int = 1000) -> Column:
     return F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, most)
 
 
-def stability_conditions(text: Column) -> dict[str, Column]:
-    """temperature_c, rh_percent, light (in suns), atmosphere and encapsulation that a text names, each null if it doesn't."""
-    t = squeezed(text)
-    light = first_number(t, LIGHT, 0.01, 1000)
+def sentence_in(text: str, pattern: str) -> str:
+    """sentence_with() of one text."""
+    for m in re.finditer(pattern, text, re.I):
+        ends = [e for e in (text.find(".", m.end()), text.find("\n", m.end())) if e != -1]
+        if found := " ".join(text[text.rfind(".", 0, m.start()) + 1 : min(ends, default=len(text))].split()):
+            return found[:1000]
+    return ""
+
+
+def conditions_in(text: str, low: str, words: set[str]) -> dict[str, float | str | None]:
+    """stability_conditions() of a text that is squeezed(), with it folded() and words_of() it."""
+    light = first_number(text, low, LIGHT, 0.01, 1000, ("sun", "mw"))
     return {
-        "temperature_c": first_number(t, TEMPERATURE, 0, 120),
-        "rh_percent": first_number(t, HUMIDITY, 0, 100),
-        "light": F.when(light > 10, light / 100).otherwise(light),
-        "atmosphere": terms_found(t, ATMOSPHERES),
-        "encapsulation": F.when(t.rlike(r"(?i)\bunencapsulated\b"), "False").when(t.rlike(r"(?i)\bencapsulated\b"), "True"),
+        "temperature_c": first_number(text, low, TEMPERATURE, 0, 120),
+        "rh_percent": first_number(text, low, HUMIDITY, 0, 100, ("rh", "humidity")),
+        "light": light / 100 if light is not None and light > 10 else light,
+        "atmosphere": terms_found(text, words, ATMOSPHERES),
+        "encapsulation": "False" if "unencapsulated" in words and re.search(r"\bunencapsulated\b", text, re.I) else "True" if "encapsulated" in words and re.search(r"\bencapsulated\b", text, re.I) else None,
     }
 
 
+def formula_in(text: str, low: str) -> str | None:
+    """formula() of one text, with it folded()."""
+    if not any(m + h in low for m in ("pb", "sn", "ge") for h in ("i", "br", "cl")):
+        return None
+    for p in FORMULAS:
+        m = re.search(p, text, re.I)
+        x = m[0].strip(" /,;:()[]{}") if m else ""
+        if any(k in x for k in ("Pb", "Sn", "Ge")) and any(k in x for k in ("I", "Br", "Cl")):
+            return x
+    return None
+
+
+def solvents_in(text: str, words: set[str]) -> dict[str, str | None]:
+    """solvents_and_ratio() of one text, with words_of() it."""
+    sentence = sentence_in(text, SOLVENT_SENTENCE) if SOLVENT_WORDS & words else ""
+    where = sentence or text
+    m = re.search(SOLVENT_RATIO, where, re.I) if SOLVENT_WORDS & words else None
+    return {"solvents": terms_found(where, words_of(folded(sentence), WANTED) if sentence else words, SOLVENTS), "ratio": m[1].replace(" ", "") if m else None, "snippet": sentence}
+
+
+def _read_by(find: Callable[[str], Mapping[str, object]], kinds: Mapping[str, pa.DataType], text: Column) -> dict[str, Column]:
+    """Columns of what find(text) gives; null texts are read as empty ones."""
+    kind = pa.struct(list(kinds.items()))
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([find(t.as_py() or "") for t in texts], kind)
+
+    read = F.arrow_udf(run, "struct<" + ", ".join(f"{name}:{'double' if k == pa.float64() else 'string'}" for name, k in kinds.items()) + ">")(text.cast("string"))
+    return {name: read[name] for name in kinds}
+
+
+def stability_conditions(text: Column) -> dict[str, Column]:
+    """temperature_c, rh_percent, light (in suns), atmosphere and encapsulation that a text names, each null if it doesn't."""
+
+    def find(value: str):
+        t = squeezed(value)
+        low = folded(t)
+        return conditions_in(t, low, words_of(low, WANTED))
+
+    return _read_by(find, {"temperature_c": pa.float64(), "rh_percent": pa.float64(), "light": pa.float64(), "atmosphere": pa.string(), "encapsulation": pa.string()}, text)
+
+
 def formula(text: Column) -> Column:
     """The first chemical formula by the first pattern that finds one with a metal and a halide."""
-    tried = []
-    for p in FORMULAS:
-        x = F.btrim(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?i){p}", 0), F.lit(" /,;:()[]{}"))
-        tried.append(F.when(x.rlike("Pb|Sn|Ge") & x.rlike("I|Br|Cl"), x))
-    return F.coalesce(*tried)
+    return _read_by(lambda value: {"formula": formula_in(value, folded(value))}, {"formula": pa.string()}, text)["formula"]
 
 
-def solvents_and_ratio(text: Column, head: int = 16_000) -> dict[str, Column]:
-    """Solvents and their mixing ratio, from the sentence that names one, or from the text's beginning if none does."""
-    sentence = sentence_with(text, SOLVENT_SENTENCE)
-    where = F.when(sentence != "", sentence).otherwise(F.substring(F.coalesce(text, F.lit("")), 1, head))
-    ratio = F.replace(F.regexp_extract(where, f"(?i){SOLVENT_RATIO}", 1), F.lit(" "), F.lit(""))
-    return {"solvents": terms_found(where, SOLVENTS), "ratio": F.when(ratio != "", ratio), "snippet": sentence}
+def solvents_and_ratio(text: Column) -> dict[str, Column]:
+    """Solvents and their mixing ratio, from the sentence that names one, or from the text if none does."""
+    return _read_by(lambda value: solvents_in(value, words_of(folded(value), WANTED)), {"solvents": pa.string(), "ratio": pa.string(), "snippet": pa.string()}, text)
 
 
 @dataclass(frozen=True)
 class Near:
-    """A value in the window around an anchor: a number in a range (pattern with one group), or all the named patterns that it holds."""
+    """A value in the window around an anchor: a number in a range (pattern with one group), or all the named patterns that it holds.
+
+    words: words of which every anchor has one. holds: strings in lower case of which every value has one. A text without
+    them is not searched.
+    """
 
     anchor: str
     pattern: str | Mapping[str, str]
@@ -117,6 +172,12 @@ class Near:
     high: float = float("inf")
     before: int = 180
     after: int = 240
+    words: frozenset[str] = frozenset()
+    holds: Sequence[str] = ()
+
+    def may_find(self, low: str, words: set[str]) -> bool:
+        """Whether a text can have a value, with it folded() and words_of() it."""
+        return (not self.words or not self.words.isdisjoint(words)) and (not self.holds or any(h in low for h in self.holds))
 
     def find(self, text: str) -> tuple[str, str] | None:
         for m in re.finditer(self.anchor, text, re.I):
@@ -132,21 +193,31 @@ class Near:
         return None
 
 
-def _method(anchor: str) -> Near:
-    return Near(anchor, METHODS, before=220, after=280)
+def _method(anchor: str, words: frozenset[str]) -> Near:
+    return Near(anchor, METHODS, before=220, after=280, words=words, holds=("coat", "slot", "evaporat", "blad", "bath", "cbd", "layer", "ald", "sputter"))
+
+
+def _thickness(anchor: str, words: frozenset[str]) -> Near:
+    return Near(anchor, NANOMETRES, 0.1, 1000, words=words, holds=("nm",))
 
 
+ANNEAL_WORDS, AREA_WORDS = frozenset({"anneal", "annealing", "annealed"}), frozenset({"area"})
+ELECTRON_WORDS, HOLE_WORDS = frozenset({"etl", "electron", "sno2", "tio2", "c60", "pcbm"}), frozenset({"htl", "hole", "spiro", "ptaa", "pedot", "niox"})
+CONTACT_WORDS = frozenset({"au", "ag", "al", "cu", "contact", "electrode"})
 # Ranges and patterns by field; of several ways the first that finds a value counts.
 PRIORITY_FIELDS: dict[str, Sequence[Near]] = {
-    "annealing_temperature": (Near(ANNEAL, r"(\d{2,3}(?:\.\d+)?)\s*(?:°\s*C|degrees?\s*C|C\b)", 40, 250),),
-    "annealing_time": (Near(ANNEAL, r"(\d{1,4}(?:\.\d+)?)\s*(?:min|minutes)\b", 0.1, 600),),
-    "cell_area": (Near(AREA, rf"{AREA}[^.\n]{{0,80}}?(\d+(?:\.\d+)?)\s*cm\s*(?:2|\^2|-2)?", 0.001, 20), Near(AREA, rf"\b(\d+(?:\.\d+)?)\s*cm\s*(?:2|\^2)\b[^.\n]{{0,80}}?{AREA}", 0.001, 20)),
-    "electron_layer_thickness": (Near(ELECTRON_LAYER, NANOMETRES, 0.1, 1000),),
-    "hole_layer_thickness": (Near(HOLE_LAYER, NANOMETRES, 0.1, 1000),),
-    "contact_thickness": (Near(CONTACT, NANOMETRES, 0.1, 1000),),
-    "electron_layer_method": (_method(ELECTRON_LAYER),),
-    "hole_layer_method": (_method(HOLE_LAYER),),
-    "contact_method": (_method(CONTACT),),
+    "annealing_temperature": (Near(ANNEAL, r"(\d{2,3}(?:\.\d+)?)\s*(?:°\s*C|degrees?\s*C|C\b)", 40, 250, words=ANNEAL_WORDS),),
+    "annealing_time": (Near(ANNEAL, r"(\d{1,4}(?:\.\d+)?)\s*(?:min|minutes)\b", 0.1, 600, words=ANNEAL_WORDS, holds=("min",)),),
+    "cell_area": (
+        Near(AREA, rf"{AREA}[^.\n]{{0,80}}?(\d+(?:\.\d+)?)\s*cm\s*(?:2|\^2|-2)?", 0.001, 20, words=AREA_WORDS, holds=("cm",)),
+        Near(AREA, rf"\b(\d+(?:\.\d+)?)\s*cm\s*(?:2|\^2)\b[^.\n]{{0,80}}?{AREA}", 0.001, 20, words=AREA_WORDS, holds=("cm",)),
+    ),
+    "electron_layer_thickness": (_thickness(ELECTRON_LAYER, ELECTRON_WORDS),),
+    "hole_layer_thickness": (_thickness(HOLE_LAYER, HOLE_WORDS),),
+    "contact_thickness": (_thickness(CONTACT, CONTACT_WORDS),),
+    "electron_layer_method": (_method(ELECTRON_LAYER, ELECTRON_WORDS),),
+    "hole_layer_method": (_method(HOLE_LAYER, HOLE_WORDS),),
+    "contact_method": (_method(CONTACT, CONTACT_WORDS),),
 }
 #: The columns of a record that the fields fill.
 COLUMNS = {
@@ -157,7 +228,17 @@ COLUMNS = {
 ELECTRON_TERMS = ("TiO2", "SnO2", "PCBM", "C60", "ZnO", "NiOx", "BCP")
 HOLE_TERMS = ("Spiro-OMeTAD", "PTAA", "PEDOT:PSS", "NiOx", "CuSCN", "P3HT", "MeO-2PACz", "2PACz")
 CONTACT_TERMS = ("Au", "Ag", "Al", "Cu", "ITO", "FTO", "carbon")
-ADDITIVE_HEAD, FEATURE_HEAD, LOG_LENGTH = 24_000, 12_000, 900
+FEATURE_HEAD, LOG_LENGTH = 12_000, 900
+#: Words of which a sentence of solvents, and one of the two shapes of a cell, has one ("n" stands for p-i-n and n-i-p).
+SOLVENT_WORDS = frozenset({"dmf", "dmso", "nmp", "gbl", "chlorobenzene", "toluene", "antisolvent", "solvent", "solvents"})
+SHAPES = {"inverted": (frozenset({"inverted", "pin", "n"}), r"\b(inverted|p-i-n|pin)\b"), "regular": (frozenset({"regular", "nip", "mesoscopic", "planar", "n"}), r"\b(regular|n-i-p|nip|mesoscopic|planar)\b")}
+WORD = re.compile("[a-z0-9]+")
+APART = bytes(b if bytes([b]).isalnum() else 32 for b in range(256))
+TERMS = _of((*ATMOSPHERES, *SOLVENTS, *ADDITIVES, *ELECTRON_TERMS, *HOLE_TERMS, *CONTACT_TERMS))
+#: All words that decide whether a pattern is tried.
+WANTED = frozenset(
+    w.encode() for w in {"unencapsulated", "encapsulated"}.union(SOLVENT_WORDS, *(words for words, _ in TERMS.values()), *(words for words, _ in SHAPES.values()), *(way.words for ways in PRIORITY_FIELDS.values() for way in ways))
+)
 
 
 def _rows_of(df: DataFrame, key: str, read: Sequence[Column], find, columns: str) -> DataFrame:
@@ -182,14 +263,21 @@ def _rows_of(df: DataFrame, key: str, read: Sequence[Column], find, columns: str
     return df.select(key, *(c.alias(f"_read{k}") for k, c in enumerate(read))).mapInArrow(run, schema)
 
 
+def _near(text: str, low: str, words: set[str], fields: Mapping[str, Sequence[Near]] = PRIORITY_FIELDS) -> Iterator[tuple[str, str, str]]:
+    for field, ways in fields.items():
+        hit = next((h for h in (way.find(text) for way in ways if way.may_find(low, words)) if h), None)
+        if hit:
+            yield field, *hit
+
+
 def fields_near(df: DataFrame, key: str, text: str, fields: Mapping[str, Sequence[Near]] = PRIORITY_FIELDS) -> DataFrame:
     """(key, field, value, snippet): each field of each row that the text around its anchors holds."""
 
+    wanted = frozenset(w.encode() for ways in fields.values() for way in ways for w in way.words)
+
     def find(value: str):
-        for field, ways in fields.items():
-            hit = next((h for h in (way.find(value) for way in ways) if h), None)
-            if hit:
-                yield field, *hit
+        low = folded(value)
+        yield from _near(value, low, words_of(low, wanted), fields)
 
     return _rows_of(df, key, [F.coalesce(F.col(text).cast("string"), F.lit(""))], find, "field string, value string, snippet string")
 
@@ -218,63 +306,88 @@ def matching_evidence(df: DataFrame, key: str, text: str, target: str, patterns:
     return _rows_of(df, key, [F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(target).cast("double")], find, "evidence string")
 
 
-def priority_fields(found: Column, text: Column, head: int = ADDITIVE_HEAD) -> dict[str, tuple[Column, Column]]:
-    """(value, evidence) of the 14 fields of a device's making, by the column of a record: found, a map from field to (value, snippet) of fields_near(), and expressions for solvents, their ratio, additives and area."""
-    out = {COLUMNS[f]: (F.try_element_at(found, F.lit(f))["value"], F.try_element_at(found, F.lit(f))["snippet"]) for f in PRIORITY_FIELDS}
-    s = solvents_and_ratio(text)
-    out["Perovskite_deposition_solvents"] = (s["solvents"], s["snippet"])
-    out["Perovskite_deposition_solvents_mixing_ratios"] = (s["ratio"], s["snippet"])
-    out["Perovskite_additives_compounds"] = (terms_found(F.substring(text, 1, head), ADDITIVES), sentence_with(text, ADDITIVE_SENTENCE))
-    return out
+NUMBERS = ("JV_default_PCE", "JV_default_Voc", "JV_default_Jsc", "JV_default_FF", "Stability_PCE_T80", "Stability_PCE_T95", "Stability_PCE_end_of_experiment", "Stability_time_total_exposure", "Stability_PCE_after_1000_h", "Stability_temperature_range", "Stability_relative_humidity_average_value", "Stability_light_intensity")
+CONDITIONS = {"Stability_temperature_range": "temperature_c", "Stability_relative_humidity_average_value": "rh_percent", "Stability_light_intensity": "light", "Stability_atmosphere": "atmosphere", "Encapsulation": "encapsulation"}
+#: The columns that a text may fill beside JV_default_PCE, in the order of the log.
+FILLED = (
+    "JV_default_Voc", "JV_default_Jsc", "JV_default_FF", "Perovskite_composition_short_form", "Perovskite_composition_long_form", "ETL_stack_sequence", "HTL_stack_sequence", "Backcontact_stack_sequence", "Cell_architecture", "Cell_stack_sequence",
+    *COLUMNS.values(), "Perovskite_deposition_solvents", "Perovskite_deposition_solvents_mixing_ratios", "Perovskite_additives_compounds",
+    "Stability_PCE_T80", "Stability_PCE_T95", "Stability_PCE_end_of_experiment", "Stability_time_total_exposure", "Stability_PCE_after_1000_h", *CONDITIONS,
+)
+
+
+def record_of(text: str, has: bool) -> dict[str, tuple[float | str, str]]:
+    """(value, evidence) by the column of a record, of all that a text says; has: whether the record has an efficiency."""
+    whole = squeezed(text)
+    low = folded(whole)
+    performance, t80, t95, retained = (next(iter(candidates_in(whole, low, spec)), None) for spec in (PERFORMANCE, LIFETIME, LIFETIME_95, RETAINED))
+    out: dict[str, tuple[float | str | None, str]] = {}
+    if performance and not has:
+        told, sides = performance["snippet"], performance["sides"]
+        ff = sides.get("ff")
+        out |= {"JV_default_PCE": (performance["values"][0], told), "JV_default_Voc": (sides.get("voc"), told), "JV_default_Jsc": (sides.get("jsc"), told), "JV_default_FF": (ff / 100 if ff is not None and ff > 1 else ff, told)}
+    if performance or has:
+        out |= _features(text, f"{performance['snippet'] if performance else ''}\n{text[:FEATURE_HEAD]}")
+    for c, best in (("Stability_PCE_T80", t80), ("Stability_PCE_T95", t95)):
+        if best:
+            out[c] = best["values"][0], best["snippet"]
+    if retained:
+        percent, hours = retained["values"]
+        out |= {"Stability_PCE_end_of_experiment": (percent, retained["snippet"]), "Stability_time_total_exposure": (hours, retained["snippet"])}
+        if 950 <= hours <= 1050:
+            out["Stability_PCE_after_1000_h"] = percent, retained["snippet"]
+    if t80 or t95 or retained:
+        said = conditions_in(whole, low, words_of(low, WANTED))
+        out |= {c: (said[k], "") for c, k in CONDITIONS.items()}
+    return {c: hit for c, hit in out.items() if hit[0] is not None}
+
+
+def _features(text: str, feature: str) -> dict[str, tuple[str | None, str]]:
+    """What a text and the best snippet in front of it, the feature, say of the making of a device."""
+    low = folded(feature)
+    words = words_of(low, WANTED)
+    form = formula_in(text, low)
+    electron, hole, contact = (terms_found(feature, words, t) for t in (ELECTRON_TERMS, HOLE_TERMS, CONTACT_TERMS))
+    shape = next((name for name, (some, p) in SHAPES.items() if some & words and re.search(p, feature.lower())), None)
+    solvents = solvents_in(feature, words)
+    additives = terms_found(feature, words, ADDITIVES)
+    stack = f"{electron} / perovskite / {hole} / {contact}" if electron and hole and contact else None
+    return {
+        "Perovskite_composition_short_form": (form, ""), "Perovskite_composition_long_form": (form, ""), "ETL_stack_sequence": (electron, ""), "HTL_stack_sequence": (hole, ""), "Backcontact_stack_sequence": (contact, ""),
+        "Cell_architecture": (shape, ""), "Cell_stack_sequence": (stack, ""), **{COLUMNS[f]: (value, snippet) for f, value, snippet in _near(feature, low, words)},
+        "Perovskite_deposition_solvents": (solvents["solvents"], solvents["snippet"]), "Perovskite_deposition_solvents_mixing_ratios": (solvents["ratio"], solvents["snippet"]),
+        "Perovskite_additives_compounds": (additives, sentence_in(feature, ADDITIVE_SENTENCE) if additives else ""),
+    }
 
 
-def recover_records(df: DataFrame, key: str, text: str, head: int = FEATURE_HEAD) -> DataFrame:
+def recover_records(df: DataFrame, key: str, text: str) -> DataFrame:
     """df with what its text says of empty columns, and `_changes`, an array of (field, value, evidence) of all that was filled; nothing that is there is changed.
 
     Efficiency (with Voc, Jsc and FF beside it, FF as a fraction) where JV_default_PCE isn't between 5 and 30; then, for
-    records that have an efficiency, formula, layers, architecture and the fields of priority_fields(), from the best
-    snippet and the first `head` characters (None: all); lifetimes, retention with its hours, retention at 950 to 1,050
-    hours as Stability_PCE_after_1000_h, and test conditions where one of these is found. Columns that df lacks are made.
-    Null and empty texts fill nothing. key tells rows apart; the text is read by one Python pass for the candidates and
-    one for the windows around anchors, everything else are expressions.
+    records that have an efficiency, formula, layers, architecture and the 14 fields of a device's making, from the best
+    snippet and the first FEATURE_HEAD characters; lifetimes, retention with its hours, retention at 950 to 1,050 hours as
+    Stability_PCE_after_1000_h, and test conditions where one of these is found. Columns that df lacks are made. Null and
+    empty texts fill nothing. One Python pass reads each text once beside its row, so nothing is joined or shuffled, and
+    rows with equal keys or none are filled each from its own text. Evidence is logged up to LOG_LENGTH characters.
     """
-    specs = {"performance": PERFORMANCE, "t80": LIFETIME, "t95": LIFETIME_95, "retained": RETAINED}
-    best = recover_all(df, key, text, specs)
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    joined = df.join(best, key, "left").withColumn("_feature", F.concat(F.coalesce("performance.snippet", F.lit("")), F.lit("\n"), F.substring(whole, 1, head) if head else whole))
-    near = fields_near(joined, key, "_feature").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", "snippet")))).alias("_near"))  # at most as many as there are fields
-    rows = joined.join(near, key, "left").withColumn("_near", F.coalesce("_near", F.create_map().cast("map<string,struct<value:string,snippet:string>>")))
+    kind = pa.map_(pa.string(), pa.struct([("number", pa.float64()), ("value", pa.string()), ("evidence", pa.string())]))
+
+    def run(texts: pa.Array, has: pa.Array) -> pa.Array:
+        found = (record_of(t.as_py() or "", h.as_py()) for t, h in zip(texts, has))
+        return pa.array([[(c, {"number" if c in NUMBERS else "value": value, "evidence": evidence[:LOG_LENGTH]}) for c, (value, evidence) in r.items()] for r in found], kind)
+
     kept = F.col("JV_default_PCE").cast("double") if "JV_default_PCE" in df.columns else F.lit(None).cast("double")
-    has = kept.between(5, 30)
-    new = F.coalesce(~has, F.lit(True)) & F.col("performance").isNotNull()
-    feature, low = F.col("_feature"), F.lower("_feature")
-    side = lambda name: F.when(new, F.try_element_at("performance.sides", F.lit(name)))
-    told = F.coalesce(F.col("performance.snippet"), F.lit(""))
-    rows = rows.withColumns({name: terms_found(feature, t) for name, t in (("_electron", ELECTRON_TERMS), ("_hole", HOLE_TERMS), ("_contact", CONTACT_TERMS))})
-    electron, hole, contact = F.col("_electron"), F.col("_hole"), F.col("_contact")
-    known = F.coalesce(has, F.lit(False)) | new
-    shape = F.when(low.rlike(r"\b(inverted|p-i-n|pin)\b"), "inverted").when(low.rlike(r"\b(regular|n-i-p|nip|mesoscopic|planar)\b"), "regular")
-    percent, hours = F.col("retained.values")[0], F.col("retained.values")[1]
-    tested = F.col("t80").isNotNull() | F.col("t95").isNotNull() | F.col("retained").isNotNull()
-    conditions = stability_conditions(whole)
-    none = F.lit("")
-    found: dict[str, tuple[Column, Column]] = {
-        "JV_default_Voc": (side("voc"), told), "JV_default_Jsc": (side("jsc"), told), "JV_default_FF": (F.when(side("ff") > 1, side("ff") / 100).otherwise(side("ff")), told),
-        **{c: (F.when(known, formula(whole)), none) for c in ("Perovskite_composition_short_form", "Perovskite_composition_long_form")},
-        "ETL_stack_sequence": (F.when(known, electron), none), "HTL_stack_sequence": (F.when(known, hole), none), "Backcontact_stack_sequence": (F.when(known, contact), none),
-        "Cell_architecture": (F.when(known, shape), none), "Cell_stack_sequence": (F.when(known, F.concat(electron, F.lit(" / perovskite / "), hole, F.lit(" / "), contact)), none),
-        **{c: (F.when(known, v), e) for c, (v, e) in priority_fields(F.col("_near"), feature).items()},
-        "Stability_PCE_T80": (F.col("t80.values")[0], F.col("t80.snippet")), "Stability_PCE_T95": (F.col("t95.values")[0], F.col("t95.snippet")),
-        "Stability_PCE_end_of_experiment": (percent, F.col("retained.snippet")), "Stability_time_total_exposure": (hours, F.col("retained.snippet")), "Stability_PCE_after_1000_h": (F.when(hours.between(950, 1050), percent), F.col("retained.snippet")),
-        **{c: (F.when(tested, conditions[k]), none) for c, k in (("Stability_temperature_range", "temperature_c"), ("Stability_relative_humidity_average_value", "rh_percent"), ("Stability_light_intensity", "light"), ("Stability_atmosphere", "atmosphere"), ("Encapsulation", "encapsulation"))},
-    }
-    rows = rows.withColumns({f"_value{k}": v for k, (v, _) in enumerate(found.values())})  # read below three times each, computed once
-    found = {c: (F.col(f"_value{k}"), e) for k, (c, (_, e)) in enumerate(found.items())}
+    told = F.arrow_udf(run, "map<string,struct<number:double,value:string,evidence:string>>")
+    rows = df.withColumn("_told", told(F.col(text).cast("string"), F.coalesce(kept.between(5, 30), F.lit(False))))
+    rows = rows.withColumns({f"_found{k}": F.try_element_at("_told", F.lit(c)) for k, c in enumerate(("JV_default_PCE", *FILLED))})
+    found = {c: (F.col(f"_found{k}")["number" if c in NUMBERS else "value"], F.col(f"_found{k}.evidence")) for k, c in enumerate(("JV_default_PCE", *FILLED))}
+    pce, evidence = found.pop("JV_default_PCE")
+    new = pce.isNotNull()
     present = lambda c: (F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) != "") if c in df.columns else F.lit(False)
-    filled = {c: ~present(c) & v.isNotNull() & (v.cast("string") != "") for c, (v, _) in found.items()}
-    entry = lambda c, when, v, e: F.when(when, F.struct(F.lit(c).alias("field"), v.cast("string").alias("value"), F.substring(F.coalesce(e, F.lit("")), 1, LOG_LENGTH).alias("evidence")))
-    changes = F.array_compact(F.array(entry("JV_default_PCE", new, F.col("performance.values")[0], told), *(entry(c, filled[c], *found[c]) for c in found)))
+    filled = {c: ~present(c) & v.isNotNull() for c, (v, _) in found.items()}
+    entry = lambda c, when, v, e: F.when(when, F.struct(F.lit(c).alias("field"), v.cast("string").alias("value"), e.alias("evidence")))
+    changes = F.array_compact(F.array(entry("JV_default_PCE", new, pce, evidence), *(entry(c, filled[c], *found[c]) for c in found)))
     typed = lambda c, v: v.cast(df.schema[c].dataType) if c in df.columns else v
-    made = {"JV_default_PCE": F.when(new, F.col("performance.values")[0]).otherwise(kept)}
+    made = {"JV_default_PCE": F.coalesce(pce, kept)}
     made |= {c: F.when(filled[c], typed(c, v)).otherwise(F.col(f"`{c}`")) if c in df.columns else F.when(filled[c], v) for c, (v, _) in found.items()}
     return rows.select(*(made.pop(c, F.col(f"`{c}`")).alias(c) for c in df.columns), *(v.alias(c) for c, v in made.items()), changes.alias("_changes"))

@@ -136,3 +136,40 @@ def test_a_documents_own_words_are_not_beside_the_made_sentences(spark, tmp_path
         oracle.compare(registry.QUERIES[name](spark, str(tmp_path)), con, registry.ORACLE_SQL[name])
     specs = (recovery.PERFORMANCE, recovery.LIFETIME, recovery.RETAINED, recovery.AUDITED)
     assert len(plan.BETWEEN) > max(s.width for s in specs) and not any(re.search(c.pattern, plan.BETWEEN, re.I) for s in specs for c in s.clues if c.pattern)
+
+
+def test_records_are_read_beside_their_rows(spark):
+    texts = ["The champion device reached a PCE of 21.2%.", None, "The champion device reached a PCE of 19.5%. Ag."]
+    df = spark.createDataFrame([(k, t) for k, t in zip((1, 1, None), texts)], "id int, t string")
+    got = X.recover_records(df, "id", "t")
+    assert {(r.id, r.JV_default_PCE, r.Backcontact_stack_sequence) for r in got.collect()} == {(1, 21.2, None), (1, None, None), (None, 19.5, "Ag")} and got.count() == 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and sum(line.count("ArrowEvalPython [") for line in plan.splitlines()) == 1
+
+
+def test_what_decides_whether_a_pattern_is_tried_loses_nothing():
+    import random
+    from dataclasses import replace
+
+    rng = random.Random(5)
+    parts = [*X.ATMOSPHERES, *X.SOLVENTS, *X.ADDITIVES, *X.ELECTRON_TERMS, *X.HOLE_TERMS, *X.CONTACT_TERMS, "anneal", "active area 1 cm2", "area", "ETL", "hole transport layer 20 nm", "back contact", "spin coating", "slot-die 3 nm", "ALD", "CBD", "12% PCE", "device efficiency of 9%",
+             "retains 90% for 900 h", "T 80 of 9 h", "T95 9 h", "FAPbI3", "CsSn0.5I3", "RH 4%", "1 sun", "9 mW cm-2", "ſputtering", "MACl", "Kı", "p-i-n", "nip", "İTO", "inverted", "x", "é", "_", ".", "\n", "\t \n", "\u00a0", "%"]
+    plain = lambda t, text: bool(re.search(rf"(?<![A-Za-z0-9]){re.escape(t)}(?![A-Za-z0-9])", text, re.I))
+    for _ in range(400):
+        text = "".join(p + rng.choice(["", " ", "  ", " ", ", "]) for p in rng.choices(parts, k=rng.randrange(0, 12)))
+        text = rng.choice([text, text.swapcase()])
+        whole, low = recovery.squeezed(text), recovery.folded(text)
+        assert whole == re.sub(r"\s+", " ", text) and len(low) == len(text)
+        words = X.words_of(low, X.WANTED)
+        for t in X.TERMS:
+            assert X.terms_found(text, words, [t]) == (t if plain(t, text) else None), (t, text)
+        for way in (w for ways in X.PRIORITY_FIELDS.values() for w in ways):
+            assert way.may_find(low, words) or way.find(text) is None, (way, text)
+        for name, (some, p) in X.SHAPES.items():
+            assert some & words or not re.search(p, text.lower()), (name, text)
+        assert X.SOLVENT_WORDS & words or X.sentence_in(text, X.SOLVENT_SENTENCE) == "" and not re.search(X.SOLVENT_RATIO, text, re.I), text
+        assert X.formula_in(text, low) == X.formula_in(text, "pbi"), text
+        c = X.conditions_in(whole, recovery.folded(whole), words)
+        assert c["rh_percent"] == X.first_number(whole, "", X.HUMIDITY, 0, 100) and (c["light"] is not None) == (X.first_number(whole, "", X.LIGHT, 0.01, 1000) is not None), text
+        for spec in (recovery.PERFORMANCE, recovery.AUDITED, recovery.LIFETIME, recovery.LIFETIME_95, recovery.RETAINED):
+            assert recovery.candidates(text, spec) == recovery.candidates(text, replace(spec, tells=())), (spec, text)
