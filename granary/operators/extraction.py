@@ -86,11 +86,11 @@ def sentence_with(text: Column, pattern: str, most: int = 1000) -> Column:
 
 
 def sentence_in(text: str, pattern: str) -> str:
-    """sentence_with() of one text."""
+    """sentence_with() of one text, whole."""
     for m in re.finditer(pattern, text, re.I):
         ends = [e for e in (text.find(".", m.end()), text.find("\n", m.end())) if e != -1]
         if found := " ".join(text[text.rfind(".", 0, m.start()) + 1 : min(ends, default=len(text))].split()):
-            return found[:1000]
+            return found
     return ""
 
 
@@ -154,7 +154,7 @@ def formula(text: Column) -> Column:
 
 
 def solvents_and_ratio(text: Column) -> dict[str, Column]:
-    """Solvents and their mixing ratio, from the sentence that names one, or from the text if none does."""
+    """Solvents and their mixing ratio, from the sentence that names one, or from the whole text if none does."""
     return _read_by(lambda value: solvents_in(value, words_of(folded(value), WANTED)), {"solvents": pa.string(), "ratio": pa.string(), "snippet": pa.string()}, text)
 
 
@@ -189,7 +189,7 @@ class Near:
             else:
                 value = "; ".join(name for name, p in self.pattern.items() if re.search(p, window, re.I))
             if value:
-                return value, " ".join(window.split())[:900]
+                return value, " ".join(window.split())
         return None
 
 
@@ -228,7 +228,6 @@ COLUMNS = {
 ELECTRON_TERMS = ("TiO2", "SnO2", "PCBM", "C60", "ZnO", "NiOx", "BCP")
 HOLE_TERMS = ("Spiro-OMeTAD", "PTAA", "PEDOT:PSS", "NiOx", "CuSCN", "P3HT", "MeO-2PACz", "2PACz")
 CONTACT_TERMS = ("Au", "Ag", "Al", "Cu", "ITO", "FTO", "carbon")
-FEATURE_HEAD, LOG_LENGTH = 12_000, 900
 #: Words of which a sentence of solvents, and one of the two shapes of a cell, has one ("n" stands for p-i-n and n-i-p).
 SOLVENT_WORDS = frozenset({"dmf", "dmso", "nmp", "gbl", "chlorobenzene", "toluene", "antisolvent", "solvent", "solvents"})
 SHAPES = {"inverted": (frozenset({"inverted", "pin", "n"}), r"\b(inverted|p-i-n|pin)\b"), "regular": (frozenset({"regular", "nip", "mesoscopic", "planar", "n"}), r"\b(regular|n-i-p|nip|mesoscopic|planar)\b")}
@@ -327,7 +326,7 @@ def record_of(text: str, has: bool) -> dict[str, tuple[float | str, str]]:
         ff = sides.get("ff")
         out |= {"JV_default_PCE": (performance["values"][0], told), "JV_default_Voc": (sides.get("voc"), told), "JV_default_Jsc": (sides.get("jsc"), told), "JV_default_FF": (ff / 100 if ff is not None and ff > 1 else ff, told)}
     if performance or has:
-        out |= _features(text, f"{performance['snippet'] if performance else ''}\n{text[:FEATURE_HEAD]}")
+        out |= _features(text, f"{performance['snippet'] if performance else ''}\n{text}")
     for c, best in (("Stability_PCE_T80", t80), ("Stability_PCE_T95", t95)):
         if best:
             out[c] = best["values"][0], best["snippet"]
@@ -365,16 +364,17 @@ def recover_records(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Efficiency (with Voc, Jsc and FF beside it, FF as a fraction) where JV_default_PCE isn't between 5 and 30; then, for
     records that have an efficiency, formula, layers, architecture and the 14 fields of a device's making, from the best
-    snippet and the first FEATURE_HEAD characters; lifetimes, retention with its hours, retention at 950 to 1,050 hours as
+    snippet and the whole text; lifetimes, retention with its hours, retention at 950 to 1,050 hours as
     Stability_PCE_after_1000_h, and test conditions where one of these is found. Columns that df lacks are made. Null and
     empty texts fill nothing. One Python pass reads each text once beside its row, so nothing is joined or shuffled, and
-    rows with equal keys or none are filled each from its own text. Evidence is logged up to LOG_LENGTH characters.
+    rows with equal keys or none are filled each from its own text. Evidence is logged whole: a window around a match, or
+    the sentence that names a solvent or an additive, however long.
     """
     kind = pa.map_(pa.string(), pa.struct([("number", pa.float64()), ("value", pa.string()), ("evidence", pa.string())]))
 
     def run(texts: pa.Array, has: pa.Array) -> pa.Array:
         found = (record_of(t.as_py() or "", h.as_py()) for t, h in zip(texts, has))
-        return pa.array([[(c, {"number" if c in NUMBERS else "value": value, "evidence": evidence[:LOG_LENGTH]}) for c, (value, evidence) in r.items()] for r in found], kind)
+        return pa.array([[(c, {"number" if c in NUMBERS else "value": value, "evidence": evidence}) for c, (value, evidence) in r.items()] for r in found], kind)
 
     kept = F.col("JV_default_PCE").cast("double") if "JV_default_PCE" in df.columns else F.lit(None).cast("double")
     told = F.arrow_udf(run, "map<string,struct<number:double,value:string,evidence:string>>")

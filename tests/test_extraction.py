@@ -173,3 +173,22 @@ def test_what_decides_whether_a_pattern_is_tried_loses_nothing():
         assert c["rh_percent"] == X.first_number(whole, "", X.HUMIDITY, 0, 100) and (c["light"] is not None) == (X.first_number(whole, "", X.LIGHT, 0.01, 1000) is not None), text
         for spec in (recovery.PERFORMANCE, recovery.AUDITED, recovery.LIFETIME, recovery.LIFETIME_95, recovery.RETAINED):
             assert recovery.candidates(text, spec) == recovery.candidates(text, replace(spec, tells=())), (spec, text)
+
+
+def test_records_are_filled_from_the_end_of_long_texts(spark):
+    filler = "Nothing is said of it in this line. " * 1_000
+    made = "The planar cells had SnO2 (30 nm, blade coated), PTAA of 15 nm and Ag of 80 nm. MAPbI3 films with MACl were annealed at 120 °C for 20 min and washed in isopropanol. The active area was 0.09 cm2."
+    long = "The films were " + "very " * 2_000 + "slowly made with a PEAI additive from the solvents DMF:DMSO 4:1 at last."
+    rows = [(1, filler + made + filler, 18.0), (2, filler + long, 18.0), (3, "x " * 20_000 + made, 2.0), (4, filler + "The champion device reached a PCE of 21.2%. " + filler + made, None)]
+    got = {r.id: r for r in X.recover_records(spark.createDataFrame(rows, "id int, t string, JV_default_PCE double"), "id", "t").collect()}
+    for r in (got[1], got[4]):
+        assert (r.ETL_stack_sequence, r.HTL_stack_sequence, r.Backcontact_stack_sequence, r.Cell_stack_sequence, r.Cell_architecture) == ("SnO2", "PTAA", "Ag", "SnO2 / perovskite / PTAA / Ag", "regular")
+        assert (r.ETL_thickness, r.HTL_thickness_list, r.ETL_deposition_procedure, r.Cell_area_measured) == ("30.0", "30.0", "blade coating", "0.09") and r.Backcontact_thickness_list == "30.0"
+        assert (r.Perovskite_deposition_thermal_annealing_temperature, r.Perovskite_deposition_thermal_annealing_time, r.Perovskite_additives_compounds, r.Perovskite_deposition_solvents) == ("120.0", "20.0", "MACl", "isopropanol")
+    two = got[2]
+    assert (two.Perovskite_deposition_solvents, two.Perovskite_deposition_solvents_mixing_ratios, two.Perovskite_additives_compounds) == ("DMF; DMSO", "4:1", "PEAI")
+    log = {c.field: c.evidence for c in two._changes}
+    assert len(log["Perovskite_deposition_solvents"]) > 10_000 and log["Perovskite_deposition_solvents_mixing_ratios"].endswith("DMF:DMSO 4:1 at last") and "PEAI" in log["Perovskite_additives_compounds"]
+    assert got[3]._changes == []
+    whole = X.solvents_and_ratio(F.col("t"))
+    assert spark.createDataFrame([(filler + "ethanol",)], "t string").select(whole["solvents"]).first()[0] == "ethanol"
